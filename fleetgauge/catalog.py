@@ -1,0 +1,226 @@
+"""Every registered query, by name, over a folder of test tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from fleetgauge.operators import (alerts, collections, compliance, devices, export, integrity,
+                                  readings, registry, resolve, routes, status, timeline, weights)
+from fleetgauge.session import shared_dir
+from fleetgauge.sources import tables
+from fleetgauge.sources.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
+                                       SOURCE_TABLES, Fleet)
+from fleetgauge.streaming import ingest, live, snapshots
+
+Query = Callable[[SparkSession, str], DataFrame]
+LOOKBACK_HOURS = 168
+EXPORT_START, EXPORT_END = export.interval("2024-01-01", "2024-01-30")
+
+
+def _over(build: Callable[[Fleet], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(Fleet(spark, sf_dir))
+
+
+def _status(f: Fleet) -> DataFrame:
+    return status.current_status(f.bins, f.readings, f.alerts)
+
+
+def _active(f: Fleet) -> DataFrame:
+    # The active filter goes below the joins: inactive bins meet no readings.
+    return status.active_bins(_status(f))
+
+
+def _daily(f: Fleet) -> DataFrame:
+    return weights.daily_weight(f.bins, f.readings, READINGS_AS_OF)
+
+
+def _devices(f: Fleet) -> DataFrame:
+    return devices.device_list(f.sensors, f.bins, f.readings)
+
+
+def _classified(f: Fleet) -> DataFrame:
+    return resolve.classify_messages(f.messages, f.sensors, f.bins)
+
+
+def _candidates(f: Fleet) -> DataFrame:
+    return alerts.alert_candidates(_classified(f))
+
+
+def _register(f: Fleet):
+    return registry.register_devices(f.device_items, f.sensors, f.bins, READINGS_AS_OF)
+
+
+def _update(f: Fleet):
+    return registry.update_devices(f.device_updates, f.sensors, f.bins, READINGS_AS_OF)
+
+
+def _delete(f: Fleet):
+    # Every device id that bins suggest: some exist, some do not.
+    ids = f.bins.select(F.col("bin_id").alias("sensor_id"))
+    return registry.delete_devices(ids, f.sensors, f.readings, READINGS_AS_OF)
+
+
+def _fleet_tables(f: Fleet) -> dict[str, DataFrame]:
+    return {"waste_bins": f.bins, "sensors": f.sensors, "sensor_readings": f.readings,
+            "collections": f.collections, "alerts": f.alerts, "collection_routes": f.routes,
+            "route_bins": f.route_bins}
+
+
+def _cascade(f: Fleet) -> DataFrame:
+    retired = f.bins.filter(F.col("status") == "inactive")
+    return registry.delete_bins(_fleet_tables(f), retired).counts
+
+
+def _outcomes(change) -> DataFrame:
+    """Results and errors of an update batch in one frame."""
+    shape = ["item_seq", "sensor_id", "mac", "outcome"]
+    return (change.results.withColumnRenamed("action", "outcome").select(*shape)
+            .unionByName(change.errors.withColumnRenamed("error", "outcome").select(*shape)))
+
+
+def _export(f: Fleet) -> DataFrame:
+    return export.export_report(f.readings, f.bins, EXPORT_START, EXPORT_END)
+
+
+def _export_csv(f: Fleet) -> DataFrame:
+    path = shared_dir(f.spark, "report")
+    export.write_csv(_export(f), path)
+    return export.read_csv(f.spark, path)
+
+
+def _stream_ingest(f: Fleet) -> str:
+    root = shared_dir(f.spark, "ingest")
+    job = ingest.start_ingest(
+        f.message_stream(), lambda spark: (Fleet(spark, f.sf_dir).sensors, Fleet(spark, f.sf_dir).bins),
+        f"{root}/out", f"{root}/checkpoint", known_alerts=f.alerts, availableNow=True)
+    job.awaitTermination()
+    return f"{root}/out"
+
+
+def _stream_readings(f: Fleet) -> DataFrame:
+    return ingest.written_readings(f.spark, _stream_ingest(f)).drop("reading_date", "batch_id")
+
+
+def _stream_alerts(f: Fleet) -> DataFrame:
+    stored = ingest.alert_table(f.spark, _stream_ingest(f))
+    return stored.filter(F.col("batch_id") >= 0).drop("batch_id", "arrival_seq")
+
+
+def _stream_latest(f: Fleet) -> DataFrame:
+    root = shared_dir(f.spark, "latest")
+    live.start_latest(f.reading_stream(), f"{root}/out", f"{root}/checkpoint",
+                      availableNow=True).awaitTermination()
+    return snapshots.current(f.spark, f"{root}/out")
+
+
+def _stream_hourly(f: Fleet) -> DataFrame:
+    root = shared_dir(f.spark, "hourly")
+    live.start_hourly(f.reading_stream(), f"{root}/out", f"{root}/checkpoint",
+                      availableNow=True).awaitTermination()
+    return snapshots.current(f.spark, f"{root}/out")
+
+
+def _row_counts(f: Fleet) -> DataFrame:
+    return tables.row_counts({name: f.source(name) for name in SOURCE_TABLES})
+
+
+def _accepted(f: Fleet) -> DataFrame:
+    return resolve.accepted_readings(_classified(f))
+
+
+_BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
+    # Status and statistics
+    "bin_current_status": _status,
+    "active_bins": _active,
+    "fleet_stats": lambda f: status.fleet_stats(_status(f), f.alerts, f.collections,
+                                                COLLECTIONS_AS_OF),
+    "fill_status_distribution": lambda f: status.fill_status_distribution(_status(f)),
+    "bin_recent_readings": lambda f: status.recent_readings(f.readings).select(
+        "bin_id", "rank", "reading_id", "timestamp", "fill_level", "weight_kg"),
+    "bin_recent_collections": lambda f: collections.recent_collections(f.collections).select(
+        "bin_id", "rank", "collection_id", "collection_time", "weight_collected"),
+    "bin_detail": lambda f: status.bin_detail_rows(_status(f), f.readings, f.collections),
+    "fill_bands": lambda f: timeline.fill_band_counts(f.readings),
+    # Lists
+    "readings_lookback": lambda f: readings.readings_lookback(
+        f.readings, f.bins, READINGS_AS_OF, LOOKBACK_HOURS),
+    "readings_lookback_bin": lambda f: readings.readings_lookback(
+        f.readings, f.bins, READINGS_AS_OF, LOOKBACK_HOURS, all_bins=True),
+    "latest_readings": lambda f: tables.newest_rows(f.readings),
+    "alerts_by_status": lambda f: alerts.alerts_by_status(f.alerts, f.bins),
+    "alert_feed": lambda f: alerts.alert_feed(f.alerts, f.bins),
+    "sensors_with_bins": lambda f: devices.sensors_with_bins(f.sensors, f.bins),
+    # Timelines, weights, collections
+    "hourly_fill_timeline": lambda f: timeline.fill_timeline(
+        f.readings, READINGS_AS_OF, LOOKBACK_HOURS),
+    "hourly_alerts_by_severity": lambda f: timeline.alert_timeline(
+        f.alerts, ALERTS_AS_OF, LOOKBACK_HOURS),
+    "daily_weight": _daily,
+    "daily_weight_total": lambda f: weights.daily_weight_total(_daily(f)),
+    "weighing_history": lambda f: weights.weighing_history(f.readings),
+    "weighing_summary": lambda f: compliance.weighing_summary(_active(f), _daily(f),
+                                                              READINGS_AS_OF),
+    "collection_stats": lambda f: collections.collection_stats(f.bins, f.collections),
+    "recent_collections": lambda f: collections.recent_collection_count(
+        f.collections, COLLECTIONS_AS_OF),
+    "collection_inference": lambda f: collections.infer_collections(f.readings),
+    # Compliance
+    "compliance_cards": lambda f: compliance.department_cards(_active(f), _daily(f),
+                                                              READINGS_AS_OF),
+    "compliance_offline": lambda f: compliance.department_cards(_active(f), _daily(f),
+                                                                READINGS_AS_OF, "offline"),
+    "compliance_distribution": lambda f: compliance.compliance_distribution(
+        _active(f), READINGS_AS_OF),
+    "active_weighing": lambda f: compliance.active_weighing(_active(f), READINGS_AS_OF),
+    "weight_bars": lambda f: compliance.weight_bars(_active(f), _daily(f), READINGS_AS_OF),
+    # Devices
+    "device_list": _devices,
+    "device_report": lambda f: devices.device_report(_devices(f), READINGS_AS_OF),
+    "device_lookup": lambda f: devices.device_lookup(
+        f.device_items.select("item_seq", "mac_address"), f.sensors, f.bins),
+    "readings_per_sensor": lambda f: registry.readings_per_sensor(f.readings),
+    # Ingest
+    "ingest_accepted": _accepted,
+    "ingest_rejected": lambda f: resolve.rejected_messages(_classified(f)),
+    "alert_candidates": lambda f: _candidates(f).drop("arrival_seq"),
+    "alerts_deduped": lambda f: alerts.new_open_alerts(_candidates(f), f.alerts).drop("arrival_seq"),
+    "readings_refused": lambda f: resolve.split_by_registry(f.readings, f.sensors, f.bins)[1].select(
+        "reading_id", "sensor_id", "bin_id"),
+    # Reports
+    "export_report": _export,
+    "export_csv": _export_csv,
+    "readings_zoned": lambda f: export.zoned_rows(f.readings.select("reading_id", "timestamp")),
+    # Registry
+    "registration_form": lambda f: registry.form_rows(f.device_items),
+    "register_devices": lambda f: _register(f).results,
+    "register_errors": lambda f: _register(f).errors,
+    "register_snapshot": lambda f: _register(f).snapshot,
+    "update_devices": lambda f: _outcomes(_update(f)),
+    "update_snapshot": lambda f: _update(f).snapshot,
+    "delete_devices": lambda f: _delete(f).results.unionByName(
+        _delete(f).errors.withColumnRenamed("error", "action")),
+    "delete_snapshot": lambda f: _delete(f).snapshot,
+    "seed_insert": lambda f: tables.append_new(
+        f.seed_sensors, f.sensors, "sensors", "sensor_code", "sensor_id", READINGS_AS_OF).select(
+            "sensor_id", "sensor_code", "bin_id", "sensor_type", "manufacturer", "status",
+            "created_at"),
+    # Integrity
+    "cascade_delete_counts": _cascade,
+    "unique_violations": lambda f: integrity.unique_violations(_fleet_tables(f)),
+    "orphan_rows": lambda f: integrity.orphan_rows(_fleet_tables(f)),
+    "row_counts": _row_counts,
+    # Routes and geometry
+    "route_manifest": lambda f: routes.route_manifest(f.routes, f.route_bins, _status(f)),
+    "geometry_check": lambda f: routes.geometry_check(f.readings, f.bins),
+    # Streams
+    "stream_ingest": _stream_readings,
+    "stream_alerts": _stream_alerts,
+    "stream_latest": _stream_latest,
+    "stream_hourly": _stream_hourly,
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: _over(build) for name, build in _BUILDERS.items()}
