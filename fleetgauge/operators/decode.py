@@ -11,32 +11,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetgauge.functions.identity import canonical_mac
+from fleetgauge.plans.keyed import computed_once
 from fleetgauge.sources.messages import subscribed
 
 # The fields that must be numbers when present, and those that may also be numeric text.
 GATED = {"fill_level": "decimal(5,2)", "temperature_c": "decimal(5,2)",
          "battery_level": "decimal(5,2)"}
 LENIENT = {"distance_cm": "decimal(6,2)", "humidity": "decimal(5,2)", "gas_level": "decimal(5,2)"}
+TAGGED = ("bin_id", "weight_kg", "signal_strength", "timestamp", "mac_address", "sensor_code",
+          *GATED, *LENIENT)
 RAW = "decimal(28,10)"
-# A calendar date, alone or followed by a time.
-DATE_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
 
 
-def _field(name: str) -> Column:
-    return F.try_variant_get(F.col("_json"), f"$.{name}", "variant")
-
-
-def _text(name: str) -> Column:
-    return F.try_variant_get(F.col("_json"), f"$.{name}", "string")
-
-
-def _number(name: str, kind: str) -> Column:
+def _value(name: str, kind: str) -> Column:
     return F.try_variant_get(F.col("_json"), f"$.{name}", kind)
 
 
 def _kind(name: str) -> Column:
     """missing, null, number, string, boolean or other."""
-    tag = F.schema_of_variant(_field(name))
+    tag = F.schema_of_variant(_value(name, "variant"))
     return (F.when(tag.isNull(), "missing").when(tag == "VOID", "null")
             .when(tag.isin("BIGINT", "DOUBLE", "FLOAT") | tag.startswith("DECIMAL"), "number")
             .when(tag == "STRING", "string").when(tag == "BOOLEAN", "boolean")
@@ -53,13 +46,8 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     Stored measures are rounded to their column; the ``raw_`` fields keep the payload's
     own digits for the alert rules.
     """
-    parsed = subscribed(messages).withColumn("_json", F.try_parse_json("payload"))
-    kinds = parsed.select(
-        *messages.columns, "_json",
-        F.ltrim("payload").startswith("{").alias("_braced"),
-        *[_kind(n).alias(f"_k_{n}") for n in
-          ("bin_id", "weight_kg", "signal_strength", "timestamp", "mac_address", "sensor_code",
-           *GATED, *LENIENT)])
+    parsed = computed_once(subscribed(messages), {"_json": F.try_parse_json("payload")})
+    tagged = computed_once(parsed, {f"_k_{n}": _kind(n) for n in TAGGED})
 
     def kind(name: str) -> Column:
         return F.col(f"_k_{name}")
@@ -67,45 +55,46 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     def stored(name: str, target: str) -> Column:
         """Numbers and numeric text; anything else is NULL and caught as misfit."""
         return F.when(kind(name).isin("number", "string"),
-                      _number(name, RAW).try_cast(target))
+                      _value(name, RAW).try_cast(target))
 
     # Whole numbers are taken as they are, others lose their fraction; text must be whole.
-    bin_id = (F.when(kind("bin_id") == "string", _text("bin_id").try_cast("int"))
-              .when(kind("bin_id") == "number", F.try_variant_get("_json", "$.bin_id", "double")
-                    .try_cast("int"))
-              .when(kind("bin_id") == "boolean", F.try_variant_get("_json", "$.bin_id", "boolean")
-                    .cast("int")))
-    weight = (F.when(kind("weight_kg").isin("number", "string"), _number("weight_kg", RAW))
+    bin_id = (F.when(kind("bin_id") == "string", _value("bin_id", "string").try_cast("int"))
+              .when(kind("bin_id") == "number", _value("bin_id", "double").try_cast("int"))
+              .when(kind("bin_id") == "boolean", _value("bin_id", "boolean").cast("int")))
+    weight = (F.when(kind("weight_kg").isin("number", "string"), _value("weight_kg", RAW))
               .when(kind("weight_kg") == "boolean",
-                    F.try_variant_get("_json", "$.weight_kg", "boolean").cast("int").cast(RAW)))
+                    _value("weight_kg", "boolean").cast("int").cast(RAW)))
     signal = (F.when(kind("signal_strength") == "number",
-                     _number("signal_strength", RAW).try_cast("decimal(20,0)").try_cast("int"))
-              .when(kind("signal_strength") == "string", _text("signal_strength").try_cast("int")))
-    time_text = F.when(kind("timestamp") == "string", _text("timestamp"))
-    blank_time = kind("timestamp").isin("missing", "null") | (time_text == "")
-    time = F.when(blank_time, F.col("arrival_ts")).when(
-        time_text.rlike(DATE_TEXT), time_text.try_cast("timestamp_ntz"))
-
-    typed = kinds.select(
-        *messages.columns, "_json", "_braced", *[c for c in kinds.columns if c.startswith("_k_")],
-        canonical_mac(F.when(kind("mac_address") == "string", _text("mac_address"))).alias("mac"),
-        F.when(kind("sensor_code") == "string", _text("sensor_code")).alias("sensor_code"),
-        _text("bin_code").alias("bin_code"),
-        bin_id.alias("payload_bin_id"),
-        *[stored(n, t).alias(n) for n, t in {**GATED, **LENIENT}.items()],
-        *[F.when(kind(n) == "number", _number(n, RAW)).alias(f"raw_{n}") for n in GATED],
-        weight.alias("raw_weight_kg"),
-        signal.alias("signal_strength"), time.alias("timestamp"))
-
+                     _value("signal_strength", RAW).try_cast("decimal(20,0)").try_cast("int"))
+              .when(kind("signal_strength") == "string",
+                    _value("signal_strength", "string").try_cast("int")))
+    time_text = _value("timestamp", "string")
+    # A year or a month alone is no time: there must be a second dash, before the day.
+    has_day = F.locate("-", F.ltrim(time_text), 6) > 0
+    time = (F.when(kind("timestamp").isin("missing", "null"), F.col("arrival_ts"))
+            .when(kind("timestamp") != "string", None)
+            .when(time_text == "", F.col("arrival_ts"))
+            .when(has_day, time_text.try_cast("timestamp_ntz")))
+
+    def given(name: str) -> Column:
+        return ~kind(name).isin("missing", "null")
+
+    typed = computed_once(tagged, {
+        "mac": canonical_mac(F.when(kind("mac_address") == "string",
+                                    _value("mac_address", "string"))),
+        "sensor_code": F.when(kind("sensor_code") == "string", _value("sensor_code", "string")),
+        "bin_code": _value("bin_code", "string"),
+        "payload_bin_id": bin_id,
+        **{n: stored(n, t) for n, t in {**GATED, **LENIENT}.items()},
+        **{f"raw_{n}": F.when(kind(n) == "number", _value(n, RAW)) for n in GATED},
+        "raw_weight_kg": weight, "signal_strength": signal, "timestamp": time})
+    is_object = F.col("_json").isNotNull() & F.ltrim("payload").startswith("{")
     bad_gate = _any([~kind(n).isin("missing", "number") for n in GATED])
-    misfit = _any(
-        [(kind(n) == "number") & F.col(n).isNull() for n in GATED]
-        + [~kind(n).isin("missing", "null") & F.col(n).isNull() for n in LENIENT]
-        + [~kind("signal_strength").isin("missing", "null") & F.col("signal_strength").isNull(),
-           ~kind("weight_kg").isin("missing", "null") & F.col("raw_weight_kg").isNull(),
-           F.col("timestamp").isNull()])
-    reason = (F.when(F.col("_json").isNull() | ~F.col("_braced"), "malformed")
-              .when(bad_gate, "not_a_number")
+    misfit = _any([(kind(n) == "number") & F.col(n).isNull() for n in GATED]
+                  + [given(n) & F.col(n).isNull() for n in (*LENIENT, "signal_strength")]
+                  + [given("weight_kg") & F.col("raw_weight_kg").isNull(),
+                     F.col("timestamp").isNull()])
+    reason = (F.when(~is_object, "malformed").when(bad_gate, "not_a_number")
               .when(~kind("mac_address").isin("missing", "string"), "bad_mac")
               .when(misfit, "bad_value"))
     return typed.select(

@@ -76,3 +76,16 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are worked out once per row.
+
+    They are computed in a projection, which shares common subexpressions, and then pass
+    through a one-row generator. Filters and projections above it read the results; over
+    the projection alone the optimizer would copy the expressions into each of them, and
+    a payload would be parsed many times.
+    """
+    staged = df.select("*", *[value.alias(f"_once_{name}") for name, value in columns.items()])
+    row = F.struct(*[F.col(f"_once_{name}").alias(name) for name in columns])
+    return staged.select(*df.columns, F.inline(F.array(row)))
