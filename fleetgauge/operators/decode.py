@@ -97,8 +97,8 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     reason = (F.when(~is_object, "malformed").when(bad_gate, "not_a_number")
               .when(~kind("mac_address").isin("missing", "string"), "bad_mac")
               .when(misfit, "bad_value"))
-    return typed.select(
+    return computed_once(typed, {
+        "reason": reason, "weight_is_boolean": kind("weight_kg") == "boolean"}).select(
         *messages.columns, "mac", "sensor_code", "bin_code", "payload_bin_id",
-        *GATED, *LENIENT, *[f"raw_{n}" for n in GATED], "raw_weight_kg",
-        (kind("weight_kg") == "boolean").alias("weight_is_boolean"),
-        "signal_strength", "timestamp", reason.alias("reason"))
+        *GATED, *LENIENT, *[f"raw_{n}" for n in GATED], "raw_weight_kg", "weight_is_boolean",
+        "signal_strength", "timestamp", "reason")

@@ -52,15 +52,16 @@ def export_report(readings: DataFrame, bins: DataFrame, start: str, end: str) ->
 
 
 def csv_rows(report: DataFrame) -> DataFrame:
-    """The seven report columns under their printed headers."""
-    return report.select(*[F.col(c).alias(EXPORT_HEADERS[c]) for c in EXPORT_COLUMNS])
+    """The seven report columns under their printed headers, times as naive ISO text."""
+    printed = report.withColumn("timestamp", zoned_text(F.col("timestamp"), ""))
+    return printed.select(*[F.col(c).alias(EXPORT_HEADERS[c]) for c in EXPORT_COLUMNS])
 
 
 def write_csv(report: DataFrame, path: str) -> None:
     """A folder of CSV parts, each with the header row; NULL is empty, quotes are doubled."""
     (csv_rows(report).write.mode("errorifexists")
      .option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "")
-     .option("encoding", "UTF-8").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+     .option("encoding", "UTF-8")
      .csv(path))
 
 
