@@ -6,8 +6,6 @@ explicit null, a number, and a string that looks like one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetgauge.functions.identity import canonical_mac
@@ -23,21 +21,52 @@ TAGGED = ("bin_id", "weight_kg", "signal_strength", "timestamp", "mac_address",
 RAW = "decimal(28,10)"
 
 
-def _value(name: str, kind: str) -> Column:
-    return F.try_variant_get(F.col("_json"), f"$.{name}", kind)
+def _value(name: str, kind: str) -> str:
+    return f"try_variant_get(_json, '$.{name}', '{kind}')"
 
 
 def _kind(name: str) -> Column:
     """missing, null, number, string, boolean or other."""
-    tag = F.schema_of_variant(_value(name, "variant"))
-    return (F.when(tag.isNull(), "missing").when(tag == "VOID", "null")
-            .when(tag.isin("BIGINT", "DOUBLE", "FLOAT") | tag.startswith("DECIMAL"), "number")
-            .when(tag == "STRING", "string").when(tag == "BOOLEAN", "boolean")
-            .otherwise("other"))
-
-
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    tag = f"schema_of_variant({_value(name, 'variant')})"
+    return F.expr(f"""CASE WHEN {tag} IS NULL THEN 'missing' WHEN {tag} = 'VOID' THEN 'null'
+        WHEN {tag} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {tag} LIKE 'DECIMAL%' THEN 'number'
+        WHEN {tag} = 'STRING' THEN 'string' WHEN {tag} = 'BOOLEAN' THEN 'boolean'
+        ELSE 'other' END""")
+
+
+def _stored(name: str, target: str) -> Column:
+    """Numbers and numeric text; anything else is NULL and caught as misfit."""
+    return F.expr(f"""CASE WHEN _k_{name} IN ('number', 'string')
+        THEN try_cast({_value(name, RAW)} AS {target}) END""")
+
+
+# Whole numbers are taken as they are, others lose their fraction; text must be whole.
+_BIN_ID = f"""CASE _k_bin_id
+    WHEN 'string' THEN try_cast({_value('bin_id', 'string')} AS int)
+    WHEN 'number' THEN try_cast({_value('bin_id', 'double')} AS int)
+    WHEN 'boolean' THEN CAST({_value('bin_id', 'boolean')} AS int) END"""
+_WEIGHT = f"""CASE WHEN _k_weight_kg IN ('number', 'string') THEN {_value('weight_kg', RAW)}
+    WHEN _k_weight_kg = 'boolean'
+    THEN CAST(CAST({_value('weight_kg', 'boolean')} AS int) AS {RAW}) END"""
+_SIGNAL = f"""CASE _k_signal_strength
+    WHEN 'number' THEN try_cast(try_cast({_value('signal_strength', RAW)} AS decimal(20,0)) AS int)
+    WHEN 'string' THEN try_cast({_value('signal_strength', 'string')} AS int) END"""
+# A year or a month alone is no time: there must be a second dash, before the day.
+_TIME_TEXT = _value("timestamp", "string")
+_TIME = f"""CASE WHEN _k_timestamp IN ('missing', 'null') THEN arrival_ts
+    WHEN _k_timestamp <> 'string' THEN NULL
+    WHEN {_TIME_TEXT} = '' THEN arrival_ts
+    WHEN locate('-', ltrim({_TIME_TEXT}), 6) > 0 THEN try_cast({_TIME_TEXT} AS timestamp_ntz) END"""
+
+_BAD_GATE = " OR ".join(f"_k_{n} NOT IN ('missing', 'number')" for n in GATED)
+_MISFIT = " OR ".join(
+    [f"(_k_{n} = 'number' AND {n} IS NULL)" for n in GATED]
+    + [f"(_k_{n} NOT IN ('missing', 'null') AND {n} IS NULL)" for n in (*LENIENT, "signal_strength")]
+    + ["(_k_weight_kg NOT IN ('missing', 'null') AND raw_weight_kg IS NULL)", "timestamp IS NULL"])
+_REASON = f"""CASE WHEN _json IS NULL OR NOT startswith(ltrim(payload), '{{') THEN 'malformed'
+    WHEN {_BAD_GATE} THEN 'not_a_number'
+    WHEN _k_mac_address NOT IN ('missing', 'string') THEN 'bad_mac'
+    WHEN {_MISFIT} THEN 'bad_value' END"""
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
@@ -46,59 +75,22 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     Stored measures are rounded to their column; the ``raw_`` fields keep the payload's
     own digits for the alert rules.
     """
-    parsed = computed_once(subscribed(messages), {"_json": F.try_parse_json("payload")})
+    parsed = computed_once(subscribed(messages), {"_json": F.expr("try_parse_json(payload)")})
     tagged = computed_once(parsed, {f"_k_{n}": _kind(n) for n in TAGGED})
-
-    def kind(name: str) -> Column:
-        return F.col(f"_k_{name}")
-
-    def stored(name: str, target: str) -> Column:
-        """Numbers and numeric text; anything else is NULL and caught as misfit."""
-        return F.when(kind(name).isin("number", "string"),
-                      _value(name, RAW).try_cast(target))
-
-    # Whole numbers are taken as they are, others lose their fraction; text must be whole.
-    bin_id = (F.when(kind("bin_id") == "string", _value("bin_id", "string").try_cast("int"))
-              .when(kind("bin_id") == "number", _value("bin_id", "double").try_cast("int"))
-              .when(kind("bin_id") == "boolean", _value("bin_id", "boolean").cast("int")))
-    weight = (F.when(kind("weight_kg").isin("number", "string"), _value("weight_kg", RAW))
-              .when(kind("weight_kg") == "boolean",
-                    _value("weight_kg", "boolean").cast("int").cast(RAW)))
-    signal = (F.when(kind("signal_strength") == "number",
-                     _value("signal_strength", RAW).try_cast("decimal(20,0)").try_cast("int"))
-              .when(kind("signal_strength") == "string",
-                    _value("signal_strength", "string").try_cast("int")))
-    time_text = _value("timestamp", "string")
-    # A year or a month alone is no time: there must be a second dash, before the day.
-    has_day = F.locate("-", F.ltrim(time_text), 6) > 0
-    time = (F.when(kind("timestamp").isin("missing", "null"), F.col("arrival_ts"))
-            .when(kind("timestamp") != "string", None)
-            .when(time_text == "", F.col("arrival_ts"))
-            .when(has_day, time_text.try_cast("timestamp_ntz")))
-
-    def given(name: str) -> Column:
-        return ~kind(name).isin("missing", "null")
-
     typed = computed_once(tagged, {
-        "mac": canonical_mac(F.when(kind("mac_address") == "string",
-                                    _value("mac_address", "string"))),
-        "sensor_code": F.when(kind("sensor_code") == "string", _value("sensor_code", "string")),
-        "bin_code": _value("bin_code", "string"),
-        "payload_bin_id": bin_id,
-        **{n: stored(n, t) for n, t in {**GATED, **LENIENT}.items()},
-        **{f"raw_{n}": F.when(kind(n) == "number", _value(n, RAW)) for n in GATED},
-        "raw_weight_kg": weight, "signal_strength": signal, "timestamp": time})
-    is_object = F.col("_json").isNotNull() & F.ltrim("payload").startswith("{")
-    bad_gate = _any([~kind(n).isin("missing", "number") for n in GATED])
-    misfit = _any([(kind(n) == "number") & F.col(n).isNull() for n in GATED]
-                  + [given(n) & F.col(n).isNull() for n in (*LENIENT, "signal_strength")]
-                  + [given("weight_kg") & F.col("raw_weight_kg").isNull(),
-                     F.col("timestamp").isNull()])
-    reason = (F.when(~is_object, "malformed").when(bad_gate, "not_a_number")
-              .when(~kind("mac_address").isin("missing", "string"), "bad_mac")
-              .when(misfit, "bad_value"))
+        "mac": canonical_mac(F.expr(
+            f"CASE WHEN _k_mac_address = 'string' THEN {_value('mac_address', 'string')} END")),
+        "sensor_code": F.expr(
+            f"CASE WHEN _k_sensor_code = 'string' THEN {_value('sensor_code', 'string')} END"),
+        "bin_code": F.expr(_value("bin_code", "string")),
+        "payload_bin_id": F.expr(_BIN_ID),
+        **{n: _stored(n, t) for n, t in {**GATED, **LENIENT}.items()},
+        **{f"raw_{n}": F.expr(f"CASE WHEN _k_{n} = 'number' THEN {_value(n, RAW)} END")
+           for n in GATED},
+        "raw_weight_kg": F.expr(_WEIGHT), "signal_strength": F.expr(_SIGNAL),
+        "timestamp": F.expr(_TIME)})
     return computed_once(typed, {
-        "reason": reason, "weight_is_boolean": kind("weight_kg") == "boolean"}).select(
+        "reason": F.expr(_REASON), "weight_is_boolean": F.expr("_k_weight_kg = 'boolean'")}).select(
         *messages.columns, "mac", "sensor_code", "bin_code", "payload_bin_id",
         *GATED, *LENIENT, *[f"raw_{n}" for n in GATED], "raw_weight_kg", "weight_is_boolean",
         "signal_strength", "timestamp", "reason")

@@ -32,51 +32,44 @@ def classify_messages(messages: DataFrame, sensors: DataFrame, bins: DataFrame)
     carry no broadcast hint: Spark broadcasts a registry below its size limit and
     otherwise joins by key, splitting hot devices at run time.
     """
-    decoded = decode_messages(messages)
-    # A rejected message needs no device; neither does it need to meet others in a join.
-    sound = F.col("reason").isNull()
-    keyed = decoded.withColumn("mac", spread_null(
-        F.when(sound, F.nullif("mac", F.lit(""))), F.col("arrival_seq")))
+    # A rejected message needs no device; its lookup keys are spread like missing ones.
+    keyed = decode_messages(messages).withColumn("mac", spread_null(
+        F.expr("CASE WHEN reason IS NULL THEN nullif(mac, '') END"), F.col("arrival_seq")))
     by_mac = keyed.join(registry_by_mac(sensors, bins), "mac", "left")
 
-    unmatched = sound & F.col("m_sensor_id").isNull()
-    codes = sensors.select(F.col("sensor_code").alias("_code"),
-                           F.col("sensor_id").alias("c_sensor_id"),
-                           F.col("weight_offset").alias("c_offset"))
-    by_code = (by_mac.withColumn("_code", spread_null(F.when(unmatched, F.col("sensor_code")),
-                                                      F.col("arrival_seq")))
-               .join(codes, "_code", "left"))
-
-    payload_bins = bins.select(F.col("bin_id").cast("string").alias("_bin"),
-                               F.lit(True).alias("payload_has_bin"))
-    resolved = (by_code.withColumn("_bin", spread_null(
-                    F.when(sound, F.col("payload_bin_id")).cast("string"), F.col("arrival_seq")))
-                .join(payload_bins, "_bin", "left"))
-
-    found_by_mac = F.col("m_sensor_id").isNotNull()
-    offset = F.coalesce(F.when(found_by_mac, F.col("m_offset")).otherwise(F.col("c_offset")),
-                        F.lit(0.0))
-    placed = (resolved
-              .withColumn("sensor_id", F.coalesce("m_sensor_id", "c_sensor_id"))
-              .withColumn("bin_id", F.when(found_by_mac, F.col("m_bin_id"))
-                          .otherwise(F.col("payload_bin_id")))
-              .withColumn("_has_bin", F.when(found_by_mac, F.col("m_has_bin"))
-                          .otherwise(F.col("payload_has_bin")))
-              .withColumn("weight_kg", calibrated(F.col("raw_weight_kg"), offset)))
+    codes = sensors.selectExpr("sensor_code AS _code", "sensor_id AS c_sensor_id",
+                               "weight_offset AS c_offset")
+    by_code = by_mac.withColumn("_code", spread_null(
+        F.expr("CASE WHEN reason IS NULL AND m_sensor_id IS NULL THEN sensor_code END"),
+        F.col("arrival_seq"))).join(codes, "_code", "left")
+
+    payload_bins = bins.selectExpr("CAST(bin_id AS string) AS _bin", "true AS payload_has_bin")
+    resolved = by_code.withColumn("_bin", spread_null(
+        F.expr("CASE WHEN reason IS NULL THEN CAST(payload_bin_id AS string) END"),
+        F.col("arrival_seq"))).join(payload_bins, "_bin", "left")
+
+    offset = F.expr("CASE WHEN m_sensor_id IS NOT NULL THEN m_offset ELSE c_offset END")
+    placed = resolved.select(
+        "*", F.expr("coalesce(m_sensor_id, c_sensor_id)").alias("sensor_id"),
+        F.expr("CASE WHEN m_sensor_id IS NOT NULL THEN m_bin_id ELSE payload_bin_id END")
+        .alias("bin_id"),
+        F.expr("CASE WHEN m_sensor_id IS NOT NULL THEN m_has_bin ELSE payload_has_bin END")
+        .alias("_has_bin"),
+        F.coalesce(offset, F.lit(0.0)).alias("_offset"),
+        calibrated(F.col("raw_weight_kg"), offset).alias("weight_kg"))
     # A boolean passes as a weight only where the offset turns it into a number.
-    bad_weight = ((F.col("raw_weight_kg").isNotNull() & F.col("weight_kg").isNull())
-                  | (F.col("weight_is_boolean") & (offset == 0.0)))
-    reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
-              .when(F.col("sensor_id").isNull(), "unknown_device")
-              .when(F.col("bin_id").isNull(), "bad_bin")
-              .when(F.col("_has_bin").isNull(), "unknown_bin")
-              .when(bad_weight, "bad_value"))
+    final_reason = F.expr("""CASE WHEN reason IS NOT NULL THEN reason
+        WHEN sensor_id IS NULL THEN 'unknown_device'
+        WHEN bin_id IS NULL THEN 'bad_bin'
+        WHEN _has_bin IS NULL THEN 'unknown_bin'
+        WHEN (raw_weight_kg IS NOT NULL AND weight_kg IS NULL)
+             OR (weight_is_boolean AND _offset = 0) THEN 'bad_value' END""")
     return placed.select(
         *messages.columns, F.col("arrival_seq").alias("reading_id"), "sensor_id", "bin_id",
         *GATED, *LENIENT, "weight_kg", "signal_strength", "timestamp",
         F.col("arrival_ts").alias("created_at"), "bin_code", "payload_bin_id",
-        F.coalesce("payload_has_bin", F.lit(False)).alias("payload_has_bin"),
-        *[f"raw_{n}" for n in GATED], reason.alias("reason"))
+        F.expr("coalesce(payload_has_bin, false)").alias("payload_has_bin"),
+        *[f"raw_{n}" for n in GATED], final_reason.alias("reason"))
 
 
 def accepted_readings(classified: DataFrame) -> DataFrame:

@@ -87,5 +87,5 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     a payload would be parsed many times.
     """
     staged = df.select("*", *[value.alias(f"_once_{name}") for name, value in columns.items()])
-    row = F.struct(*[F.col(f"_once_{name}").alias(name) for name in columns])
-    return staged.select(*df.columns, F.inline(F.array(row)))
+    fields = ", ".join(f"'{name}', _once_{name}" for name in columns)
+    return staged.select(*df.columns, F.expr(f"inline(array(named_struct({fields})))"))

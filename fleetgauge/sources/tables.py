@@ -33,17 +33,16 @@ def write_readings(readings: DataFrame, path: str, batch_id: int | None = None)
 
     Rows are rebalanced on the date, and a date too large for one file is split
     again at run time, so a busy day does not become one task. With ``batch_id`` the
-    folders also carry the batch, and writing the batch again replaces only its own
-    folders: a replay after a lost driver leaves no duplicates.
+    date folders lie in a folder of the batch, and writing the batch again replaces that
+    folder: a replay after a lost driver leaves no duplicates. Reading such folders and
+    appending them without ``batch_id`` compacts them.
     """
     out = (readings.withColumn(DATE_COLUMN, F.col("timestamp").cast("date"))
            .hint("rebalance", DATE_COLUMN).sortWithinPartitions(DATE_COLUMN, "bin_id"))
     if batch_id is None:
         out.write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
-        return
-    (out.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DATE_COLUMN, "batch_id").parquet(path))
+    else:
+        out.write.mode("overwrite").partitionBy(DATE_COLUMN).parquet(f"{path}/batch_id={batch_id}")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
