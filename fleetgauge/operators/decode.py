@@ -1,7 +1,8 @@
 """Telemetry payloads: JSON text to typed fields, with a reason where that fails.
 
-A variant tells apart what a declared JSON schema cannot: a key that is missing, an
-explicit null, a number, and a string that looks like one.
+The payload is read in one pass into a struct of variants. A variant tells apart what a
+typed field cannot: a key that is missing, an explicit null, a number, and a string that
+looks like one. Of repeated keys the last counts.
 """
 
 from __future__ import annotations
@@ -19,15 +20,21 @@ LENIENT = {"distance_cm": "decimal(6,2)", "humidity": "decimal(5,2)", "gas_level
 TAGGED = ("bin_id", "weight_kg", "signal_strength", "timestamp", "mac_address", "sensor_code",
           *GATED, *LENIENT)
 RAW = "decimal(28,10)"
+FIELDS = "array<struct<" + ", ".join(f"{n}: variant" for n in (*TAGGED, "bin_code")) + ">>"
+# In brackets the parser has to reach the end of the text, so text after the object is
+# an error; a closing bracket of the payload's own is caught by its last character.
+_OBJECTS = f"from_json(concat('[', payload, ']'), '{FIELDS}', map('allowSingleQuotes', 'false'))"
+_IS_OBJECT = ("size(_objects) = 1 AND _objects[0] IS NOT NULL "
+              "AND endswith(btrim(payload, ' \\t\\r\\n'), '}')")
 
 
 def _value(name: str, kind: str) -> str:
-    return f"try_variant_get(_json, '$.{name}', '{kind}')"
+    return f"try_cast(_fields.{name} AS {kind})"
 
 
 def _kind(name: str) -> Column:
     """missing, null, number, string, boolean or other."""
-    tag = f"schema_of_variant({_value(name, 'variant')})"
+    tag = f"schema_of_variant(_fields.{name})"
     return F.expr(f"""CASE WHEN {tag} IS NULL THEN 'missing' WHEN {tag} = 'VOID' THEN 'null'
         WHEN {tag} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {tag} LIKE 'DECIMAL%' THEN 'number'
         WHEN {tag} = 'STRING' THEN 'string' WHEN {tag} = 'BOOLEAN' THEN 'boolean'
@@ -63,7 +70,7 @@ _MISFIT = " OR ".join(
     [f"(_k_{n} = 'number' AND {n} IS NULL)" for n in GATED]
     + [f"(_k_{n} NOT IN ('missing', 'null') AND {n} IS NULL)" for n in (*LENIENT, "signal_strength")]
     + ["(_k_weight_kg NOT IN ('missing', 'null') AND raw_weight_kg IS NULL)", "timestamp IS NULL"])
-_REASON = f"""CASE WHEN _json IS NULL OR NOT startswith(ltrim(payload), '{{') THEN 'malformed'
+_REASON = f"""CASE WHEN _fields IS NULL THEN 'malformed'
     WHEN {_BAD_GATE} THEN 'not_a_number'
     WHEN _k_mac_address NOT IN ('missing', 'string') THEN 'bad_mac'
     WHEN {_MISFIT} THEN 'bad_value' END"""
@@ -75,7 +82,9 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     Stored measures are rounded to their column; the ``raw_`` fields keep the payload's
     own digits for the alert rules.
     """
-    parsed = computed_once(subscribed(messages), {"_json": F.expr("try_parse_json(payload)")})
+    read = computed_once(subscribed(messages), {"_objects": F.expr(_OBJECTS)})
+    parsed = computed_once(read, {"_fields": F.expr(f"IF({_IS_OBJECT}, _objects[0], NULL)")}).drop(
+        "_objects")
     tagged = computed_once(parsed, {f"_k_{n}": _kind(n) for n in TAGGED})
     typed = computed_once(tagged, {
         "mac": canonical_mac(F.expr(

@@ -59,6 +59,21 @@ def test_gate(spark, registry):
         "malformed", "malformed", "malformed", "malformed", *["not_a_number"] * 6, None, None]
 
 
+def test_malformed_text(spark, registry):
+    text = json.dumps(good())
+    bad = [text + " x", text + text, text + "," + text, text + "]", text + " }", text[:-1],
+           text.replace('"', "'"), "", "{,}", "[" + text + "]", "\ufeff" + text]
+    assert reasons(spark, registry, *bad) == ["malformed"] * len(bad)
+    assert reasons(spark, registry, f" \n{text}\t\r\n ", "{}") == [None, "unknown_device"]
+
+
+def test_the_last_of_repeated_keys_counts(spark, registry):
+    text = json.dumps(good())[:-1]
+    got = accepted_readings(classify(spark, registry, text + ', "fill_level": 7}'))
+    assert rows(got, "fill_level") == [(dec("7.00"),)]
+    assert reasons(spark, registry, text + ', "fill_level": null}') == ["not_a_number"]
+
+
 def test_topics(spark):
     topics = ["waste/bins/a/sensors", "waste/bins/a/b/sensors", "waste/bins//sensors", "x/waste/bins/a/sensors"]
     df = messages(spark, *[(t, "{}") for t in topics])

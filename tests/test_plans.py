@@ -80,7 +80,7 @@ def test_no_query_crosses_or_calls_python(spark, sf_dir, name):
 def test_payload_is_parsed_once(spark, sf_dir):
     for name in ("ingest_accepted", "alerts_deduped"):
         text = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-        assert text.lower().count("parsejson") == 1
+        assert text.count("from_json(") == 1
 
 
 def test_inferred_collections_match_a_plain_lag(spark):
