@@ -67,7 +67,7 @@ _TIME = f"""CASE WHEN _k_timestamp IN ('missing', 'null') THEN arrival_ts
 
 _BAD_GATE = " OR ".join(f"_k_{n} NOT IN ('missing', 'number')" for n in GATED)
 _MISFIT = " OR ".join(
-    [f"(_k_{n} = 'number' AND {n} IS NULL)" for n in GATED]
+    [f"(_k_{n} = 'number' AND try_cast(raw_{n} AS {t}) IS NULL)" for n, t in GATED.items()]
     + [f"(_k_{n} NOT IN ('missing', 'null') AND {n} IS NULL)" for n in (*LENIENT, "signal_strength")]
     + ["(_k_weight_kg NOT IN ('missing', 'null') AND raw_weight_kg IS NULL)", "timestamp IS NULL"])
 _REASON = f"""CASE WHEN _fields IS NULL THEN 'malformed'
@@ -93,12 +93,13 @@ def decode_messages(messages: DataFrame) -> DataFrame:
             f"CASE WHEN _k_sensor_code = 'string' THEN {_value('sensor_code', 'string')} END"),
         "bin_code": F.expr(_value("bin_code", "string")),
         "payload_bin_id": F.expr(_BIN_ID),
-        **{n: _stored(n, t) for n, t in {**GATED, **LENIENT}.items()},
+        **{n: _stored(n, t) for n, t in LENIENT.items()},
         **{f"raw_{n}": F.expr(f"CASE WHEN _k_{n} = 'number' THEN {_value(n, RAW)} END")
            for n in GATED},
         "raw_weight_kg": F.expr(_WEIGHT), "signal_strength": F.expr(_SIGNAL),
         "timestamp": F.expr(_TIME)})
     return computed_once(typed, {
+        **{n: F.expr(f"try_cast(raw_{n} AS {t})") for n, t in GATED.items()},
         "reason": F.expr(_REASON), "weight_is_boolean": F.expr("_k_weight_kg = 'boolean'")}).select(
         *messages.columns, "mac", "sensor_code", "bin_code", "payload_bin_id",
         *GATED, *LENIENT, *[f"raw_{n}" for n in GATED], "raw_weight_kg", "weight_is_boolean",

@@ -19,14 +19,20 @@ def latest_per_key(df: DataFrame, keys: list[str], values: list[str],
 
 
 def top_n_per_key(df: DataFrame, key: str, order: list[Column], n: int,
-                  rank: str = "rank") -> DataFrame:
+                  rank: str = "rank", salts: int = 32) -> DataFrame:
     """The first ``n`` rows of each key with their rank.
 
-    The rank filter becomes a group limit on both sides of the exchange: at most ``n``
-    rows of a key leave an input partition.
+    A rank filter becomes a group limit on both sides of its exchange. The first pass
+    ranks within the key and a salt that all rows of an input partition share: at most
+    ``n`` rows of a key leave a partition, and those of a busy key go to ``salts`` tasks.
+    The second pass ranks the at most ``n * salts`` rows left of each key.
     """
+    salted = Window.partitionBy(key, "_salt").orderBy(*order)
+    few = (df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+           .withColumn("_rank", F.row_number().over(salted))
+           .filter(F.col("_rank") <= n).drop("_rank", "_salt"))
     window = Window.partitionBy(key).orderBy(*order)
-    return (df.withColumn(rank, F.row_number().over(window))
+    return (few.withColumn(rank, F.row_number().over(window))
             .filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long")))
 
 
@@ -39,20 +45,21 @@ def spread_null(key: Column, by: Column) -> Column:
 
 
 def with_previous(df: DataFrame, key: str, value: str, order: list[str], time: str,
-                  keep: Column) -> DataFrame:
+                  keep: Column, slice_length: str = "10 minutes") -> DataFrame:
     """Rows for which ``keep`` holds, where ``keep`` may read ``previous``: the value of
     the row before, in order, of the same key.
 
     A window over the key alone would sort all rows of a busy key in one task. Here the
-    first window is over (key, hour); only the first and last row of each hour, and the
-    rows already known to be kept, go on to the window over the key.
+    first window is over (key, time slice); only the first and last row of each slice, and
+    the rows already known to be kept, go on to the window over the key. Their number per
+    key is bounded by the number of slices, not by the number of rows.
     """
     ordering = [F.col(c) for c in order]
-    hour = Window.partitionBy(key, "_hour").orderBy(*ordering)
-    inner = (df.withColumn("_hour", F.window(time, "1 hour").start)
-             .withColumn("_first", F.row_number().over(hour) == 1)
-             .withColumn("_last", F.lead(F.lit(1)).over(hour).isNull())
-             .withColumn("previous", F.lag(value).over(hour)))
+    within = Window.partitionBy(key, "_slice").orderBy(*ordering)
+    inner = (df.withColumn("_slice", F.window(time, slice_length).start)
+             .withColumn("_first", F.row_number().over(within) == 1)
+             .withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
+             .withColumn("previous", F.lag(value).over(within)))
     inner = (inner.withColumn("_keep", ~F.col("_first") & F.coalesce(keep, F.lit(False)))
              .filter("_first OR _last OR _keep"))
     across = Window.partitionBy(key).orderBy(*ordering)
@@ -60,7 +67,7 @@ def with_previous(df: DataFrame, key: str, value: str, order: list[str], time: s
             .withColumn("previous", F.when(F.col("_first"), F.col("_before"))
                         .otherwise(F.col("previous")))
             .filter(F.when(F.col("_first"), keep).otherwise(F.col("_keep")))
-            .drop("_hour", "_first", "_last", "_keep", "_before"))
+            .drop("_slice", "_first", "_last", "_keep", "_before"))
 
 
 def single_row(*parts: DataFrame) -> DataFrame:

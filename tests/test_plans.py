@@ -67,7 +67,7 @@ def test_status_reads_the_readings_once(stored, spark):
 def test_group_limit_on_both_sides_of_the_exchange(stored):
     frame, _ = stored
     text = plan(status.recent_readings(frame))
-    assert text.count("WindowGroupLimit") == 2
+    assert text.count("WindowGroupLimit") == 4
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.queries() if not n.startswith("stream_")])
@@ -96,8 +96,8 @@ def test_inferred_collections_match_a_plain_lag(spark):
         assert got.count() > 0
 
 
-def test_only_hour_borders_reach_the_window_over_the_key(spark):
-    # 3600 readings of one bin within two hours: the second window gets four rows.
+def test_only_slice_borders_reach_the_window_over_the_key(spark):
+    # Rows between the borders of a slice are gone before the window over the bin.
     frame = spark.range(3600).select(
         F.lit(1).alias("bin_id"), F.col("id").alias("reading_id"),
         (F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.expr("make_dt_interval(0, 0, 0, id * 2)")).alias("timestamp"),
@@ -107,7 +107,7 @@ def test_only_hour_borders_reach_the_window_over_the_key(spark):
     # The filter on hour borders sits between the two windows.
     lines = plan_text.splitlines()
     across, inner = [i for i, line in enumerate(lines) if "Window [" in line]
-    assert "_hour" not in lines[across] and "_hour" in lines[inner]
+    assert "_slice" not in lines[across] and "_slice" in lines[inner]
     assert any("Filter" in line and " OR " in line for line in lines[across:inner])
 
 
@@ -137,3 +137,13 @@ def test_top_n_matches_brute_force(spark):
 def test_null_keys_hash_apart(spark):
     df = spark.range(1000).select(spread_null(F.lit(None).cast("string"), F.col("id")).alias("k"))
     assert df.select(F.pmod(F.hash("k"), F.lit(8))).distinct().count() == 8
+
+
+def test_repeated_dense_ids_match_a_plain_count(spark):
+    rng = random.Random(3)
+    ids = [rng.choice((rng.randint(-5, 40000), rng.randint(10**12, 10**12 + 70000))) for _ in range(3000)]
+    frame = spark.createDataFrame([(i,) for i in ids] + [(None,), (None,)], "reading_id long").repartition(5)
+    from fleetgauge.operators.integrity import repeated_dense_ids
+    expected = sorted((i, ids.count(i)) for i in set(ids) if ids.count(i) > 1)
+    got = sorted(tuple(r) for r in repeated_dense_ids(frame, "reading_id").collect())
+    assert expected and got == expected
