@@ -102,10 +102,10 @@ def alerts_by_status(alerts: DataFrame, bins: DataFrame, status: str = "open",
 
 
 def alert_feed(alerts: DataFrame, bins: DataFrame) -> DataFrame:
-    """Open alerts as shown: title, severity, time."""
+    """Open alerts as shown: title, message, severity, time."""
     listed = alerts_by_status(alerts, bins)
     title = F.concat(alert_type_label(F.col("alert_type")), F.lit(" · "),
                      F.coalesce("bin_code", F.lit("")))
     severity = F.coalesce(F.nullif("severity", F.lit("")), F.lit("low"))
-    return listed.select("alert_id", "bin_id", title.alias("title"), severity.alias("severity"),
-                         F.upper(severity).alias("severity_label"), "triggered_at")
+    return listed.select("alert_id", "bin_id", title.alias("title"), "message",
+                         severity.alias("severity"), F.upper(severity).alias("severity_label"), "triggered_at")

@@ -44,7 +44,7 @@ def device_report(devices: DataFrame, as_of) -> DataFrame:
                       F.lit("—"))
     return registered_only(devices).select(
         "sensor_id", "mac_address", name.alias("device_name"),
-        F.coalesce("bin_code", F.lit("—")).alias("bin_code"),
+        F.coalesce(F.nullif("bin_code", F.lit("")), F.lit("—")).alias("bin_code"),
         F.coalesce(fixed_text(F.col("weight_offset"), 2), F.lit("0.00")).alias("offset_text"),
         unit.alias("seen_unit"), count.alias("seen_count"),
         F.coalesce(relative_label(unit, count), F.lit("—")).alias("seen_text"),

@@ -30,6 +30,11 @@ def interval(start_date: str, end_date: str, start_time: str = "00:00",
     return str(start), str(end)
 
 
+def report_name(start_date: str, end_date: str) -> str:
+    """The folder name of a report. The prefix is a fixed value."""
+    return f"infectious_waste_{start_date}_{end_date}"
+
+
 def export_hours(start: str, end: str) -> int:
     """Hours an interval spans, rounded up, between 1 and 720."""
     seconds = (datetime.fromisoformat(end) - datetime.fromisoformat(start)).total_seconds()

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetgauge.functions.identity import (canonical_mac, device_code, is_mac, name_or_mac,
                                            stripped, suffixed_code)
 from fleetgauge.functions.times import ntz
+from fleetgauge.plans.keyed import stacked
+from fleetgauge.sources.schemas import DEFAULTS
 
 # What the registry calls devices it creates.
 SENSOR_TYPE = "weight_scale"
@@ -131,7 +133,8 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
                    F.col("final.name").alias("manufacturer"), F.lit(model).cast("string").alias("model"),
                    F.lit(NEW_STATUS).alias("status"), F.col("mac").alias("mac_address"),
                    F.col("final.weight_offset").alias("weight_offset"),
-                   ntz(as_of).alias("updated_at")))
+                   *[ntz(as_of).alias(c) for c, value in DEFAULTS["sensors"].items()
+                     if value == "now" and c in stamped.columns]))
     if "model" not in updated.columns:
         new = new.drop("model")
     return RegistryChange(results, errors, updated.unionByName(new, allowMissingColumns=True))
@@ -246,7 +249,6 @@ def delete_bins(tables: dict[str, DataFrame], ids: DataFrame) -> CascadeResult:
 
 def _cascade_counts(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
     """Rows before and after per table, from per-key counts rather than from the rows."""
-    from fleetgauge.plans.keyed import stacked
     gone_bins = gone.select("bin_id", F.lit(True).alias("_gone"))
     parts = []
     for name, df in tables.items():

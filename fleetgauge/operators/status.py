@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.levels import NEARLY_FULL, fill_status
 from fleetgauge.functions.measures import mean
+from fleetgauge.operators.collections import recent_collection_count, recent_collections
 from fleetgauge.plans.keyed import latest_per_key, single_row, top_n_per_key
 
 MEASURES = ["fill_level", "weight_kg", "temperature_c", "battery_level", "signal_strength"]
@@ -67,7 +68,6 @@ def bin_detail(status: DataFrame, readings: DataFrame, collections: DataFrame,
 
     An unknown bin gives no status row.
     """
-    from fleetgauge.operators.collections import recent_collections
     return {"bin_info": of_bin(status, bin_id),
             "recent_readings": recent_readings(readings, 10, bin_id),
             "collections": recent_collections(collections, 5, bin_id)}
@@ -98,7 +98,6 @@ def fill_status_distribution(status: DataFrame) -> DataFrame:
 def fleet_stats(status: DataFrame, alerts: DataFrame, collections: DataFrame,
                 collections_as_of) -> DataFrame:
     """The key figures as one row; the status is evaluated once."""
-    from fleetgauge.operators.collections import recent_collection_count
     figures = status.agg(
         F.count_if(F.col("bin_status") == "active").alias("total_bins"),
         F.round(F.coalesce(mean("fill_level", 10), F.lit(0.0)), 2).alias("avg_fill_level"),

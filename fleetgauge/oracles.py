@@ -245,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
     lookback = f"r.timestamp >= {_NOW} - INTERVAL 168 HOUR"
     hourly = f"""SELECT date_trunc('hour', timestamp) AS hour, {_mean('fill_level')} AS avg_fill_level,
       count(*) AS reading_count FROM sensor_readings"""
-    listed = """SELECT a.alert_id, a.bin_id, a.alert_type, a.severity, a.status, a.triggered_at,
+    listed = """SELECT a.alert_id, a.bin_id, a.alert_type, a.severity, a.message, a.status, a.triggered_at,
       b.bin_code, b.location FROM alerts a LEFT JOIN waste_bins b ON b.bin_id = a.bin_id
       WHERE a.status = 'open' ORDER BY a.triggered_at DESC, a.alert_id DESC LIMIT 100"""
     return {
@@ -281,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * FROM sensor_readings ORDER BY timestamp DESC, reading_id DESC LIMIT 10"),
         "alerts_by_status": _with("alerts waste_bins", listed),
         "alert_feed": _with("alerts waste_bins", f"listed AS ({listed})", f"""SELECT alert_id, bin_id,
-            {_case('alert_type', labels.ALERT_TYPE_LABELS, "replace(alert_type, '_', ' ')")} || ' · ' || coalesce(bin_code, '') AS title,
+            {_case('alert_type', labels.ALERT_TYPE_LABELS, "replace(alert_type, '_', ' ')")} || ' · ' || coalesce(bin_code, '') AS title, message,
             coalesce(nullif(severity, ''), 'low') AS severity, upper(coalesce(nullif(severity, ''), 'low')) AS severity_label,
             triggered_at FROM listed"""),
         "sensors_with_bins": _with("sensors waste_bins", """SELECT s.*, b.bin_code, b.location FROM sensors s

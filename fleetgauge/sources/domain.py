@@ -61,6 +61,7 @@ SELECT o_orderkey AS alert_id, CAST(o_custkey AS INT) AS bin_id,
             WHEN 2 THEN 'unusual_activity' ELSE 'maintenance_required' END AS alert_type,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high'
             WHEN '3' THEN 'medium' ELSE 'low' END AS severity,
+       concat('Alert ', CAST(o_orderkey AS STRING)) AS message,
        CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'resolved' ELSE 'acknowledged' END AS status,
        o_orderdate AS triggered_at
 FROM {orders}

@@ -22,8 +22,10 @@ from fleetgauge.sources.tables import write_batch, write_readings
 
 Registry = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 
-ALERT_SCHEMA = ("alert_id long, bin_id int, alert_type string, severity string, message string, "
-                "triggered_at timestamp_ntz, status string, arrival_seq long, batch_id long")
+ALERT_FIELDS = {"alert_id": "long", "bin_id": "int", "alert_type": "string",
+                "severity": "string", "message": "string", "triggered_at": "timestamp_ntz",
+                "status": "string", "arrival_seq": "long"}
+ALERT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in ALERT_FIELDS.items())
 
 
 class IngestResult(NamedTuple):
@@ -48,7 +50,7 @@ def _results(classified: DataFrame, alerts: DataFrame, rules: AlertRules,
 
 def stored_alerts(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """Alerts written by the stream; ``before`` leaves out that batch and later ones."""
-    alerts = spark.read.schema(ALERT_SCHEMA).parquet(path)
+    alerts = spark.read.schema(f"{ALERT_SCHEMA}, batch_id long").parquet(path)
     return alerts if before is None else alerts.filter(F.col("batch_id") < before)
 
 
@@ -69,14 +71,14 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
     """
     spark = messages.sparkSession
     alerts_path = f"{root}/alerts"
-    start = known_alerts if known_alerts is not None else spark.createDataFrame(
-        [], "alert_id long, bin_id int, alert_type string, severity string, status string, "
-            "triggered_at timestamp_ntz")
-    shaped = start.select(*[F.col(c) if c in start.columns else F.lit(None).cast(kind).alias(c)
-                            for c, kind in (p.split(" ") for p in ALERT_SCHEMA.split(", "))
-                            if c != "batch_id"])
+    start = known_alerts
+    if start is None:
+        start = spark.createDataFrame([], ALERT_SCHEMA)
+    held = start.filter("status = 'open'").select(*[
+        (F.col(name) if name in start.columns else F.lit(None)).cast(kind).alias(name)
+        for name, kind in ALERT_FIELDS.items()])
     # Alerts from before the stream are batch -1; a restart finds them in place.
-    shaped.write.mode("ignore").parquet(f"{alerts_path}/batch_id=-1")
+    held.write.mode("ignore").parquet(f"{alerts_path}/batch_id=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

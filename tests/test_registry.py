@@ -131,8 +131,9 @@ def test_register_random(spark, bins, seed):
 def test_new_rows_carry_the_defaults(spark, bins):
     change = registered(spark, [item(3, mac(40), "N", 1)], SENSORS, bins)
     new = change.snapshot.filter("sensor_code = 'N'").first()
-    assert (new["sensor_id"], new["sensor_type"], new["model"], new["status"], new["updated_at"]) == (
-        8, "weight_scale", "M1", "active", ts(AS_OF))
+    assert (new["sensor_id"], new["sensor_type"], new["model"], new["status"], new["updated_at"],
+            new["created_at"], new["installed_date"], new["last_calibration"]) == (
+        8, "weight_scale", "M1", "active", ts(AS_OF), ts(AS_OF), ts(AS_OF), None)
     untouched = change.snapshot.filter("sensor_id = 2").first()
     assert untouched["updated_at"] is None
 

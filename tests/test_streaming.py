@@ -102,7 +102,7 @@ def test_replay_of_a_batch_gives_the_same_rows(spark, sf_dir, tmp_path):
     fleet = Fleet(spark, sf_dir)
     root = str(tmp_path)
     messages = fleet.messages
-    empty = spark.createDataFrame([], ingest.ALERT_SCHEMA).drop("batch_id")
+    empty = spark.createDataFrame([], ingest.ALERT_SCHEMA)
     empty.write.parquet(f"{root}/alerts/batch_id=-1")
     from fleetgauge.sources.tables import write_batch, write_readings
     for _ in range(2):
