@@ -10,9 +10,13 @@ def total(column) -> Column:
     return F.sum(F.col(column).cast("decimal(8,2)"))
 
 
-def mean(column, digits: int = 6) -> Column:
+def exact_mean(column) -> Column:
     """Mean from the exact sum, so it does not depend on the order of rows."""
-    return F.round(F.try_divide(total(column).cast("double"), F.count(F.col(column))), digits)
+    return F.try_divide(total(column).cast("double"), F.count(F.col(column)))
+
+
+def mean(column, digits: int = 6) -> Column:
+    return F.round(exact_mean(column), digits)
 
 
 def calibrated(weight: Column, offset: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.levels import NEARLY_FULL, fill_status
-from fleetgauge.functions.measures import mean
+from fleetgauge.functions.measures import exact_mean
 from fleetgauge.operators.collections import recent_collection_count, recent_collections
 from fleetgauge.plans.keyed import latest_per_key, single_row, top_n_per_key
 
@@ -100,7 +100,7 @@ def fleet_stats(status: DataFrame, alerts: DataFrame, collections: DataFrame,
     """The key figures as one row; the status is evaluated once."""
     figures = status.agg(
         F.count_if(F.col("bin_status") == "active").alias("total_bins"),
-        F.round(F.coalesce(mean("fill_level", 10), F.lit(0.0)), 2).alias("avg_fill_level"),
+        F.round(F.coalesce(exact_mean("fill_level"), F.lit(0.0)), 2).alias("avg_fill_level"),
         F.count_if(F.col("fill_level") >= NEARLY_FULL).alias("bins_need_attention"))
     return single_row(figures, open_alert_total(alerts),
                       recent_collection_count(collections, collections_as_of))
