@@ -28,5 +28,5 @@ def calibrated(weight: Column, offset: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """Text with one decimal, rounded half up from the exact value."""
+    """Text with one decimal, rounded half up from the printed value."""
     return value.cast("decimal(20,1)").cast("string")

@@ -37,7 +37,7 @@ def alert_candidates(classified: DataFrame, rules: AlertRules = AlertRules(),
                      alert_bin: str = "payload") -> DataFrame:
     """All rule hits of accepted messages, in one pass.
 
-    Rules look at the payload's own digits, not at the stored, rounded measures. The
+    Rules look at the payload's own numbers, not at the stored, rounded measures. The
     alert names the bin of the payload (``alert_bin='resolved'``: the registry's); a
     payload bin that is absent or unknown raises nothing. ``alert_id`` follows from the
     arrival number and the rule, so it is unique and grows with arrival.
@@ -50,9 +50,9 @@ def alert_candidates(classified: DataFrame, rules: AlertRules = AlertRules(),
         bin_id = F.col("bin_id")
     else:
         raise ValueError(f"alert_bin must be 'payload' or 'resolved', got {alert_bin!r}")
-    fill = F.coalesce("raw_fill_level", F.lit(rules.missing_fill).cast("decimal(28,10)"))
-    battery = F.coalesce("raw_battery_level", F.lit(rules.missing_battery).cast("decimal(28,10)"))
-    heat = F.coalesce("raw_temperature_c", F.lit(rules.missing_temperature).cast("decimal(28,10)"))
+    fill = F.coalesce("raw_fill_level", F.lit(float(rules.missing_fill)))
+    battery = F.coalesce("raw_battery_level", F.lit(float(rules.missing_battery)))
+    heat = F.coalesce("raw_temperature_c", F.lit(float(rules.missing_temperature)))
     code = F.coalesce("bin_code", F.lit("None"))
     critical = fill >= rules.fill_critical
     # The message texts.

@@ -19,7 +19,8 @@ GATED = {"fill_level": "decimal(5,2)", "temperature_c": "decimal(5,2)",
 LENIENT = {"distance_cm": "decimal(6,2)", "humidity": "decimal(5,2)", "gas_level": "decimal(5,2)"}
 TAGGED = ("bin_id", "weight_kg", "signal_strength", "timestamp", "mac_address", "sensor_code",
           *GATED, *LENIENT)
-RAW = "decimal(28,10)"
+# Wide enough for every digit a payload weight can have.
+WEIGHT = "decimal(38,18)"
 FIELDS = "array<struct<" + ", ".join(f"{n}: variant" for n in (*TAGGED, "bin_code")) + ">>"
 # In brackets the parser has to reach the end of the text, so text after the object is
 # an error; a closing bracket of the payload's own is caught by its last character.
@@ -43,8 +44,8 @@ def _kind(name: str) -> Column:
 
 def _stored(name: str, target: str) -> Column:
     """Numbers and numeric text; anything else is NULL and caught as misfit."""
-    return F.expr(f"""CASE WHEN _k_{name} IN ('number', 'string')
-        THEN try_cast({_value(name, RAW)} AS {target}) END""")
+    return F.expr(f"""CASE _k_{name} WHEN 'number' THEN try_cast({_value(name, 'double')} AS {target})
+        WHEN 'string' THEN try_cast({_value(name, 'string')} AS {target}) END""")
 
 
 # Whole numbers are taken as they are, others lose their fraction; text must be whole.
@@ -52,11 +53,12 @@ _BIN_ID = f"""CASE _k_bin_id
     WHEN 'string' THEN try_cast({_value('bin_id', 'string')} AS int)
     WHEN 'number' THEN try_cast({_value('bin_id', 'double')} AS int)
     WHEN 'boolean' THEN CAST({_value('bin_id', 'boolean')} AS int) END"""
-_WEIGHT = f"""CASE WHEN _k_weight_kg IN ('number', 'string') THEN {_value('weight_kg', RAW)}
-    WHEN _k_weight_kg = 'boolean'
-    THEN CAST(CAST({_value('weight_kg', 'boolean')} AS int) AS {RAW}) END"""
+_WEIGHT = f"""CASE _k_weight_kg
+    WHEN 'number' THEN try_cast({_value('weight_kg', 'double')} AS {WEIGHT})
+    WHEN 'string' THEN try_cast({_value('weight_kg', 'string')} AS {WEIGHT})
+    WHEN 'boolean' THEN CAST(CAST({_value('weight_kg', 'boolean')} AS int) AS {WEIGHT}) END"""
 _SIGNAL = f"""CASE _k_signal_strength
-    WHEN 'number' THEN try_cast(try_cast({_value('signal_strength', RAW)} AS decimal(20,0)) AS int)
+    WHEN 'number' THEN try_cast({_value('signal_strength', 'decimal(20,0)')} AS int)
     WHEN 'string' THEN try_cast({_value('signal_strength', 'string')} AS int) END"""
 # A year or a month alone is no time: there must be a second dash, before the day.
 _TIME_TEXT = _value("timestamp", "string")
@@ -80,7 +82,7 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     """Subscribed messages with their fields and ``reason``, NULL where all is well.
 
     Stored measures are rounded to their column; the ``raw_`` fields keep the payload's
-    own digits for the alert rules.
+    own numbers for the alert rules.
     """
     read = computed_once(subscribed(messages), {"_objects": F.expr(_OBJECTS)})
     parsed = computed_once(read, {"_fields": F.expr(f"IF({_IS_OBJECT}, _objects[0], NULL)")}).drop(
@@ -94,7 +96,7 @@ def decode_messages(messages: DataFrame) -> DataFrame:
         "bin_code": F.expr(_value("bin_code", "string")),
         "payload_bin_id": F.expr(_BIN_ID),
         **{n: _stored(n, t) for n, t in LENIENT.items()},
-        **{f"raw_{n}": F.expr(f"CASE WHEN _k_{n} = 'number' THEN {_value(n, RAW)} END")
+        **{f"raw_{n}": F.expr(f"CASE WHEN _k_{n} = 'number' THEN {_value(n, 'double')} END")
            for n in GATED},
         "raw_weight_kg": F.expr(_WEIGHT), "signal_strength": F.expr(_SIGNAL),
         "timestamp": F.expr(_TIME)})

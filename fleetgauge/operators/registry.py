@@ -11,8 +11,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetgauge.functions.identity import (canonical_mac, device_code, is_mac, name_or_mac,
-                                           stripped, suffixed_code)
+from fleetgauge.functions.identity import (canonical_mac, device_code, is_mac, mac_from_hex,
+                                           name_or_mac, stripped, suffixed_code)
 from fleetgauge.functions.times import ntz
 from fleetgauge.plans.keyed import stacked
 from fleetgauge.sources.schemas import DEFAULTS
@@ -36,9 +36,10 @@ class CascadeResult(NamedTuple):
 def form_rows(rows: DataFrame) -> DataFrame:
     """Registration form rows with what is wrong with them.
 
-    A row needs a full MAC and a bin; a blank name becomes the MAC, a blank offset zero.
+    The MAC is formatted from the hex digits typed. A row needs a full MAC and a bin; a
+    blank name becomes the MAC, a blank offset zero.
     """
-    mac = canonical_mac(F.coalesce("mac_address", F.lit("")))
+    mac = mac_from_hex(F.coalesce("mac_address", F.lit("")))
     return rows.select(
         "item_seq", mac.alias("mac_address"),
         name_or_mac(F.coalesce("device_name", F.lit("")), mac).alias("device_name"),

@@ -371,10 +371,11 @@ def oracle_sql() -> dict[str, str]:
             strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN ''
               ELSE '.' || lpad(CAST(microsecond(timestamp) % 1000000 AS VARCHAR), 6, '0') END || '+07:00' AS timestamp
             FROM sensor_readings"""),
-        "registration_form": _with("device_items", """SELECT item_seq, upper(trim(mac_address)) AS mac_address,
-            coalesce(nullif(trim(device_name), ''), upper(trim(mac_address))) AS device_name, bin_id, weight_offset,
-            regexp_full_match(upper(trim(mac_address)), '([0-9A-F]{2}:){5}[0-9A-F]{2}') AS mac_ok,
-            bin_id <> 0 AS bin_ok FROM device_items"""),
+        "registration_form": _with("device_items", r"""typed AS (SELECT *, rtrim(regexp_replace(substr(upper(
+              regexp_replace(mac_address, '[^0-9A-Fa-f]', '', 'g')), 1, 12), '(..)', '\1:', 'g'), ':') AS mac FROM device_items)""",
+            """SELECT item_seq, mac AS mac_address, coalesce(nullif(trim(device_name), ''), mac) AS device_name,
+            bin_id, weight_offset, regexp_full_match(mac, '([0-9A-F]{2}:){5}[0-9A-F]{2}') AS mac_ok,
+            bin_id <> 0 AS bin_ok FROM typed"""),
         "register_devices": _with(_REGISTER_VIEWS, _REGISTER, """SELECT item_seq, mac, bin_code,
             CASE WHEN known_id IS NULL AND item_seq = first_seq THEN sensor_code END AS sensor_code,
             CASE WHEN known_id IS NULL AND item_seq = first_seq THEN 'created' ELSE 'updated' END AS action

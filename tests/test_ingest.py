@@ -147,6 +147,21 @@ def test_alert_limits(spark, registry):
         (6, "bin_full", "high"), (7, "bin_full", "critical")]
 
 
+def test_rules_see_every_digit(spark, registry):
+    got = hits(spark, registry, good(fill_level=89.99999999999), good(fill_level=74.99999999999))
+    assert [(s, v) for s, _, _, v, _ in got] == [(0, "high")]
+
+
+def test_numbers_out_of_range(spark, registry):
+    text = json.dumps(good())
+    assert reasons(spark, registry, *[text.replace("10.5", v) for v in ("NaN", "1e400", "-1000", "1e3")]) == [
+        "bad_value"] * 4
+    got = accepted_readings(classify(spark, registry, text.replace("10.5", "1.25e1"),
+                                     good(weight_kg=1.00499999999, distance_cm=0.125)))
+    assert rows(got, "reading_id", "fill_level", "weight_kg", "distance_cm") == [
+        (0, dec("12.50"), None, None), (1, dec("10.50"), dec("1.00"), dec("0.13"))]
+
+
 def test_alert_messages_and_several_rules(spark, registry):
     got = hits(spark, registry, good(fill_level=95, battery_level=5, temperature_c=50.25),
                {"sensor_code": "S11", "bin_id": "2"})

@@ -139,11 +139,11 @@ def test_new_rows_carry_the_defaults(spark, bins):
 
 
 def test_form_rows(spark):
-    df = table(spark, "DEVICE_ITEMS", item(1, " aa:bb:cc:dd:ee:ff", " ", 3, None), item(2, "x", "n", None, 2.0))
+    df = table(spark, "DEVICE_ITEMS", item(1, " aabb-cc.ddeeff00", " ", 3, None), item(2, "x", "n", None, 2.0))
     assert rows(registry.form_rows(df), "item_seq", "mac_address", "device_name", "bin_id",
                 "weight_offset", "mac_ok", "bin_ok") == [
         (1, "AA:BB:CC:DD:EE:FF", "AA:BB:CC:DD:EE:FF", 3, 0.0, True, True),
-        (2, "X", "n", 0, 2.0, False, False)]
+        (2, "", "n", 0, 2.0, False, False)]
 
 
 def update(seq, sensor_id, m, bin_id=1):
