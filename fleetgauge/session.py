@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,8 +18,6 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_local_roots: dict[str, str] = {}
-
 
 def build_session(app_name: str = "fleetgauge", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
@@ -36,14 +33,11 @@ def build_session(app_name: str = "fleetgauge", master: str | None = None,
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, for stream sinks and checkpoints.
 
-    The root is the cluster's ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a temporary root of its own.
+    The root is the cluster's ``spark.checkpoint.dir``; where that is unset, as on one
+    machine, a folder below the warehouse. Both are shared by driver and executors. The
+    folder belongs to the caller, who removes it when its readers are done.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        app = context.applicationId
-        root = _local_roots.setdefault(app, tempfile.mkdtemp(prefix="fleetgauge-"))
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{root.rstrip('/')}/fleetgauge/{purpose}-{uuid.uuid4().hex}"

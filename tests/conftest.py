@@ -11,11 +11,13 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
-        "spark.sql.maxMetadataStringLength": "2000"})
+        "spark.sql.maxMetadataStringLength": "2000",
+        "spark.sql.warehouse.dir": f"file:{tmp_path_factory.mktemp('warehouse')}",
+        "spark.checkpoint.dir": f"file:{tmp_path_factory.mktemp('shared')}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
