@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import decontaminate, language, mixing, shards
+from fleetgauge.llm import decontaminate, jaccard, language, mixing, shards
 from fleetgauge.llm.queries import MIX_NAMES, SHARDS
 from fleetgauge.llm.tables import DOCUMENT_COLUMNS, small, table, written
 
@@ -23,6 +23,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             .withColumn("lang", F.col("lang_pred")).select(*DOCUMENT_COLUMNS))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays, the one with the least id."""
+    found = written(jaccard.join(docs), "near-copies")
+    gone = written(jaccard.copies(found), "gone")
+    mark = F.xxhash64("text")
+    kept = docs.withColumn("mark", mark).join(
+        small(gone.withColumnRenamed("mark", "mark2")),
+        (F.col("mark") == F.col("mark2")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    if found.groupBy("id", "mark").count().filter("count > 1").isEmpty():
+        return kept.select(*DOCUMENT_COLUMNS)
+    # The same id with the same text twice or more: one row of them stays.
+    return kept.dropDuplicates(["doc_id", "mark"]).select(*DOCUMENT_COLUMNS)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go."""
     mark = F.xxhash64("doc_id", "text")
@@ -48,6 +62,7 @@ def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
+    ("jaccard_join", drop_near_copies),
     ("benchmark_decontamination", drop_contaminated),
     ("mixing", mix_sources),
     ("sharding", place),

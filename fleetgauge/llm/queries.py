@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import decontaminate, language, mixing, shards
+from fleetgauge.llm import decontaminate, jaccard, language, mixing, shards
 from fleetgauge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_NAMES)
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens",
@@ -51,7 +56,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_mix_sources, op6_language_id,
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op4_mix_sources, op6_language_id,
                                     op9_sharding)}
 
 
@@ -88,5 +93,30 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i
+        FROM doc_words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id)
+                                 + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents
+          UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = d.doc_id
+GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL}
