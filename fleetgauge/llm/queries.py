@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import decontaminate, jaccard, language, mixing, shards
+from fleetgauge.llm import anchors, decontaminate, jaccard, language, mixing, shards
 from fleetgauge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "mix_probability", "mix_kept")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs)
@@ -56,8 +61,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op4_mix_sources, op6_language_id,
-                                    op9_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op4_mix_sources, op5_substring_dedup,
+                                    op6_language_id, op9_sharding)}
 
 
 OP1_SQL = r"""
@@ -118,5 +123,24 @@ GROUP BY d.doc_id
 """
 
 
+OP5_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 20, -1) + 2)) AS i FROM doc_words)),
+later AS (SELECT doc_id, i FROM windows
+          QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+kept AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS t, count(*) AS n
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM doc_words)
+         ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM doc_words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL,
+            "op5_substring_dedup": OP5_SQL}
