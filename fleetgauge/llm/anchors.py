@@ -9,8 +9,8 @@ exact repeats. The first occurrence, by document id and then place, stays; every
 later one is removed.
 
 Hashes of ``block`` words travel packed, 4 bytes a probe, since a false hit costs only a
-comparison. Hashes that decide have 64 bits. Texts that are equal word by word count as
-one: the later ones repeat the first as a whole.
+comparison. Hashes that decide have 64 bits. Equal texts count as one: the later ones
+repeat the first as a whole.
 """
 
 from __future__ import annotations
@@ -23,13 +23,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import packs, scan
-from fleetgauge.llm.tables import partitions, small, written
+from fleetgauge.llm import packs, probes, scan
+from fleetgauge.llm.tables import partitions, written
 
 WINDOW = 20
 
-_DEALT = ("part int, texts binary, blocks binary, rest binary, tokens binary, "
-          "docs array<struct<id: long, mark: long, n_words: long, words: long, kept_sha256: string>>")
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -43,14 +41,6 @@ def _runs(column):
         yield a, b, bytes_, starts, ends, heads, scan.span_hashes(scan.prefix_sums(bytes_), starts, ends)
 
 
-def _word_digests(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text's word sequence."""
-    place = np.arange(len(hashes)) - np.repeat(heads[:-1], np.diff(heads))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(
-        scan.mix(hashes + scan.mix(place.astype(np.uint64) + np.uint64(1))))])
-    return scan.mix(sums[heads[1:]] - sums[heads[:-1]] + np.diff(heads).astype(np.uint64))
-
-
 def _kept(bytes_: np.ndarray, starts, ends, heads, keep: np.ndarray):
     """The kept words of each text, joined by one space: all bytes, and their offsets."""
     text = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
@@ -73,161 +63,88 @@ def _shas(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def _deal(docs: DataFrame, block: int, parts: int) -> DataFrame:
-    """Packed probes by part of the hash range: for each run of texts and part, the texts
-    (by their word digests), how many blocks and how many other probes each has there,
-    and 32 bits of each hash, blocks first. The documents ride along once per run."""
-    def deal(batches):
+def _cut(raw: np.ndarray, offsets: np.ndarray, block: int):
+    """Every run of ``block`` words of each text, and whether it lies on the block grid."""
+    starts, ends, heads = scan.words(raw, offsets, scan.plain_words())
+    hashes = scan.span_hashes(scan.prefix_sums(raw), starts, ends)
+    first, text = scan.windows_of(heads, block)
+    return text, scan.gram_hashes(hashes, block)[first], (first - heads[text]) % block == 0
+
+
+def _described(texts: DataFrame) -> DataFrame:
+    """(mark, n_words, whole_sha256) of every text."""
+    def describe(batches):
         for batch in batches:
-            for a, b, bytes_, starts, ends, heads, hashes in _runs(batch.column(2)):
-                digests = _word_digests(hashes, heads)
+            for a, b, bytes_, starts, ends, heads, _ in _runs(batch.column(1)):
                 shas = _shas(*_kept(bytes_, starts, ends, heads, np.ones(len(starts), bool)))
-                first, text = scan.windows_of(heads, block)
-                grams = scan.gram_hashes(hashes, block)[first]
-                other = ((first - heads[text]) % block != 0)
-                part = (grams % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((other, text, part)) if parts * (b - a) >= 1 << 30 else np.argsort(
-                    ((part * (b - a) + text) * 2 + other).astype(np.int32 if parts * (b - a) < 1 << 30 else np.int64),
-                    kind="stable")
-                part, text, other = part[order], text[order], other[order]
-                token = (grams[order] // np.uint64(parts)).astype(np.uint32)
-                edges = np.searchsorted(part, np.arange(parts + 1))
-                head = packs.heads(part * (b - a) + text)
-                size = packs.lengths(head, len(part))
-                rest = np.add.reduceat(other, head, dtype=np.int64) if len(head) else size
-                groups = np.searchsorted(part[head], np.arange(parts + 1))
-                home = int(digests[0] % np.uint64(parts))
-                used = [p for p in range(parts) if edges[p] < edges[p + 1] or p == home]
-                pick = lambda values, at: pa.array(
-                    [packs.pack(values[at[p]:at[p + 1]]) for p in used], pa.binary())
-                rows = pa.StructArray.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(np.diff(heads).astype(np.int64)), pa.array(digests.view(np.int64)),
-                     pa.array(shas, pa.string())], names=["id", "mark", "n_words", "words", "kept_sha256"])
-                mine = np.array([p == home for p in used])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pick(digests[text[head]], groups),
-                     pick((size - rest).astype(np.uint32), groups), pick(rest.astype(np.uint32), groups),
-                     pick(token, edges),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate(
-                         [[0], np.cumsum(mine * (b - a))]).astype(np.int32)), rows)],
-                    names=["part", "texts", "blocks", "rest", "tokens", "docs"])
-
-    return docs.select("id", "mark", "text").mapInArrow(deal, _DEALT)
-
-
-def _hits(dealt: DataFrame, parts: int) -> DataFrame:
-    """For each text, the probes that meet a block elsewhere; and the documents."""
-    schema = "words long, part int, hits binary, docs " + _DEALT.split("docs ")[1]
-
-    def probe(table):
-        part = table.column("part")[0].as_py()
-        texts = packs.unpacked(table.column("texts"), np.uint64)
-        blocks = packs.unpacked(table.column("blocks"), np.uint32).astype(np.int64)
-        rest = packs.unpacked(table.column("rest"), np.uint32).astype(np.int64)
-        token = packs.unpacked(table.column("tokens"), np.uint32)
-        # Equal texts have equal probes: the first of them is enough.
-        _, first = np.unique(texts, return_index=True)
-        fresh = np.zeros(len(texts), bool)
-        fresh[first] = True
-        sizes = blocks + rest
-        token = token[np.repeat(fresh, sizes)]
-        texts, blocks, sizes = texts[fresh], blocks[fresh], sizes[fresh]
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        indexed = np.unique(token[place < blocks[owner]])
-        at = np.searchsorted(indexed, token)
-        known = (at < len(indexed)) & (indexed[np.minimum(at, max(len(indexed) - 1, 0))] == token) if len(
-            indexed) else np.zeros(len(token), bool)
-        several = np.bincount(at[known], minlength=len(indexed)) > 1
-        known[known] = several[at[known]]
-        owner, token = owner[known], token[known]
-        head = packs.heads(owner)
-        edges = np.append(head, len(owner))
-        lists = table.column("docs").combine_chunks().flatten()
-        n = len(head)
-        return pa.Table.from_arrays(
-            [pa.array(np.append(texts[owner[head]].view(np.int64), 0)), pa.array(np.full(n + 1, part, np.int32)),
-             pa.array([*(packs.pack(token[x:y]) for x, y in zip(edges[:-1], edges[1:])), b""], pa.binary()),
-             pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1), len(lists)).astype(np.int32)), lists)],
-            names=["words", "part", "hits", "docs"])
-
-    return dealt.groupBy("part").applyInArrow(probe, schema)
-
-
-def _windows(texts: DataFrame, block: int, window: int, parts: int, hash_parts: int) -> DataFrame:
-    """Packed windows that contain a hit: for each text and part the id, the digest, the
-    64-bit hashes and the places. Input: (id, words, text, hits as array of (part, hits))."""
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(heads).astype(np.int64)),
+                     pa.array(shas, pa.string())], names=["mark", "n_words", "whole_sha256"])
+
+    return texts.select("mark", "text").mapInArrow(
+        describe, "mark long, n_words long, whole_sha256 string")
+
+
+def _windows(met: DataFrame, block: int, window: int, parts: int) -> DataFrame:
+    """Windows that contain a hit, by part of their hash: ids, marks, hashes and places."""
     def extend(batches):
         for batch in batches:
-            hits = batch.column(3).to_pylist()
+            bits = batch.column(3).to_pylist()
             for a, b, _, _, _, heads, hashes in _runs(batch.column(2)):
                 first, text = scan.windows_of(heads, block)
                 grams = scan.gram_hashes(hashes, block)[first]
-                part = grams % np.uint64(parts)
-                code = (part << np.uint64(32)) | (grams // np.uint64(parts)).astype(np.uint32)
-                met = np.zeros(len(hashes) + 1, np.int64)
-                edges = np.searchsorted(text, np.arange(b - a + 1))
-                for i in range(b - a):
-                    mine = np.concatenate([(np.uint64(h["part"]) << np.uint64(32))
-                                           | np.frombuffer(h["hits"], np.uint32) for h in hits[a + i]])
-                    own = slice(edges[i], edges[i + 1])
-                    met[first[own][np.isin(code[own], mine)]] += 1
-                sums = np.concatenate([[0], np.cumsum(met)])
+                hit = np.zeros(len(hashes) + 1, np.int64)
+                hit[first] = probes.met_flags(text, grams, parts, bits[a:b])
+                sums = np.concatenate([[0], np.cumsum(hit)])
                 start, text = scan.windows_of(heads, window)
                 wanted = sums[start + window - block + 1] > sums[start]
                 start, text = start[wanted], text[wanted]
                 whole = scan.gram_hashes(hashes, window)[start]
-                to = (whole % np.uint64(hash_parts)).astype(np.int64)
-                order = np.argsort(to * (b - a) + text, kind="stable")
-                start, text, whole, to = start[order], text[order], whole[order], to[order]
-                head = packs.heads(to * (b - a) + text)
-                at = np.append(head, len(to))
-                owners = pa.array(text[head])
+                ids = batch.column(0).slice(a, b - a).fill_null(-(1 << 63)).to_numpy()
+                marks = batch.column(1).slice(a, b - a).to_numpy()
+                used, columns = packs.dealt((whole % np.uint64(parts)).astype(np.int64), parts, ids[text],
+                                            marks[text], whole, (start - heads[text]).astype(np.uint32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[head].astype(np.int32)), batch.column(0).slice(a, b - a).take(owners),
-                     batch.column(1).slice(a, b - a).take(owners), packs.binaries(whole, at),
-                     packs.binaries((start - heads[text]).astype(np.uint32), at)],
-                    names=["part", "id", "words", "hashes", "places"])
+                    [used, *columns], names=["part", "ids", "marks", "hashes", "places"])
 
-    return texts.select("id", "words", "text", "hits").mapInArrow(
-        extend, "part int, id long, words long, hashes binary, places binary")
+    return met.select("id", "mark", "text", "bits").mapInArrow(
+        extend, "part int, ids binary, marks binary, hashes binary, places binary")
 
 
-def _later(windows: DataFrame) -> DataFrame:
-    """(words, places): the windows of each text that start earlier somewhere else."""
+def _later(windows: DataFrame, parts: int) -> DataFrame:
+    """(mark, places): the windows of each text that start earlier somewhere else."""
     def judge(table):
-        sizes = np.array([len(h) // 8 for h in table.column("hashes").to_pylist()], np.int64)
-        hashes = packs.unpacked(table.column("hashes"), np.uint64)
-        place = packs.unpacked(table.column("places"), np.uint32)
-        ids = table.column("id").fill_null(-(1 << 63)).to_numpy()
-        words = table.column("words").to_numpy()
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((words, ids))] = np.arange(len(ids))
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        order = np.lexsort((place, rank[owner], hashes))
+        ids, marks = packs.unpacked(table.column("ids"), np.int64), packs.unpacked(table.column("marks"), np.int64)
+        hashes, place = packs.unpacked(table.column("hashes"), np.uint64), packs.unpacked(table.column("places"), np.uint32)
+        order = np.lexsort((place, marks, ids, hashes))
         later = np.ones(len(order), bool)
         later[order[packs.heads(hashes[order])]] = False
-        at = np.flatnonzero(later)
-        owner, place = owner[at], place[at]
-        head = packs.heads(owner)
-        return pa.table({"words": pa.array(words[owner[head]]),
-                         "places": packs.binaries(place, np.append(head, len(owner)))})
+        marks, place = marks[later], place[later]
+        used, columns = packs.dealt((marks.view(np.uint64) % np.uint64(parts)).astype(np.int64), parts, marks, place)
+        return pa.Table.from_arrays([used, *columns], names=["part", "marks", "places"])
 
-    return windows.groupBy("part").applyInArrow(judge, "words long, places binary")
+    def gather(table):
+        marks, place = packs.unpacked(table.column("marks"), np.int64), packs.unpacked(table.column("places"), np.uint32)
+        order = np.lexsort((place, marks))
+        marks, place = marks[order], place[order]
+        head = packs.heads(marks)
+        return pa.table({"mark": pa.array(marks[head]),
+                         "places": packs.binaries(place, np.append(head, len(marks)))})
+
+    found = windows.groupBy("part").applyInArrow(judge, "part int, marks binary, places binary")
+    return found.groupBy("part").applyInArrow(gather, "mark long, places binary")
 
 
 def _removed(texts: DataFrame, window: int) -> DataFrame:
-    """(words, n_removed, kept_sha256, spans) of texts with later windows."""
+    """(mark, n_removed, kept_sha256, spans) of texts with later windows."""
     def remove(batches):
         for batch in batches:
             places = batch.column(2).to_pylist()
             for a, b, bytes_, starts, ends, heads, _ in _runs(batch.column(1)):
-                at = np.concatenate([heads[i] + np.frombuffer(p, np.uint32).astype(np.int64)
-                                     for i in range(b - a) for p in places[a + i]])
-                cover = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.subtract.at(cover, at + window, 1)
+                at = np.concatenate([heads[i] + np.frombuffer(places[a + i], np.uint32).astype(np.int64)
+                                     for i in range(b - a)])
+                cover = np.bincount(at, minlength=len(starts) + 1) - np.bincount(
+                    at + window, minlength=len(starts) + 1)
                 gone = np.cumsum(cover)[:-1] > 0
                 text = np.repeat(np.arange(b - a), np.diff(heads))
                 first, last = packs.spans_of(gone, text)
@@ -239,21 +156,10 @@ def _removed(texts: DataFrame, window: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a),
                      pa.array(np.bincount(text[gone], minlength=b - a).astype(np.int64)),
                      pa.array(_shas(*_kept(bytes_, starts, ends, heads, ~gone)), pa.string()), spans],
-                    names=["words", "n_removed", "kept", "spans"])
-
-    return texts.select("words", "text", "places").mapInArrow(
-        remove, "words long, n_removed long, kept string, spans array<struct<first: long, last: long>>")
-
+                    names=["mark", "n_removed", "kept", "spans"])
 
-def _texts(docs: DataFrame, first: DataFrame, side: DataFrame, doubled: bool) -> DataFrame:
-    """The rows of ``side`` (by words) with the text of the first document that has them, once
-    even if rows are ``doubled``: have the same id and text."""
-    wanted = written(first.join(side, "words", "left_semi"), "wanted")
-    one = docs.join(small(wanted.select(F.col("mark"), F.col("id").alias("id2"), F.col("words"))
-                          .withColumnRenamed("mark", "mark2")),
-                    (F.col("mark") == F.col("mark2")) & F.col("id").eqNullSafe(F.col("id2")))
-    one = one.select("id", "words", "text")
-    return (one.dropDuplicates(["words"]) if doubled else one).join(side, "words")
+    return texts.select("mark", "text", "places").mapInArrow(
+        remove, "mark long, n_removed long, kept string, spans array<struct<first: long, last: long>>")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -262,40 +168,28 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     ``spans`` are the removed stretches as (first, last) word numbers, last exclusive;
     ``kept_sha256`` hashes the other words, joined by one space. Ids are integers; the null
-    id is the least. Documents of one id count as earlier or later by a hash of their words,
-    and rows equal in id and words are judged alike. Null texts have no words. A text of
+    id is the least. Documents of one id count as earlier or later by a hash of their text,
+    and rows equal in id and text are judged alike. Null texts have no words. A text of
     fewer words than ``window`` keeps all. No rows give no rows; other columns are not read.
     """
     parts, block = partitions(docs.sparkSession), window // 2
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("mark"),
-                       F.col(text).alias("text"))
-    hits = written(_hits(_deal(rows, block, parts), parts), "anchor-hits")
-    members = hits.select(F.explode("docs").alias("d")).select("d.*")
-    order = F.struct(F.col("id").isNotNull().alias("known"), "id", "mark")
-    first = written(members.groupBy("words").agg(F.min(order).alias("f")).select(
-        "words", "f.id", "f.mark"), "first-texts")
-    doubled = not members.groupBy("id", "mark").count().filter("count > 1").isEmpty()
-    met = hits.filter(F.length("hits") > 0).groupBy("words").agg(
-        F.collect_list(F.struct("part", "hits")).alias("hits"))
-    later = written(_later(_windows(_texts(rows, first, met, doubled), block, window, parts, parts)), "later-windows")
-    gone = written(_removed(_texts(rows, first, later.groupBy("words").agg(
-        F.collect_list("places").alias("places")), doubled), window), "removed")
-    copy = (F.col("first_known") < F.col("id").isNotNull()) | (F.col("id") > F.col("first_id"))
-    copy = F.coalesce(copy, F.lit(False))
-    judged = (members.join(first.select("words", F.col("id").alias("first_id"),
-                                        F.col("id").isNotNull().alias("first_known")), "words")
-              .join(gone, "words", "left"))
-    whole = F.expr("array(named_struct('first', 0L, 'last', n_words))")
+    every, first, texts = probes.originals(probes.numbered(docs, key, text))
+    met = written(probes.met(texts, lambda raw, offsets: _cut(raw, offsets, block), parts), "anchor-hits")
+    later = written(_later(_windows(probes.with_texts(texts, met), block, window, parts), parts),
+                    "later-windows")
+    gone = written(_removed(probes.with_texts(texts, later), window), "removed")
+    whole = written(_described(texts).join(gone, "mark", "left").join(first, "mark"), "judged")
+    copy = ~F.col("id").eqNullSafe(F.col("first_id"))
+    cut = F.col("n_words") >= window
     none = F.expr("cast(array() as array<struct<first: long, last: long>>)")
-    return judged.select(
+    return every.join(whole, "mark").select(
         "id", "n_words",
-        F.when(copy, F.when(F.col("n_words") >= window, F.col("n_words")).otherwise(0))
-        .otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.when(F.col("n_words") >= window, whole).otherwise(none))
-        .otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(copy, F.when(F.col("n_words") >= window, F.lit(_NONE)).otherwise(F.col("kept_sha256")))
-        .otherwise(F.coalesce("kept", "kept_sha256")).alias("kept_sha256"))
+        F.when(~copy, F.coalesce("n_removed", F.lit(0))).when(cut, F.col("n_words")).otherwise(0)
+        .cast("long").alias("n_removed"),
+        F.when(~copy, F.coalesce("spans", none))
+        .when(cut, F.expr("array(named_struct('first', 0L, 'last', n_words))")).otherwise(none).alias("spans"),
+        F.when(~copy, F.coalesce("kept", "whole_sha256")).when(cut, F.lit(_NONE))
+        .otherwise(F.col("whole_sha256")).alias("kept_sha256"))
 
 
 cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
-cloudpickle.register_pickle_by_value(packs)

@@ -27,8 +27,17 @@ def heads(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
-def lengths(starts: np.ndarray, whole: int) -> np.ndarray:
-    return np.diff(np.append(starts, whole)).astype(np.int64)
+def dealt(part: np.ndarray, parts: int, *values: np.ndarray):
+    """The parts in use, and for each array a binary column with its values by part, in
+    the order they came."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(edges))
+    columns = []
+    for v in values:
+        v = v[order]
+        columns.append(pa.array([pack(v[edges[p]:edges[p + 1]]) for p in used], pa.binary()))
+    return pa.array(used.astype(np.int32)), columns
 
 
 def spans_of(covered: np.ndarray, group: np.ndarray):
