@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import anchors, decontaminate, jaccard, language, mixing, shards
+from fleetgauge.llm import anchors, decontaminate, jaccard, language, mixing, shards, suffixes
 from fleetgauge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "lang_pred", "score"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -62,7 +68,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op4_mix_sources, op5_substring_dedup,
-                                    op6_language_id, op9_sharding)}
+                                    op6_language_id, op8_suffix_array_dedup, op9_sharding)}
 
 
 OP1_SQL = r"""
@@ -141,6 +147,25 @@ FROM doc_words LEFT JOIN kept USING (doc_id)
 """
 
 
+OP8_SQL = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS win
+            FROM (SELECT doc_id, h, unnest(range(1, greatest(len(h) // 2 - 50, -1) + 2)) AS i FROM docs)),
+least AS (SELECT win, min(doc_id) AS m FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+         FROM windows JOIN least USING (win) WHERE m < doc_id),
+counts AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS s
+           FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone)
+           GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * p - 1, 2), '' ORDER BY p) AS t
+         FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS p FROM docs) ANTI JOIN gone USING (doc_id, p)
+         GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed,
+       coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL,
-            "op5_substring_dedup": OP5_SQL}
+            "op5_substring_dedup": OP5_SQL, "op8_suffix_array_dedup": OP8_SQL}

@@ -103,6 +103,13 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_spans(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place on; they may cross texts."""
+    count = max(0, len(sums) - size)
+    _, inverses = _tables(len(sums))
+    return mix((sums[size:] - sums[:count]) * inverses[:count])
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     """Starts and ends of the words, and the n + 1 word offsets of the texts.
 
