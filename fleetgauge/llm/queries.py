@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import anchors, decontaminate, jaccard, language, mixing, shards, suffixes
+from fleetgauge.llm import (anchors, decontaminate, grades, jaccard, language, mixing, rules,
+                            shards, suffixes, urls)
 from fleetgauge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 40
+#: The longest rule that fits a URL decides.
+URL_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
+             urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
 #: Values that mixing tells apart; all others are one more.
 MIX_NAMES = {"source": [f"src{i}" for i in range(20)], "lang": ["de", "en", "es", "fr"],
              "topic": ["lines", "long", "markup", "prose"]}
@@ -33,6 +37,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.decide(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_NAMES)
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens",
@@ -52,6 +60,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "lang_pred", "score"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    graded = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), grades.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return grades.score(docs, grades.learn(docs, graded)).withColumnRenamed("id", "doc_id")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed",
@@ -66,9 +81,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "virtual_slot")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op4_mix_sources, op5_substring_dedup,
-                                    op6_language_id, op8_suffix_array_dedup, op9_sharding)}
+    return {f.__name__: f for f in (
+        op1_decontaminate, op2_jaccard_join, op3_url_filter, op4_mix_sources,
+        op5_substring_dedup, op6_language_id, op7_quality_classifier, op8_suffix_array_dedup,
+        op9_sharding, op10_quality_rules)}
 
 
 OP1_SQL = r"""
@@ -166,6 +187,40 @@ FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+lines AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM docs),
+worded AS (SELECT doc_id, host, line,
+                  lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS norm
+           FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
+hosts AS (SELECT host, count(*) AS documents FROM docs GROUP BY host),
+frequent AS (SELECT host, norm FROM worded JOIN hosts USING (host) GROUP BY host, norm, documents
+             HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.05 * documents),
+gone AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS n
+         FROM worded SEMI JOIN frequent USING (host, norm) GROUP BY doc_id),
+tri AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 2], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, -1) + 2)) AS i FROM docs)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n
+        FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p
+              FROM (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1))
+        GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         coalesce(dups.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+         CAST(coalesce(gone.n, 0) AS BIGINT) AS n_line_words
+  FROM docs LEFT JOIN dups USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                  n_words - n_line_words < 0.5 * n_words AS depleted FROM counts)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM failed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL,
-            "op5_substring_dedup": OP5_SQL, "op8_suffix_array_dedup": OP8_SQL}
+            "op5_substring_dedup": OP5_SQL, "op8_suffix_array_dedup": OP8_SQL,
+            "op10_quality_rules": OP10_SQL}
