@@ -1,0 +1,291 @@
+"""Decontamination, language, grades, rules, mixing, shards and URLs."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions
+
+from fleetgauge.llm import decontaminate, grades, language, mixing, rules, scan, shards, urls
+from tests.llm import cases
+
+
+def contaminated(rows, items):
+    windows = {}
+    for key, text in items:
+        w = cases.LEXICAL.findall((text or "").translate(cases.UPPER))
+        for i in range(max(1, len(w) - 12)) if w else ():
+            windows.setdefault(tuple(w[i:i + 13]), set()).add(key)
+    sizes, out = {len(w) for w in windows}, []
+    for key, text in rows:
+        w = cases.LEXICAL.findall((text or "").translate(cases.UPPER))
+        hit, found = [False] * len(w), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i:i + n]) in windows:
+                    hit[i:i + n] = [True] * n
+                    found |= windows[tuple(w[i:i + n])]
+        out.append((str(key), len(w), sum(hit), sorted(str(f) for f in found if f is not None),
+                    sum(hit) > 0 and 20 * sum(hit) >= len(w)))
+    return sorted(out)
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    long_item, short = cases.prose(rng, 30), "Zeta, eta THETA"
+    items = [(1, long_item), (2, short), (3, None), (4, "!?"), (None, cases.prose(rng, 14)),
+             (6, long_item), (7, "solo"), (8, " ".join(long_item.split()[5:25]))]
+    w = long_item.split()
+    rows = cases.documents(5, very_long=3000) + [
+        (200, long_item.upper()), (201, "x " + " ".join(w[3:16]) + " y"), (202, " ".join(w[3:15])),
+        (203, "zeta-eta;theta"), (204, "zeta eta"), (205, "solo " + "b " * 50), (206, items[4][1]),
+        (207, " ".join(w[:13]) + " cut " + " ".join(w[13:30])), (200, long_item), (None, "solo")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.decontaminate(cases.frame(spark, rows), bench)
+    got = sorted((str(r.id), r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect())
+    assert got == contaminated(rows, items)
+    for r in found.collect():
+        assert sum(s.last - s.first for s in r.spans) == r.n_hit
+
+
+def test_decontamination_of_nothing(spark):
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontaminate.decontaminate(cases.frame(spark, []), bench).count() == 0
+    found = decontaminate.decontaminate(cases.frame(spark, [(1, "a b")]), bench.limit(0)).collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in found] == [(2, 0, False)]
+
+
+def test_winnowing_keeps_a_print_of_every_long_span():
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 5, 400).astype(np.uint64)
+    grams = scan.gram_hashes(scan.mix(words), 7)
+    kept = set(decontaminate._least(grams, np.ones(len(grams), bool), 7).tolist())
+    assert all(any(p in kept for p in range(s, s + 7)) for s in range(len(words) - 12))
+
+
+def test_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.learn(docs)
+    judged = language.predict(docs, model).withColumn("out", language.held_out(functions.col("doc_id"))).collect()
+    out = [r for r in judged if r.out]
+    assert out and sum(r.lang_pred == r.lang for r in out) >= 0.95 * len(out)
+    assert all(0 <= r.score <= 1 for r in judged)
+    rows = [(1, None), (2, ""), (3, "12 34 !?"), (4, "the and of"), (None, "the\x00 and of"), (4, "the and of")]
+    found = language.predict(cases.frame(spark, rows), model).collect()
+    named = sorted((str(r.doc_id), r.lang_pred) for r in found)
+    assert named[:3] == [("1", "und"), ("2", "und"), ("3", "und")] and len(named) == 6
+    assert {n for _, n in named[3:]} <= set(model.languages)
+
+
+def test_language_code_lengths_are_those_of_the_counts(spark):
+    rows = [(i, "abab abac " * 3, "x", None) for i in range(6)] + [(i, "zyzy zzxy " * 3, "y", None) for i in range(6, 12)]
+    model = language.build(language.gram_counts(cases.frame(spark, rows, 1), "text", "lang").collect())
+    text = "abacq"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got = language.code_lengths(model, raw, np.array([0, len(raw)]))[0]
+    counts = {}
+    for _, t, lang, _ in rows:
+        for n in range(1, 5):
+            for i in range(len(t) - n + 1):
+                counts[lang, t[i:i + n]] = counts.get((lang, t[i:i + n]), 0) + 1
+    for at, lang in enumerate(model.languages):
+        bits = 0.0
+        for i, c in enumerate(text):
+            context = ("   " + text)[i:i + 3]
+            for n in range(3, -1, -1):
+                tail = context[3 - n:]
+                after = {g[-1]: k for (own, g), k in counts.items() if own == lang and len(g) == n + 1 and g[:-1] == tail}
+                if c in after:
+                    bits -= math.log2(after[c] / (sum(after.values()) + len(after)))
+                    break
+                if after:
+                    bits -= math.log2(len(after) / (sum(after.values()) + len(after)))
+            else:
+                bits += 8
+        assert got[at] == pytest.approx(bits, rel=1e-4)
+
+
+def test_language_without_training(spark):
+    assert language.learn(cases.frame(spark, [])) is None
+    found = language.predict(cases.frame(spark, [(1, "abc")]), None).collect()
+    assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)]
+    assert language.predict(cases.frame(spark, []), None).count() == 0
+
+
+def test_grades_on_rows_not_learned_from(spark):
+    rng = random.Random(4)
+    rows, rated = [], []
+    for i in range(1500):
+        g = rng.choice([0, 1, 2, 2])
+        text = cases.prose(rng, 60, 3000) + " " + {0: "vilest", 1: "meh", 2: "fine"}[g]
+        rows.append((i, text))
+        rated.append((i, g))
+    docs = cases.frame(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    labels = spark.createDataFrame(rated, "id long, grade int")
+    model = grades.learn(docs, labels.filter("id < 1000"))
+    found = {r.id: r for r in grades.score(docs, model).collect()}
+    held = [(found[i], g) for i, g in rated if i >= 1000]
+    assert sum(r.kept == (g > 0) for r, g in held) >= 0.97 * len(held)
+    means = [np.mean([r.expected_grade for r, g in held if g == k]) for k in range(3)]
+    assert means[0] < means[1] < means[2]
+
+
+def test_grades_without_ratings(spark):
+    docs = cases.frame(spark, [(1, None), (2, "")]).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    none = spark.createDataFrame([(1, None), (None, 2), (2, 2)], "id long, grade int")
+    model = grades.learn(docs, none)
+    assert model is None
+    assert [(r.expected_grade, r.kept) for r in grades.score(docs, model).collect()] == [(2.0, True)] * 2
+    assert grades.score(docs.limit(0), model).count() == 0
+
+
+def ruled(rows, documents, share):
+    held, hosts = {}, {}
+    norm = lambda line: " ".join(cases.PLAIN.findall(line)).lower()
+    for _, text, _, host in rows:
+        hosts[host or ""] = hosts.get(host or "", 0) + 1
+        for line in {norm(x) for x in (text or "").split("\n")} - {""}:
+            held[host or "", line] = held.get((host or "", line), 0) + 1
+    out = []
+    for key, text, _, host in rows:
+        text = text or ""
+        w = cases.PLAIN.findall(text)
+        windows = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+        again = {p for i, x in enumerate(windows) if windows.count(x) > 1 for p in range(i, i + 3)}
+        lines = [x for x in text.split("\n") if cases.PLAIN.search(x)]
+        gone = sum(len(cases.PLAIN.findall(x)) for x in lines
+                   if held[host or "", norm(x)] > max(documents, share * hosts[host or ""]))
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        out.append((str(key), len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text),
+                    len(lines) - len(set(lines)), len(again), gone, failed,
+                    not failed and not len(w) - gone < 0.5 * len(w)))
+    return sorted(out)
+
+
+def test_rules(spark):
+    rng = random.Random(7)
+    rows = [(r[0], r[1], None, None) for r in cases.documents(6, very_long=600)]
+    for i in range(30):
+        rows.append((300 + i, "Menu  home\tABOUT\n" + cases.prose(rng, 60) + "\nmenu home about", None, f"h{i % 2}"))
+    rows += [(400 + i, "same line here " * 2 + "\n" + "long shared line " * 30 + f"{i}\nend", None, "h2") for i in range(8)]
+    rows += [(500 + i, " ".join(f"c{k}" for k in range(60)) + "\n" + f"own {i}", None, "h3") for i in range(8)]
+    found = rules.judge(cases.frame(spark, rows), documents=5, share=0.05)
+    got = sorted((str(r.id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
+                  r.n_line_words, r.base_failed, r.kept) for r in found.collect())
+    assert got == ruled(rows, 5, 0.05)
+    assert any(not r.base_failed and r.depleted for r in found.collect())
+    assert rules.judge(cases.frame(spark, [])).count() == 0
+
+
+def test_raking_meets_the_marginals():
+    rng = random.Random(3)
+    cells = {(a, b, c): rng.uniform(50, 100) for a in "xyz" for b in "pq" for c in "st"}
+    targets = [{"x": 0.2, "y": 0.5, "z": 0.3}, {"p": 0.6, "q": 0.4}, {"s": 0.5, "t": 0.5}]
+    wanted = mixing.rake(cells, targets, keep=0.3)
+    total = 0.3 * sum(cells.values())
+    for axis, target in enumerate(targets):
+        for name, share in target.items():
+            assert sum(v for c, v in wanted.items() if c[axis] == name) == pytest.approx(share * total, rel=1e-6)
+    assert all(v <= cells[c] for c, v in wanted.items())
+    # A target that no cell can meet takes all of the cell and no more.
+    assert mixing.rake({("x", "p", "s"): 1.0, ("y", "p", "s"): 99.0},
+                       [{"x": 0.5, "y": 0.5}, {"p": 1.0}, {"s": 1.0}])["x", "p", "s"] == pytest.approx(1.0)
+
+
+def test_mixing_samples_by_probability(spark):
+    rng = random.Random(9)
+    rows = [(i, cases.prose(rng, 30), "en" if i % 3 else None, "a" if i % 4 else "b") for i in range(3000)]
+    names = {"source": ["a", "b"], "lang": ["en"], "topic": ["prose", "long"]}
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 2 / 3, mixing.OTHER: 1 / 3}, "topic": {"prose": 1.0}}
+    found = mixing.mix(cases.frame(spark, rows), names, targets, keep=0.3).collect()
+    for r in found:
+        assert r.mix_probability == pytest.approx(0.2 if r.source == "a" else 0.6, rel=1e-3)
+    kept = {s: sum(r.mix_kept for r in found if r.source == s) for s in "ab"}
+    assert kept["a"] == pytest.approx(450, abs=90) and kept["b"] == pytest.approx(450, abs=80)
+    again = mixing.mix(cases.frame(spark, rows, 7), names, targets, keep=0.3).collect()
+    assert {r.doc_id for r in again if r.mix_kept} == {r.doc_id for r in found if r.mix_kept}
+    odd = mixing.mix(cases.frame(spark, [(1, None), (2, " "), (None, "a")]), names).collect()
+    assert sorted((str(r.doc_id), r.mix_probability > 0) for r in odd) == [("1", False), ("2", False), ("None", True)]
+    assert mixing.mix(cases.frame(spark, []), names).count() == 0
+
+
+def test_shards(spark):
+    rows = cases.documents(5, very_long=2000) + [(1, "same"), (1, "same"), (None, None), (None, None)]
+    found = shards.shard(cases.frame(spark, rows), 4, slots=64).collect()
+    assert len(found) == len(rows)
+    assert sorted((str(r.record_id), r["size"]) for r in found) == sorted(
+        (str(k), len((t or "").encode()) + 16) for k, t in rows)
+    sums = {}
+    for s in range(4):
+        own = [r for r in found if r.shard == s]
+        assert sorted(r.place for r in own) == list(range(len(own)))
+        sums[s] = sum(r["size"] for r in own)
+    biggest = max(sum(r["size"] for r in found if r.virtual_slot == v) for v in {r.virtual_slot for r in found})
+    assert max(sums.values()) - min(sums.values()) <= biggest
+    again = shards.shard(cases.frame(spark, rows, 5), 4, slots=64).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    assert shards.shard(cases.frame(spark, []), 4).count() == 0
+
+
+def test_slot_maps_are_versions_and_growth_moves_into_the_new_shard(spark, tmp_path):
+    rng = random.Random(1)
+    sums = spark.createDataFrame([(i, rng.randrange(1, 100), 1) for i in range(300)], "slot int, bytes long, rows long")
+    first = shards.store_map(shards.initial_map(sums, 5), f"file:{tmp_path}", 1)
+    grown = shards.store_map(shards.grown_map(first, 5), f"file:{tmp_path}", 2)
+    before, after = ({r.slot: r.shard for r in m.collect()} for m in (first, grown))
+    assert set(before) == set(after) == set(range(300))
+    assert {after[s] for s in before if after[s] != before[s]} == {5}
+    loads = [sum(r.bytes for r in grown.collect() if r.shard == s) for s in range(6)]
+    assert max(loads) - min(loads) <= 5 * 100
+    with pytest.raises(Exception, match="exists"):
+        shards.store_map(first, f"file:{tmp_path}", 2)
+
+
+URLS = [(1, "http://a.example.net/en/x?q=1"), (2, "https://EXAMPLE.net/de#f"), (3, "http://example.net"),
+        (4, "http://b.example.com/de/1"), (5, "https://c.org/fr/"), (6, "https://c.org/fr"), (7, None),
+        (8, "no scheme"), (9, "x://y://z/w"), (10, "http://notexample.com/de/"), (11, "http://net/?a/b"),
+        (12, ""), (13, "http://example.net?x/en/"), (2, "https://EXAMPLE.net/de#f")]
+
+
+def test_url_rules(spark):
+    from fleetgauge.llm.queries import URL_RULES
+    pages = spark.createDataFrame(URLS, "page_id long, url string")
+    found = {r.id: (r.host, r.path, r.rule, r.verdict) for r in urls.decide(pages, URL_RULES).collect()}
+    assert found[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert found[2] == ("example.net", "/de", "net/", "block")
+    assert found[3][:3] == ("example.net", "", None)
+    assert found[4][2:] == ("example.com/de/", "block")
+    assert found[5][2:] == ("org/fr/", "allow")
+    assert found[6][:3] == ("c.org", "/fr", None)
+    assert found[7][:3] == found[8][:3] == found[12][:3] == ("", "", None)
+    assert found[9][:3] == ("y:", "//z/w", None)
+    assert found[10][2] is None
+    assert found[11] == ("net", "/", "net/", "block")
+    assert found[13][:3] == ("example.net", "", None)
+    assert all(v in ("allow", "block") for *_, v in found.values())
+    assert urls.decide(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_url_trees_on_rows_not_learned_from(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1200):
+        bad = rng.random() < 0.4
+        path = "/".join("".join(rng.choice("0123456789" if bad else "abcdef") for _ in range(8)) for _ in range(3))
+        rows.append((i, f"http://h{i % 7}.test/{path}", "block" if bad else "allow"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    from pyspark.sql import functions as F
+    labelled = frame.filter("page_id < 800").select("url", urls.host_of(F.col("url")).alias("host"),
+                                                    urls.path_of(F.col("url")).alias("path"), "verdict")
+    found = {r.id: r.verdict for r in urls.decide(frame.drop("verdict"), [], labelled).collect()}
+    held = [(found[i], v) for i, _, v in rows if i >= 800]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+    only = urls.decide(frame.drop("verdict"), [], labelled.filter("verdict = 'block'"))
+    assert {r.verdict for r in only.collect()} == {"block"}
+
+
+def test_url_entropy(spark):
+    frame = spark.createDataFrame([("aabb",), ("aaaa",), ("",), ("abcd",)], "u string")
+    from pyspark.sql import functions as F
+    assert [r.e for r in frame.select(urls.entropy(F.col("u")).alias("e")).collect()] == pytest.approx([1, 0, 0, 2])
