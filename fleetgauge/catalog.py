@@ -16,6 +16,8 @@ from fleetgauge.streaming import ingest, live, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOOKBACK_HOURS = 168
+# Collections of the test tables can share an id; these settle their order.
+COLLECTION_TIES = ("collection_id", "tie_part", "tie_price")
 EXPORT_START, EXPORT_END = export.interval("2024-01-01", "2024-01-30")
 
 
@@ -112,14 +114,14 @@ def _stream_latest(f: Fleet) -> DataFrame:
     root = shared_dir(f.spark, "latest")
     live.start_latest(f.reading_stream(), f"{root}/out", f"{root}/checkpoint",
                       availableNow=True).awaitTermination()
-    return snapshots.current(f.spark, f"{root}/out")
+    return snapshots.current(f.spark, f"{root}/out", ["bin_id"])
 
 
 def _stream_hourly(f: Fleet) -> DataFrame:
     root = shared_dir(f.spark, "hourly")
     live.start_hourly(f.reading_stream(), f"{root}/out", f"{root}/checkpoint",
                       availableNow=True).awaitTermination()
-    return snapshots.current(f.spark, f"{root}/out")
+    return snapshots.current(f.spark, f"{root}/out", ["hour"])
 
 
 def _row_counts(f: Fleet) -> DataFrame:
@@ -139,7 +141,7 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     "fill_status_distribution": lambda f: status.fill_status_distribution(_status(f)),
     "bin_recent_readings": lambda f: status.recent_readings(f.readings).select(
         "bin_id", "rank", "reading_id", "timestamp", "fill_level", "weight_kg"),
-    "bin_recent_collections": lambda f: collections.recent_collections(f.collections).select(
+    "bin_recent_collections": lambda f: collections.recent_collections(f.collections, ties=COLLECTION_TIES).select(
         "bin_id", "rank", "collection_id", "collection_time", "weight_collected"),
     "bin_detail": lambda f: status.bin_detail_rows(_status(f), f.readings, f.collections),
     "fill_bands": lambda f: timeline.fill_band_counts(f.readings),
@@ -147,7 +149,7 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     "readings_lookback": lambda f: readings.readings_lookback(
         f.readings, f.bins, READINGS_AS_OF, LOOKBACK_HOURS),
     "readings_lookback_bin": lambda f: readings.readings_lookback(
-        f.readings, f.bins, READINGS_AS_OF, LOOKBACK_HOURS, all_bins=True),
+        f.readings, f.bins, READINGS_AS_OF, LOOKBACK_HOURS, limit=None),
     "latest_readings": lambda f: tables.newest_rows(f.readings),
     "alerts_by_status": lambda f: alerts.alerts_by_status(f.alerts, f.bins),
     "alert_feed": lambda f: alerts.alert_feed(f.alerts, f.bins),

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def total(column) -> Column:
-    """Exact sum as DECIMAL(18,2): room for 10^16, and still held in one long."""
-    return F.sum(F.col(column).cast("decimal(8,2)"))
+def total(column, kind: str = "decimal(8,2)") -> Column:
+    """Exact sum: of measures as DECIMAL(18,2), with room for 10^16 and still held in one
+    long; of whole numbers with ``kind="long"``."""
+    return F.sum(F.col(column).cast(kind))
 
 
-def exact_mean(column) -> Column:
+def exact_mean(column, kind: str = "decimal(8,2)") -> Column:
     """Mean from the exact sum, so it does not depend on the order of rows."""
-    return F.try_divide(total(column).cast("double"), F.count(F.col(column)))
+    return F.try_divide(total(column, kind).cast("double"), F.count(F.col(column)))
 
 
-def mean(column, digits: int = 6) -> Column:
-    return F.round(exact_mean(column), digits)
+def mean(column, digits: int = 6, kind: str = "decimal(8,2)") -> Column:
+    return F.round(exact_mean(column, kind), digits)
 
 
 def calibrated(weight: Column, offset: Column) -> Column:

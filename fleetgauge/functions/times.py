@@ -31,9 +31,10 @@ def days_before(as_of, days: int) -> Column:
     return ntz(as_of) - F.expr(f"INTERVAL '{int(days)}' DAY")
 
 
-def check_lookback(hours: int) -> int:
-    if not MIN_LOOKBACK_HOURS <= hours <= MAX_LOOKBACK_HOURS:
-        raise ValueError(f"hours must be {MIN_LOOKBACK_HOURS}..{MAX_LOOKBACK_HOURS}, got {hours}")
+def check_lookback(hours: int, most: int | None = MAX_LOOKBACK_HOURS) -> int:
+    """The hours, if they lie between one and ``most``; without ``most`` there is no upper end."""
+    if hours < MIN_LOOKBACK_HOURS or (most is not None and hours > most):
+        raise ValueError(f"hours must be {MIN_LOOKBACK_HOURS}..{most}, got {hours}")
     return hours
 
 

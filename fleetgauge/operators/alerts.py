@@ -80,14 +80,15 @@ def open_keys(alerts: DataFrame) -> DataFrame:
 
 
 def new_open_alerts(candidates: DataFrame, alerts: DataFrame) -> DataFrame:
-    """The alerts to insert: the first by arrival for each bin and type that has none open.
+    """The alerts to insert: the first by arrival (time, then number) for each bin and
+    type that has none open.
 
     The first hit per key is found before the exchange, so a bin that alarms all the time
     sends one row per input partition.
     """
     keys = ["bin_id", "alert_type"]
     rest = [c for c in CANDIDATE_COLUMNS if c not in keys]
-    first = (candidates.groupBy(*keys).agg(F.min_by(F.struct(*rest), "arrival_seq").alias("a"))
+    first = (candidates.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("triggered_at", "arrival_seq")).alias("a"))
              .select(*keys, "a.*"))
     return first.join(open_keys(alerts), keys, "left_anti").select(*CANDIDATE_COLUMNS)
 

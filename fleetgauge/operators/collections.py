@@ -20,18 +20,17 @@ def collection_stats(bins: DataFrame, collections: DataFrame) -> DataFrame:
         mean("fill_level_before").alias("avg_fill_before_collection"),
         total("weight_collected").alias("total_weight_collected"),
         F.max("collection_time").alias("last_collection_time"),
-        mean("duration_minutes").alias("avg_collection_duration"))
+        mean("duration_minutes", kind="long").alias("avg_collection_duration"))
     return (bins.select("bin_id", "bin_code", "location").join(per_bin, "bin_id", "left")
             .withColumn("total_collections",
                         F.coalesce("total_collections", F.lit(0).cast("long"))))
 
 
-def recent_collections(collections: DataFrame, n: int = 5, bin_id: int | None = None) -> DataFrame:
-    """The newest ``n`` collections of each bin."""
+def recent_collections(collections: DataFrame, n: int = 5, bin_id: int | None = None,
+                       ties: tuple[str, ...] = ("collection_id",)) -> DataFrame:
+    """The newest ``n`` collections of each bin; equal times go by ``ties``, greatest first."""
     kept = collections if bin_id is None else collections.filter(F.col("bin_id") == bin_id)
-    # Ties go to the greater id, then to whatever else the table offers to order by.
-    ties = [F.desc(c) for c in ("collection_id", "tie_part", "tie_price") if c in kept.columns]
-    return top_n_per_key(kept, "bin_id", [F.desc("collection_time"), *ties], n)
+    return top_n_per_key(kept, "bin_id", [F.desc(c) for c in ("collection_time", *ties)], n)
 
 
 def recent_collection_count(collections: DataFrame, as_of, days: int = 7) -> DataFrame:

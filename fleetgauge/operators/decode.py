@@ -60,12 +60,20 @@ _WEIGHT = f"""CASE _k_weight_kg
 _SIGNAL = f"""CASE _k_signal_strength
     WHEN 'number' THEN try_cast({_value('signal_strength', 'decimal(20,0)')} AS int)
     WHEN 'string' THEN try_cast({_value('signal_strength', 'string')} AS int) END"""
-# A year or a month alone is no time: there must be a second dash, before the day.
+# An empty time of any kind counts as missing: "", 0, false, [], {}. Texts are ISO dates and
+# times, with or without a zone that is not looked at; the basic form 20251219T103000; or
+# Dec 19 2025 10:30. A year or a month alone is no time: there must be a second dash, before
+# the day.
 _TIME_TEXT = _value("timestamp", "string")
-_TIME = f"""CASE WHEN _k_timestamp IN ('missing', 'null') THEN arrival_ts
+_EMPTY_TIME = f"""(_k_timestamp = 'number' AND {_value('timestamp', 'double')} = 0)
+    OR (_k_timestamp = 'boolean' AND NOT {_value('timestamp', 'boolean')})
+    OR (_k_timestamp = 'other' AND to_json(_fields.timestamp) IN ('[]', '{{}}'))"""
+_TIME = f"""CASE WHEN _k_timestamp IN ('missing', 'null') OR {_EMPTY_TIME} THEN arrival_ts
     WHEN _k_timestamp <> 'string' THEN NULL
     WHEN {_TIME_TEXT} = '' THEN arrival_ts
-    WHEN locate('-', ltrim({_TIME_TEXT}), 6) > 0 THEN try_cast({_TIME_TEXT} AS timestamp_ntz) END"""
+    WHEN locate('-', ltrim({_TIME_TEXT}), 6) > 0 THEN try_cast({_TIME_TEXT} AS timestamp_ntz)
+    ELSE CAST(coalesce(try_to_timestamp({_TIME_TEXT}, "yyyyMMdd'T'HHmmss"),
+                       try_to_timestamp({_TIME_TEXT}, 'MMM d yyyy HH:mm')) AS timestamp_ntz) END"""
 
 _BAD_GATE = " OR ".join(f"_k_{n} NOT IN ('missing', 'number')" for n in GATED)
 _MISFIT = " OR ".join(

@@ -13,7 +13,6 @@ EXPORT_COLUMNS = list(EXPORT_HEADERS)
 REPORT_SCHEMA = ("timestamp timestamp_ntz, bin_code string, department string, "
                  "weight_kg decimal(8,2), battery_level decimal(5,2), signal_strength int, "
                  "temperature_c decimal(5,2)")
-MAX_EXPORT_HOURS = 720
 # Fixed value: the columns whose naive times get a zone in JSON rows.
 ZONED_COLUMNS = ("timestamp", "last_reading", "triggered_at", "resolved_at", "last_login",
                  "created_at", "updated_at", "installed_date", "last_reading_today",
@@ -36,9 +35,9 @@ def report_name(start_date: str, end_date: str) -> str:
 
 
 def export_hours(start: str, end: str) -> int:
-    """Hours an interval spans, rounded up, between 1 and 720."""
+    """Hours an interval spans, rounded up, at least 1."""
     seconds = (datetime.fromisoformat(end) - datetime.fromisoformat(start)).total_seconds()
-    return min(max(1, -int(-seconds // 3600)), MAX_EXPORT_HOURS)
+    return max(1, -int(-seconds // 3600))
 
 
 def export_report(readings: DataFrame, bins: DataFrame, start: str, end: str) -> DataFrame:

@@ -13,6 +13,7 @@ UNIQUE_KEYS = {
     "sensor_readings": [("reading_id",)],
     "collections": [("collection_id",)],
     "alerts": [("alert_id",)],
+    "collection_routes": [("route_id",)],
     "route_bins": [("route_id", "bin_id")],
 }
 # Table -> (column, parent table) references.
@@ -25,14 +26,24 @@ REFERENCES = {
 }
 
 
-# Ids handed out in arrival order: the rows of one input partition lie close together.
-DENSE_IDS = {"sensor_readings": "reading_id"}
-
-
 def _repeated(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
 
 
+# A bitmap per 32768 ids pays while at least one in so many ids is in use.
+MOST_IDS_PER_ROW = 64
+
+
+def repeated_ids(df: DataFrame, column: str) -> DataFrame:
+    """Repeated values of an id: by bitmaps where the ids lie close together, which their
+    least, greatest and number tell, else by counting each. The rows are the same."""
+    value = F.col(column).cast("decimal(20,0)")
+    seen = df.agg((F.max(value) - F.min(value) + 1).alias("span"), F.count(column).alias("rows")).first()
+    if seen.rows and seen.span <= MOST_IDS_PER_ROW * seen.rows:
+        return repeated_dense_ids(df, column)
+    return _repeated(df.dropna(subset=[column]), (column,))
+
+
 def repeated_dense_ids(df: DataFrame, column: str) -> DataFrame:
     """Repeated values of an id that runs with arrival, without an exchange of all ids.
 
@@ -60,8 +71,8 @@ def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
             if name not in tables:
                 continue
             text = F.concat_ws(",", *[F.col(c).cast("string") for c in key])
-            if DENSE_IDS.get(name) == key[0]:
-                found = repeated_dense_ids(tables[name], key[0])
+            if len(key) == 1 and dict(tables[name].dtypes)[key[0]] in ("int", "bigint"):
+                found = repeated_ids(tables[name], key[0])
             else:
                 found = _repeated(tables[name].dropna(subset=list(key), how="any"), key)
             parts.append(found.select(F.lit(name).alias("table_name"),

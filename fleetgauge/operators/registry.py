@@ -215,7 +215,8 @@ def delete_devices(ids: DataFrame, sensors: DataFrame, readings: DataFrame, as_o
     asked = ids.select("sensor_id").distinct()
     exists = sensors.select("sensor_id", F.lit(True).alias("_exists"))
     outcome = (asked.join(exists, "sensor_id", "left")
-               .join(readings_per_sensor(readings), "sensor_id", "left")
+               .join(readings_per_sensor(readings.join(asked, "sensor_id", "left_semi")),
+                     "sensor_id", "left")
                .select("sensor_id", F.when(F.col("_exists").isNull(), "not_found")
                        .when(F.col("reading_count") > 0, "cleared")
                        .otherwise("deleted").alias("action")))

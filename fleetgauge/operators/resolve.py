@@ -13,15 +13,17 @@ READING_COLUMNS = ["reading_id", "sensor_id", "bin_id", "fill_level", "distance_
                    "timestamp", "created_at"]
 
 
-def registry_by_mac(sensors: DataFrame, bins: DataFrame) -> DataFrame:
-    """One registry row per MAC (the lowest sensor_id), with whether its bin exists."""
-    known = bins.select("bin_id", F.lit(True).alias("has_bin"))
-    return (sensors.filter(F.col("mac_address").isNotNull())
-            .groupBy(F.col("mac_address").alias("mac"))
+def registry_by(sensors: DataFrame, key: str, name: str, prefix: str) -> DataFrame:
+    """One registry row per value of a column: that of the lowest sensor_id.
+
+    Made of the registry alone, so that its planned size is that of the registry and a small
+    one is broadcast.
+    """
+    return (sensors.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(name))
             .agg(F.min_by(F.struct("sensor_id", "bin_id", "weight_offset"), "sensor_id").alias("s"))
-            .select("mac", "s.*").join(known, "bin_id", "left")
-            .select("mac", F.col("sensor_id").alias("m_sensor_id"), F.col("bin_id").alias("m_bin_id"),
-                    F.col("weight_offset").alias("m_offset"), F.col("has_bin").alias("m_has_bin")))
+            .select(name, F.col("s.sensor_id").alias(f"{prefix}_sensor_id"),
+                    F.col("s.bin_id").alias(f"{prefix}_bin_id"),
+                    F.col("s.weight_offset").alias(f"{prefix}_offset")))
 
 
 def classify_messages(messages: DataFrame, sensors: DataFrame, bins: DataFrame) -> DataFrame:
@@ -35,10 +37,9 @@ def classify_messages(messages: DataFrame, sensors: DataFrame, bins: DataFrame)
     # A rejected message needs no device; its lookup keys are spread like missing ones.
     keyed = decode_messages(messages).withColumn("mac", spread_null(
         F.expr("CASE WHEN reason IS NULL THEN nullif(mac, '') END"), F.col("arrival_seq")))
-    by_mac = keyed.join(registry_by_mac(sensors, bins), "mac", "left")
+    by_mac = keyed.join(registry_by(sensors, "mac_address", "mac", "m"), "mac", "left")
 
-    codes = sensors.selectExpr("sensor_code AS _code", "sensor_id AS c_sensor_id",
-                               "weight_offset AS c_offset")
+    codes = registry_by(sensors, "sensor_code", "_code", "c").drop("c_bin_id")
     by_code = by_mac.withColumn("_code", spread_null(
         F.expr("CASE WHEN reason IS NULL AND m_sensor_id IS NULL THEN sensor_code END"),
         F.col("arrival_seq"))).join(codes, "_code", "left")
@@ -47,6 +48,10 @@ def classify_messages(messages: DataFrame, sensors: DataFrame, bins: DataFrame)
     resolved = by_code.withColumn("_bin", spread_null(
         F.expr("CASE WHEN reason IS NULL THEN CAST(payload_bin_id AS string) END"),
         F.col("arrival_seq"))).join(payload_bins, "_bin", "left")
+    # The bin of a device found by MAC, by the plain table of bins again.
+    device_bins = bins.selectExpr("CAST(bin_id AS string) AS _device_bin", "true AS m_has_bin")
+    resolved = resolved.withColumn("_device_bin", spread_null(
+        F.expr("CAST(m_bin_id AS string)"), F.col("arrival_seq"))).join(device_bins, "_device_bin", "left")
 
     offset = F.expr("CASE WHEN m_sensor_id IS NOT NULL THEN m_offset ELSE c_offset END")
     placed = resolved.select(

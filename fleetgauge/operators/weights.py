@@ -34,8 +34,9 @@ def daily_weight(bins: DataFrame, readings: DataFrame, as_of) -> DataFrame:
 
 
 def daily_weight_total(daily: DataFrame) -> DataFrame:
-    fleet_sum = F.sum(F.col("total_weight_today")).cast("decimal(18,2)")
-    return daily.agg(F.coalesce(fleet_sum, F.lit(0)).cast("decimal(18,2)").alias("total_weight_today"))
+    """The sum over the fleet, with room for any number of bins."""
+    fleet_sum = F.sum(F.col("total_weight_today").cast("decimal(28,2)"))
+    return daily.agg(F.coalesce(fleet_sum, F.lit(0)).cast("decimal(38,2)").alias("total_weight_today"))
 
 
 def weighing_history(readings: DataFrame, n: int = 10, bin_id: int | None = None) -> DataFrame:

@@ -90,7 +90,7 @@ _CLASSIFIED = f"""heard AS (
          {_FIELD_TYPE.format('temperature_c')} AS heat_type,
          {_FIELD_TYPE.format('battery_level')} AS battery_type,
          CASE WHEN json_valid(payload) THEN payload END AS doc
-  FROM messages WHERE regexp_full_match(topic, 'waste/bins/[^/]+/sensors')),
+  FROM messages WHERE regexp_full_match(topic, 'waste/bins/[^/]*/sensors')),
 gated AS (
   SELECT *, coalesce(is_object, false) AS object_ok,
          coalesce(fill_type IN {_NUMERIC} AND heat_type IN {_NUMERIC} AND battery_type IN {_NUMERIC}, false) AS numbers_ok,
@@ -147,7 +147,7 @@ hits AS (
 _ALERT_ROW = """SELECT arrival_seq * 4 + rule AS alert_id, bin_id, alert_type, severity, message,
   arrival_ts AS triggered_at, 'open' AS status"""
 _DEDUPED = f"""{_ALERT_ROW} FROM (
-  SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY bin_id, alert_type ORDER BY arrival_seq) = 1) h
+  SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY bin_id, alert_type ORDER BY arrival_ts, arrival_seq) = 1) h
 WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.status = 'open' AND a.bin_id = h.bin_id AND a.alert_type = h.alert_type)"""
 
 _EXPORT = """export AS (
@@ -293,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE triggered_at >= TIMESTAMP '{ALERTS_AS_OF}' - INTERVAL 168 HOUR GROUP BY 1, 2"""),
         "daily_weight": _with("waste_bins sensor_readings", _DAILY, "SELECT * FROM daily"),
         "daily_weight_total": _with("waste_bins sensor_readings", _DAILY,
-            "SELECT CAST(sum(total_weight_today) AS DECIMAL(18,2)) AS total_weight_today FROM daily"),
+            "SELECT CAST(sum(total_weight_today) AS DECIMAL(38,2)) AS total_weight_today FROM daily"),
         "weighing_history": _with("sensor_readings", _RANKED, f"""SELECT bin_id, reading_id, rank, timestamp, weight_kg,
             CAST(CAST(weight_kg AS DECIMAL(18,3)) AS VARCHAR) {_KG} AS weight_text,
             rank = min(rank) OVER (PARTITION BY bin_id) AS is_newest
@@ -364,7 +364,7 @@ def oracle_sql() -> dict[str, str]:
             FROM sensor_readings r WHERE NOT EXISTS (SELECT 1 FROM sensors s WHERE s.sensor_id = r.sensor_id)
             OR NOT EXISTS (SELECT 1 FROM waste_bins b WHERE b.bin_id = r.bin_id)"""),
         "export_report": _with("sensor_readings waste_bins", _EXPORT,
-            "SELECT *, 720 AS lookback_hours FROM export"),
+            "SELECT *, CAST(ceil(date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:59:00') / 60.0) AS INTEGER) AS lookback_hours FROM export"),
         "export_csv": _with("sensor_readings waste_bins", _EXPORT,
             "SELECT * EXCLUDE (reading_id) FROM export"),
         "readings_zoned": _with("sensor_readings", """SELECT reading_id,

@@ -17,7 +17,8 @@ COLLECTIONS_AS_OF = "2001-11-04 00:00:00"
 
 WASTE_BINS = """
 SELECT CAST(c.c_custkey AS INT) AS bin_id, c.c_name AS bin_code,
-       concat(n.n_name, ' - ', c.c_mktsegment) AS location,
+       concat(element_at((SELECT map_from_entries(collect_list(struct(n_nationkey, n_name))) FROM {nation}),
+                         c.c_nationkey), ' - ', c.c_mktsegment) AS location,
        CAST(concat('13.', lpad(CAST(7500 + c.c_custkey % 500 AS STRING), 4, '0')) AS DECIMAL(10,8)) AS latitude,
        CAST(concat('100.', lpad(CAST(5000 + c.c_custkey % 700 AS STRING), 4, '0')) AS DECIMAL(11,8)) AS longitude,
        CAST(60 * (1 + c.c_custkey % 4) AS INT) AS capacity,
@@ -25,7 +26,7 @@ SELECT CAST(c.c_custkey AS INT) AS bin_id, c.c_name AS bin_code,
             WHEN 2 THEN 'organic' ELSE 'hazardous' END AS bin_type,
        CASE WHEN c.c_custkey % 10 = 9 THEN 'inactive'
             WHEN c.c_custkey % 25 = 7 THEN 'maintenance' ELSE 'active' END AS status
-FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+FROM {customer} c
 """
 
 SENSOR_READINGS = """

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetgauge.sources.schemas import MESSAGES
 
-# Fixed value: the subscription; one free level between the two fixed parts.
-TOPIC_PATTERN = "^waste/bins/[^/]+/sensors$"
+# Fixed value: the subscription; one free level, which may be empty, between
+# the two fixed parts.
+TOPIC_PATTERN = r"\Awaste/bins/[^/]*/sensors\z"
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -26,8 +27,9 @@ def stream_messages(spark: SparkSession, path: str, max_files: int | None = None
 def from_kafka(records: DataFrame, partitions: int) -> DataFrame:
     """Envelopes from Kafka source columns; the record key carries the device topic.
 
-    Arrival order is the offset inside a partition; ``partitions`` (the topic's fixed
-    partition count) makes the number unique over all of them.
+    ``arrival_seq`` is a unique number made of the offset and the partition, with
+    ``partitions`` the topic's fixed partition count. It orders messages within a partition
+    only; over all of them arrival order is (``arrival_ts``, ``arrival_seq``).
     """
     return records.select(
         F.col("key").cast("string").alias("topic"),
@@ -43,7 +45,7 @@ def subscribed(messages: DataFrame, pattern: str = TOPIC_PATTERN) -> DataFrame:
 
 def topic_level(topic: Column) -> Column:
     """The free level of a subscribed topic."""
-    return F.regexp_extract(topic, "^waste/bins/([^/]+)/sensors$", 1)
+    return F.regexp_extract(topic, r"\Awaste/bins/([^/]*)/sensors\z", 1)
 
 
 def without_resends(stream: DataFrame, key: list[str], delay: str,

@@ -19,12 +19,14 @@ from fleetgauge.operators.resolve import (accepted_readings, classify_messages,
                                           rejected_messages)
 from fleetgauge.sources.schemas import SENSOR_READINGS
 from fleetgauge.sources.tables import write_batch, write_readings
+from fleetgauge.streaming import snapshots
 
 Registry = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 
 ALERT_FIELDS = {"alert_id": "long", "bin_id": "int", "alert_type": "string",
                 "severity": "string", "message": "string", "triggered_at": "timestamp_ntz",
                 "status": "string", "arrival_seq": "long"}
+OPEN_KEY = ["bin_id", "alert_type"]
 ALERT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in ALERT_FIELDS.items())
 
 
@@ -62,9 +64,10 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
     """Start the ingest stream; folders ``readings``, ``rejected`` and ``alerts`` under ``root``.
 
     ``registry`` is called per micro-batch, so a device registered a moment ago is known
-    to the next batch. Open alerts are looked up in the alerts written by earlier batches
-    and in ``known_alerts``; a caller that closes alerts in a table of its own passes
-    ``alerts_so_far`` instead, and a closed alert lets the next one open.
+    to the next batch. The keys of open alerts, those of ``known_alerts`` at first, are kept
+    in a small table under ``open_keys``, so a batch reads no alert history; a caller that
+    closes alerts in a table of its own passes ``alerts_so_far`` instead, and a closed alert
+    lets the next one open.
 
     Each batch replaces its own folders and reads only alerts of earlier batches, so a
     batch that runs again after a failure gives the same rows once.
@@ -77,8 +80,11 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
     held = start.filter("status = 'open'").select(*[
         (F.col(name) if name in start.columns else F.lit(None)).cast(kind).alias(name)
         for name, kind in ALERT_FIELDS.items()])
-    # Alerts from before the stream are batch -1; a restart finds them in place.
-    held.write.mode("ignore").parquet(f"{alerts_path}/batch_id=-1")
+    # Alerts from before the stream are batch -1; a restart finds them in place, and writes
+    # them again if the first start was lost while it did.
+    snapshots.write_once(held, f"{alerts_path}/batch_id=-1")
+    keys_path = f"{root}/open_keys"
+    snapshots.create(held.select(*OPEN_KEY).distinct(), keys_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -86,11 +92,15 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
         classified = classify_messages(batch, sensors, bins).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             earlier = (alerts_so_far(session, batch_id) if alerts_so_far
-                       else stored_alerts(session, alerts_path, batch_id))
+                       else snapshots.current(session, keys_path, OPEN_KEY, batch_id - 1)
+                       .withColumn("status", F.lit("open")))
             out = _results(classified, earlier, rules, alert_bin)
             write_readings(out.accepted, f"{root}/readings", batch_id)
             write_batch(out.rejected, f"{root}/rejected", batch_id)
             write_batch(out.alerts, alerts_path, batch_id)
+            if not alerts_so_far:
+                written = session.read.schema(ALERT_SCHEMA).parquet(f"{alerts_path}/batch_id={batch_id}")
+                snapshots.upsert(written.select(*OPEN_KEY).distinct(), keys_path, OPEN_KEY, batch_id)
         finally:
             classified.unpersist()
 

@@ -1,41 +1,100 @@
-"""A keyed table kept current by a stream: one version folder per micro-batch.
+"""A keyed table kept current by a stream, as small deltas over a base.
 
-Version N is version N-1 with the rows of batch N laid over it. Batch numbers have no
-gaps, so a batch that runs again reads the same version and replaces its own.
+Batch N writes its changed rows to ``delta=N``; every few batches all rows are written
+together as ``base=N``. The table is the newest base with the later deltas laid over it, so
+the work of a batch follows its own rows and at most ``COMPACT_EVERY`` deltas. Only
+folders with a ``_SUCCESS`` file count: one that a lost driver left half-written is as if
+it were not there, and the batch that runs again writes it anew.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Batches between two bases.
+COMPACT_EVERY = 20
 
-def _version(path: str, batch_id: int) -> str:
-    return f"{path}/version={batch_id}"
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder was committed."""
+    folder, files = _files(spark, f"{path}/_SUCCESS")
+    return files.exists(folder)
+
+
+def write_once(frame: DataFrame, path: str) -> None:
+    """Write the folder unless it is complete; what a lost driver left is replaced."""
+    if not is_complete(frame.sparkSession, path):
+        frame.write.mode("overwrite").parquet(path)
+
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    folder, files = _files(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    found = [int(name.partition("=")[2]) for name in names if name.startswith(f"{kind}=")]
+    return sorted(n for n in found if is_complete(spark, f"{path}/{kind}={n}"))
 
 
 def create(empty: DataFrame, path: str) -> None:
-    """The version before the first batch; left alone on a restart."""
-    empty.write.mode("ignore").parquet(_version(path, -1))
+    """The base before the first batch; left alone on a restart if it is complete."""
+    write_once(empty, f"{path}/base=-1")
+
+
+def upsert(changed: DataFrame, path: str, keys: list[str], batch_id: int,
+           compact_every: int = COMPACT_EVERY) -> None:
+    """Lay the changed rows over the table as batch ``batch_id``.
+
+    A batch that runs again replaces its own folders and reads only those of earlier
+    batches. Nothing is deleted, so readers keep what they have opened; see ``expire``.
+    """
+    changed.write.mode("overwrite").parquet(f"{path}/delta={batch_id}")
+    if (batch_id + 1) % compact_every == 0:
+        # A base of this batch may be there from an attempt that is running again.
+        whole = _as_of(changed.sparkSession, path, keys, batch_id, batch_id - 1)
+        whole.write.mode("overwrite").parquet(f"{path}/base={batch_id}")
 
 
-def upsert(changed: DataFrame, path: str, keys: list[str], batch_id: int, keep: int = 3) -> None:
-    """Write version ``batch_id``; versions older than the last ``keep`` are dropped."""
-    spark = changed.sparkSession
-    before = spark.read.schema(changed.schema).parquet(_version(path, batch_id - 1))
-    merged = before.join(changed.select(*keys), keys, "left_anti").unionByName(changed)
-    merged.write.mode("overwrite").parquet(_version(path, batch_id))
-    _drop(spark, _version(path, batch_id - keep))
+def current(spark: SparkSession, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The table as of batch ``upto``, or of the newest complete batch."""
+    reach = float("inf") if upto is None else upto
+    return _as_of(spark, path, keys, reach, reach)
 
 
-def _drop(spark: SparkSession, folder: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(jvm_path):
-        files.delete(jvm_path, True)
+def _as_of(spark: SparkSession, path: str, keys: list[str], reach: float, base_reach: float) -> DataFrame:
+    bases = [n for n in _numbers(spark, path, "base") if n <= base_reach]
+    if not bases:
+        raise FileNotFoundError(f"no complete base in {path}")
+    base = bases[-1]
+    deltas = [n for n in _numbers(spark, path, "delta") if base < n <= reach]
+    before = spark.read.parquet(f"{path}/base={base}")
+    rest = [c for c in before.columns if c not in keys]
+    if not deltas:
+        return before
+    parts = before.withColumn("_batch", F.lit(base))
+    for n in deltas:
+        parts = parts.unionByName(
+            spark.read.schema(before.schema).parquet(f"{path}/delta={n}").withColumn("_batch", F.lit(n)))
+    if not rest:
+        return parts.select(*keys).distinct()
+    return (parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))
+            .select(*keys, "_last.*").select(*before.columns))
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version."""
-    versions = spark.read.parquet(path)
-    newest = spark.read.parquet(path).agg(F.max("version")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete what is older than the ``keep`` newest bases. For the owner to call, at a time
+    when no reader can still be at work on them."""
+    bases = _numbers(spark, path, "base")
+    if len(bases) <= keep:
+        return
+    oldest = bases[-keep]
+    gone = [f"base={n}" for n in bases if n < oldest] + [
+        f"delta={n}" for n in _numbers(spark, path, "delta") if n <= oldest]
+    for name in gone:
+        folder, files = _files(spark, f"{path}/{name}")
+        files.delete(folder, True)

@@ -165,7 +165,7 @@ def test_export(spark, bins, frame, tmp_path):
     start, end = export.interval("2023-12-30", "2024-01-01", "", "12:00")
     assert (start, end, export.export_hours(start, end)) == ("2023-12-30 00:00:00", "2024-01-01 12:00:00", 60)
     assert export.export_hours("2024-01-01 00:00:00", "2024-01-01 00:01:00") == 1
-    assert export.export_hours("2024-01-01 00:00:00", "2024-03-01 00:00:00") == 720
+    assert export.export_hours("2024-01-01 00:00:00", "2024-03-01 00:00:00") == 1440
     with pytest.raises(ValueError):
         export.interval("2024-01-02", "2024-01-01")
     report = export.export_report(frame, bins, start, end)

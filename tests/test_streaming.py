@@ -145,7 +145,7 @@ def test_latest_equals_the_batch(spark, reading_files, tmp_path):
     live.start_latest(_stream(spark, reading_files), out, str(tmp_path / "cp"), availableNow=True).awaitTermination()
     expected = latest_readings(spark.read.schema(SENSOR_READINGS).parquet(reading_files))
     columns = sorted(expected.columns)
-    assert rows(snapshots.current(spark, out), *columns) == rows(expected, *columns)
+    assert rows(snapshots.current(spark, out, ["bin_id"]), *columns) == rows(expected, *columns)
 
 
 def test_hourly_equals_the_batch_however_late(spark, reading_files, tmp_path):
@@ -153,7 +153,7 @@ def test_hourly_equals_the_batch_however_late(spark, reading_files, tmp_path):
     live.start_hourly(_stream(spark, reading_files), out, str(tmp_path / "cp"), availableNow=True).awaitTermination()
     expected = hourly_fill(spark.read.schema(SENSOR_READINGS).parquet(reading_files))
     columns = ["hour", "avg_fill_level", "reading_count"]
-    assert rows(snapshots.current(spark, out), *columns) == rows(expected, *columns)
+    assert rows(snapshots.current(spark, out, ["hour"]), *columns) == rows(expected, *columns)
 
 
 def test_appended_hours_are_final(spark, sf_dir, tmp_path):
@@ -181,6 +181,71 @@ def test_resends_are_kept_unless_asked(spark, tmp_path):
         assert spark.read.parquet(out).count() == expected
 
 
+def _cut(folder):
+    """As a lost driver leaves a folder: files, but no commit."""
+    (folder / "_SUCCESS").unlink()
+
+
+def _keyed(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "k int, v int")
+
+
+def test_half_written_folders_count_as_absent(spark, tmp_path):
+    path = str(tmp_path / "t")
+    (tmp_path / "t" / "base=-1" / "_temporary").mkdir(parents=True)
+    snapshots.create(_keyed(spark, (1, 0)), path)                       # written, not taken as there
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == [(1, 0)]
+    snapshots.upsert(_keyed(spark, (1, 1), (2, 1)), path, ["k"], 0)
+    snapshots.upsert(_keyed(spark, (2, 2)), path, ["k"], 1)
+    _cut(tmp_path / "t" / "delta=1")
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == [(1, 1), (2, 1)]
+    snapshots.upsert(_keyed(spark, (2, 3)), path, ["k"], 1)             # the batch runs again
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == [(1, 1), (2, 3)]
+
+
+def test_compaction_keeps_the_table_and_the_work_of_a_batch(spark, tmp_path):
+    path, expected = str(tmp_path / "t"), {}
+    snapshots.create(_keyed(spark).limit(0), path)
+    for n in range(9):
+        snapshots.upsert(_keyed(spark, (n % 4, n)), path, ["k"], n, compact_every=3)
+        expected[n % 4] = n
+        found = snapshots.current(spark, path, ["k"])
+        assert rows(found, "k", "v") == sorted(expected.items())
+        assert len(found.inputFiles()) <= 4 + 4
+    _cut(tmp_path / "t" / "base=8")                                      # the base before and its deltas serve
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == sorted(expected.items())
+    snapshots.upsert(_keyed(spark, (0, 8)), path, ["k"], 8, compact_every=3)
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == sorted(expected.items())
+    snapshots.expire(spark, path, keep=1)
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == sorted(expected.items())
+
+
+def test_open_alerts_from_before_survive_a_lost_start(spark, tmp_path):
+    source, root = str(tmp_path / "in"), tmp_path / "out"
+    bins = table(spark, "waste_bins", {"bin_id": 1, "bin_code": "B", "status": "active"})
+    sensors = table(spark, "sensors", {"sensor_id": 5, "sensor_code": "S"})
+    known = spark.createDataFrame([(1, 1, "bin_full", "open")], "alert_id long, bin_id int, alert_type string, status string")
+    (root / "alerts" / "batch_id=-1" / "_temporary").mkdir(parents=True)
+    (root / "open_keys" / "base=-1" / "_temporary").mkdir(parents=True)
+    for seq in (1, 2):
+        _land_one(spark, source, seq, 95)
+        ingest.start_ingest(stream_messages(spark, source), lambda s: (sensors, bins), str(root),
+                            str(tmp_path / "cp"), known_alerts=known, availableNow=True).awaitTermination()
+    assert rows(ingest.alert_table(spark, str(root)), "alert_id", "batch_id") == [(1, -1)]
+
+
+def test_first_alert_is_the_earliest_by_time(spark):
+    from fleetgauge.operators.alerts import CANDIDATE_COLUMNS, new_open_alerts
+    early, late = ts("2024-01-01 00:00:00"), ts("2024-01-01 00:00:05")
+    made = [{"alert_id": 8, "bin_id": 1, "alert_type": "bin_full", "severity": "high", "message": "m",
+             "triggered_at": late, "status": "open", "arrival_seq": 2},
+            {"alert_id": 36, "bin_id": 1, "alert_type": "bin_full", "severity": "high", "message": "m",
+             "triggered_at": early, "status": "open", "arrival_seq": 9}]
+    frame = spark.createDataFrame([tuple(r.values()) for r in made], ingest.ALERT_SCHEMA)
+    none = frame.limit(0)
+    assert rows(new_open_alerts(frame.select(*CANDIDATE_COLUMNS), none), "alert_id") == [(36,)]
+
+
 def test_shared_dir_follows_the_session(spark):
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert first != second
