@@ -15,6 +15,7 @@ from fleetgauge.functions.identity import (canonical_mac, device_code, is_mac, m
                                            name_or_mac, stripped, suffixed_code)
 from fleetgauge.functions.times import ntz
 from fleetgauge.plans.keyed import stacked
+from fleetgauge.plans.settle import claimed_codes, sequenced_updates, written
 from fleetgauge.sources.schemas import DEFAULTS
 
 # What the registry calls devices it creates.
@@ -48,38 +49,13 @@ def form_rows(rows: DataFrame) -> DataFrame:
         is_mac(mac).alias("mac_ok"), (F.coalesce("bin_id", F.lit(0)) != 0).alias("bin_ok"))
 
 
-def _settled_codes(created: DataFrame, sensors: DataFrame, rounds: int) -> DataFrame:
-    """The code of each new device, as if devices came one by one in item order.
-
-    Each device first asks for its base code. A code in use, or asked for by an earlier
-    device, sends it to its suffixed code; if that is gone too there is none. A suffixed
-    code may itself be the base code of another device, which is why losers are settled
-    in rounds; the last round only accepts, so no code is ever given twice.
-    """
-    used = sensors.select(F.col("sensor_code").alias("_used")).distinct()
-    base_used = used.select(F.col("_used").alias("base_code"), F.lit(True).alias("base_used"))
-    suffix_used = used.select(F.col("_used").alias("suffix_code"), F.lit(True).alias("suffix_used"))
-    state = (created.join(base_used, "base_code", "left").join(suffix_used, "suffix_code", "left")
-             .withColumn("on_suffix", F.col("base_used").isNotNull()))
-    for last in [False] * rounds + [True]:
-        state = state.withColumn("code", F.when(F.col("on_suffix"), F.col("suffix_code"))
-                                 .otherwise(F.col("base_code")))
-        firsts = state.groupBy("code").agg(F.min("first_seq").alias("winner"))
-        state = state.join(firsts, "code").withColumn("won", F.col("winner") == F.col("first_seq"))
-        if not last:
-            state = state.withColumn("on_suffix", F.col("on_suffix") | ~F.col("won")).drop(
-                "code", "winner", "won")
-    free = F.col("won") & ~(F.col("on_suffix") & F.col("suffix_used").isNotNull())
-    return state.select("mac", "first_seq", F.when(free, F.col("code")).alias("sensor_code"))
-
-
 def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_of,
-                     model: str | None = None, rounds: int = 2) -> RegistryChange:
-    """Upsert devices by MAC.
+                     model: str | None = None) -> RegistryChange:
+    """Upsert devices by MAC, as if items came one by one in order.
 
-    Per MAC the first good item decides whether and under which code a device is
-    created; the last good item decides bin, name and offset. Every good item has a
-    result row: the first of a new MAC 'created', all others 'updated'.
+    The first item of a new MAC that finds a free code, plain or suffixed, creates the
+    device; one that finds none is an error and leaves the MAC to later items. Items of a
+    MAC that exists by then are updates, and the last good one decides bin, name and offset.
     """
     mac = canonical_mac(F.coalesce("mac_address", F.lit("")))
     asked = items.select("item_seq", mac.alias("mac"),
@@ -92,21 +68,18 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
     checked = (asked.join(open_bins, "bin_id", "left").join(known, "mac", "left")
                .withColumn("error", F.when(~is_mac(F.col("mac")), "invalid_mac")
                            .when(F.col("bin_code").isNull(), "unknown_bin")))
-    good = checked.filter(F.col("error").isNull())
-
-    per_mac = good.groupBy("mac").agg(
-        F.min("item_seq").alias("first_seq"), F.min_by("name", "item_seq").alias("first_name"),
-        F.max_by(F.struct("bin_id", "name", "weight_offset"), "item_seq").alias("final"),
-        F.max("known_id").alias("known_id"))
-    base = device_code(F.col("first_name"), F.col("mac"))
-    created = per_mac.filter(F.col("known_id").isNull()).select(
-        "mac", "first_seq", base.alias("base_code"),
-        suffixed_code(base, F.col("mac")).alias("suffix_code"))
-    codes = _settled_codes(created, sensors, rounds)
+    good = written(checked.filter(F.col("error").isNull()), "register-items")
+
+    base = device_code(F.col("name"), F.col("mac"))
+    attempts = good.filter(F.col("known_id").isNull()).select(
+        "mac", "item_seq", base.alias("base_code"), suffixed_code(base, F.col("mac")).alias("suffix_code"))
+    created = claimed_codes(attempts, sensors.select(F.col("sensor_code").alias("code")))
+    codes = created.select("mac", F.col("item_seq").alias("first_seq"), F.col("code").alias("sensor_code"))
 
     outcome = good.join(codes, "mac", "left")
-    no_code = F.col("known_id").isNull() & F.col("sensor_code").isNull()
-    is_first = F.col("known_id").isNull() & (F.col("item_seq") == F.col("first_seq"))
+    is_first = F.coalesce(F.col("item_seq") == F.col("first_seq"), F.lit(False))
+    no_code = F.col("known_id").isNull() & (F.col("first_seq").isNull()
+                                            | (F.col("item_seq") < F.col("first_seq")))
     results = outcome.filter(~no_code).select(
         "item_seq", "mac", "bin_code",
         F.when(is_first, F.col("sensor_code")).alias("sensor_code"),
@@ -115,6 +88,8 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
               .unionByName(outcome.filter(no_code).select(
                   "item_seq", "mac", F.lit("sensor_code_taken").alias("error"))))
 
+    per_mac = outcome.filter(~no_code).groupBy("mac").agg(
+        F.max_by(F.struct("bin_id", "name", "weight_offset"), "item_seq").alias("final"))
     final = per_mac.select(F.col("mac").alias("mac_address"),
                            F.col("final.bin_id").alias("new_bin_id"),
                            F.col("final.name").alias("new_name"),
@@ -126,8 +101,7 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
         "weight_offset": F.col("new_offset"), "updated_at": ntz(as_of)}, stamped.columns)
 
     last_id = sensors.agg(F.coalesce(F.max("sensor_id"), F.lit(0))).scalar()
-    new = (codes.filter(F.col("sensor_code").isNotNull())
-           .join(per_mac.select("mac", "final"), "mac")
+    new = (codes.join(per_mac, "mac")
            .select((last_id + F.col("first_seq")).cast("int").alias("sensor_id"), "sensor_code",
                    F.col("final.bin_id").alias("bin_id"),
                    F.lit(SENSOR_TYPE).alias("sensor_type"),
@@ -154,43 +128,32 @@ def _changed(df: DataFrame, where: Column, values: dict[str, Column],
 
 def update_devices(updates: DataFrame, sensors: DataFrame, bins: DataFrame,
                    as_of) -> RegistryChange:
-    """Change MAC, bin, name and offset of single devices.
+    """Change MAC, bin, name and offset of single devices, as if items came one by one.
 
-    Checks run in this order: MAC form, device exists, MAC held by another device, bin
-    exists. Of several updates of one device the last that passes counts, the others are
-    'superseded'; of several devices asking for one MAC the earliest gets it. MACs in use
-    are those of the given registry.
+    Checks run in this order: MAC form, device exists, MAC held by another device at that
+    point, bin exists. Every item that passes is 'updated'; the last of a device counts.
     """
     asked = updates.select("item_seq", "sensor_id", canonical_mac(F.col("mac_address")).alias("mac"),
                            stripped(F.col("device_name")).alias("name"), "bin_id",
                            F.coalesce("weight_offset", F.lit(0.0)).alias("weight_offset"))
     ids = sensors.select("sensor_id", F.lit(True).alias("_exists"))
-    holders = (sensors.filter(F.col("mac_address").isNotNull())
-               .groupBy(F.col("mac_address").alias("mac"))
-               .agg(F.min("sensor_id").alias("_low"), F.max("sensor_id").alias("_high")))
     places = bins.select("bin_id", F.lit(True).alias("_bin"))
-    other = (F.col("_low") != F.col("sensor_id")) | (F.col("_high") != F.col("sensor_id"))
-    checked = (asked.join(ids, "sensor_id", "left").join(holders, "mac", "left")
-               .join(places, "bin_id", "left")
-               .withColumn("error", F.when(~is_mac(F.col("mac")), "invalid_mac")
-                           .when(F.col("_exists").isNull(), "not_found")
-                           .when(F.coalesce(other, F.lit(False)), "mac_in_use")
-                           .when(F.col("_bin").isNull(), "unknown_bin")))
-    good = checked.filter(F.col("error").isNull())
-    last = good.groupBy("sensor_id").agg(F.max("item_seq").alias("_last"))
-    good = good.join(last, "sensor_id").withColumn(
-        "error", F.when(F.col("item_seq") < F.col("_last"), "superseded"))
-    effective = good.filter(F.col("error").isNull())
-    first = effective.groupBy("mac").agg(F.min("item_seq").alias("_first"))
-    effective = effective.join(first, "mac").withColumn(
-        "error", F.when(F.col("item_seq") > F.col("_first"), "mac_in_use"))
-    applied = effective.filter(F.col("error").isNull())
-
-    results = applied.select("item_seq", "sensor_id", "mac", F.lit("updated").alias("action"))
+    checked = written(asked.join(ids, "sensor_id", "left").join(places, "bin_id", "left")
+                      .withColumn("bin_ok", F.col("_bin").isNotNull())
+                      .withColumn("error", F.when(~is_mac(F.col("mac")), "invalid_mac")
+                                  .when(F.col("_exists").isNull(), "not_found"))
+                      .drop("_exists", "_bin"), "update-items")
+    sound = checked.filter(F.col("error").isNull()).drop("error")
+    decided = sequenced_updates(sound, sensors.select("sensor_id", F.col("mac_address").alias("mac")))
+
+    passed = decided.filter(F.col("error").isNull())
+    results = passed.select("item_seq", "sensor_id", "mac", F.lit("updated").alias("action"))
     shape = ["item_seq", "sensor_id", "mac", "error"]
-    errors = checked.filter(F.col("error").isNotNull()).select(*shape)
-    for part in (good, effective):
-        errors = errors.unionByName(part.filter(F.col("error").isNotNull()).select(*shape))
+    errors = checked.filter(F.col("error").isNotNull()).select(*shape).unionByName(
+        decided.filter(F.col("error").isNotNull()).select(*shape))
+    applied = passed.groupBy("sensor_id").agg(F.max_by(
+        F.struct("mac", "bin_id", "name", "weight_offset"), "item_seq").alias("a")).select(
+            "sensor_id", "a.*")
 
     stamped = _with_column(sensors, "updated_at", "timestamp_ntz")
     new = applied.select("sensor_id", F.col("mac").alias("new_mac"),

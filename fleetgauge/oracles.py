@@ -18,10 +18,13 @@ _PLAIN = {name: name for name in SOURCE_TABLES}
 _NOW = f"TIMESTAMP '{READINGS_AS_OF}'"
 
 
+_NATION_NAME = "(SELECT n_name FROM nation n WHERE n.n_nationkey = c.c_nationkey)"
+
+
 def _with(views: str, *steps: str) -> str:
     """``views`` (blank-separated names) as CTEs, further named steps, then the query."""
-    ctes = [f"{v} AS ({_VIEWS[v].format(**_PLAIN)})" for v in views.split()]
-    return "WITH " + ",\n".join([*ctes, *steps[:-1]]) + "\n" + steps[-1]
+    ctes = [f"{v} AS ({_VIEWS[v].format(**_PLAIN).replace('{nation_name}', _NATION_NAME)})" for v in views.split()]
+    return "WITH RECURSIVE " + ",\n".join([*ctes, *steps[:-1]]) + "\n" + steps[-1]
 
 
 def _case(column: str, texts: dict[str, str], default: str) -> str:
@@ -168,27 +171,31 @@ checked AS (
               WHEN b.bin_id IS NULL THEN 'unknown_bin' END AS error
   FROM asked a LEFT JOIN waste_bins b ON b.bin_id = a.bin_id AND b.status = 'active'
   LEFT JOIN sensors s ON s.mac_address = a.mac),
-good AS (
-  SELECT *, min(item_seq) OVER (PARTITION BY mac) AS first_seq,
-         max(item_seq) OVER (PARTITION BY mac) AS last_seq FROM checked WHERE error IS NULL),
-fresh AS (
-  SELECT mac, item_seq, coalesce(nullif(trim(substr(regexp_replace(name, '[^A-Za-z0-9\-_]', '-', 'g'), 1, 40), '-'), ''),
-                'MAC-' || right(replace(mac, ':', ''), 6)) AS base
-  FROM good WHERE item_seq = first_seq AND known_id IS NULL),
-placed AS (
-  SELECT *, substr(base, 1, 36) || '-' || right(replace(mac, ':', ''), 4) AS suffixed,
-         base NOT IN (SELECT sensor_code FROM sensors)
-           AND item_seq = min(item_seq) OVER (PARTITION BY base) AS takes_base FROM fresh),
-coded AS (
-  SELECT mac, item_seq, CASE WHEN takes_base THEN base
-         WHEN suffixed IN (SELECT sensor_code FROM sensors) THEN NULL
-         WHEN suffixed IN (SELECT base FROM placed WHERE takes_base) THEN NULL
-         WHEN item_seq > min(item_seq) OVER (PARTITION BY takes_base, suffixed) THEN NULL
-         ELSE suffixed END AS sensor_code FROM placed),
-outcome AS (
-  SELECT g.*, c.sensor_code FROM good g LEFT JOIN coded c ON c.mac = g.mac)"""
+good AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY item_seq) AS k,
+         coalesce(nullif(trim(substr(regexp_replace(name, '[^A-Za-z0-9\-_]', '-', 'g'), 1, 40), '-'), ''),
+                  'MAC-' || right(replace(mac, ':', ''), 6)) AS base
+  FROM checked WHERE error IS NULL),
+-- One item at a time: the codes and MACs that exist by then.
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT list(sensor_code) FROM sensors) AS codes,
+         (SELECT list(mac_address) FROM sensors WHERE mac_address IS NOT NULL) AS macs,
+         CAST(NULL AS VARCHAR) AS sensor_code, CAST(NULL AS VARCHAR) AS action
+  UNION ALL
+  SELECT k, CASE WHEN action = 'created' THEN list_append(codes, code) ELSE codes END,
+         CASE WHEN action = 'created' THEN list_append(macs, mac) ELSE macs END,
+         CASE WHEN action = 'created' THEN code END, action
+  FROM (SELECT g.k, s.codes, s.macs, g.mac, c.code,
+               CASE WHEN list_contains(s.macs, g.mac) THEN 'updated' WHEN c.code IS NOT NULL THEN 'created' END AS action
+        FROM steps s JOIN good g ON g.k = s.k + 1,
+        LATERAL (SELECT CASE WHEN NOT list_contains(s.codes, g.base) THEN g.base
+          WHEN NOT list_contains(s.codes, substr(g.base, 1, 36) || '-' || right(replace(g.mac, ':', ''), 4))
+          THEN substr(g.base, 1, 36) || '-' || right(replace(g.mac, ':', ''), 4) END AS code) c)),
+outcome AS (SELECT g.*, s.sensor_code, s.action FROM good g JOIN steps s ON s.k = g.k),
+coded AS (SELECT mac, item_seq, sensor_code FROM outcome WHERE action = 'created')"""
 _REGISTER_VIEWS = "device_items sensors waste_bins"
-_FINAL = """final AS (SELECT mac, bin_id, name, weight_offset FROM good WHERE item_seq = last_seq)"""
+_FINAL = """final AS (SELECT mac, bin_id, name, weight_offset FROM outcome WHERE action IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY mac ORDER BY item_seq DESC) = 1)"""
 
 _UPDATE = """asked AS (
   SELECT item_seq, sensor_id, upper(trim(mac_address)) AS mac, trim(device_name) AS name, bin_id,
@@ -196,15 +203,21 @@ _UPDATE = """asked AS (
 checked AS (
   SELECT a.*, CASE WHEN NOT regexp_full_match(mac, '([0-9A-F]{2}:){5}[0-9A-F]{2}') THEN 'invalid_mac'
     WHEN NOT EXISTS (SELECT 1 FROM sensors s WHERE s.sensor_id = a.sensor_id) THEN 'not_found'
-    WHEN EXISTS (SELECT 1 FROM sensors s WHERE s.mac_address = a.mac AND s.sensor_id <> a.sensor_id) THEN 'mac_in_use'
-    WHEN NOT EXISTS (SELECT 1 FROM waste_bins b WHERE b.bin_id = a.bin_id) THEN 'unknown_bin' END AS error
+    END AS error
   FROM asked a),
-latest AS (
-  SELECT * EXCLUDE (error), CASE WHEN item_seq < max(item_seq) OVER (PARTITION BY sensor_id) THEN 'superseded' END AS error
-  FROM checked WHERE error IS NULL),
-settled AS (
-  SELECT * EXCLUDE (error), CASE WHEN item_seq > min(item_seq) OVER (PARTITION BY mac) THEN 'mac_in_use' END AS error
-  FROM latest WHERE error IS NULL)"""
+good AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY item_seq) AS k,
+                bin_id IN (SELECT bin_id FROM waste_bins) AS bin_ok FROM checked WHERE error IS NULL),
+-- One item at a time: which MAC each device holds by then, as lists side by side.
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT list(sensor_id ORDER BY sensor_id) FROM sensors) AS ids,
+         (SELECT list(mac_address ORDER BY sensor_id) FROM sensors) AS macs, CAST(NULL AS VARCHAR) AS error
+  UNION ALL
+  SELECT k, ids, CASE WHEN error IS NULL THEN list_concat(list_concat(macs[1:pos - 1], [mac]), macs[pos + 1:len(macs)]) ELSE macs END, error
+  FROM (SELECT g.k, s.ids, s.macs, g.mac, list_position(s.ids, g.sensor_id) AS pos,
+               CASE WHEN len(list_filter(list_zip(s.ids, s.macs), lambda x: x[2] = g.mac AND x[1] <> g.sensor_id)) > 0 THEN 'mac_in_use'
+                    WHEN NOT g.bin_ok THEN 'unknown_bin' END AS error
+        FROM steps s JOIN good g ON g.k = s.k + 1)),
+settled AS (SELECT g.* EXCLUDE (error), s.error FROM good g JOIN steps s ON s.k = g.k)"""
 _UPDATE_VIEWS = "device_updates sensors waste_bins"
 
 _DELETE = """asked AS (SELECT bin_id AS sensor_id FROM waste_bins),
@@ -377,13 +390,11 @@ def oracle_sql() -> dict[str, str]:
             bin_id, weight_offset, regexp_full_match(mac, '([0-9A-F]{2}:){5}[0-9A-F]{2}') AS mac_ok,
             bin_id <> 0 AS bin_ok FROM typed"""),
         "register_devices": _with(_REGISTER_VIEWS, _REGISTER, """SELECT item_seq, mac, bin_code,
-            CASE WHEN known_id IS NULL AND item_seq = first_seq THEN sensor_code END AS sensor_code,
-            CASE WHEN known_id IS NULL AND item_seq = first_seq THEN 'created' ELSE 'updated' END AS action
-            FROM outcome WHERE known_id IS NOT NULL OR sensor_code IS NOT NULL"""),
+            sensor_code, action FROM outcome WHERE action IS NOT NULL"""),
         "register_errors": _with(_REGISTER_VIEWS, _REGISTER, """
             SELECT item_seq, mac, error FROM checked WHERE error IS NOT NULL
             UNION ALL SELECT item_seq, mac, 'sensor_code_taken' FROM outcome
-              WHERE known_id IS NULL AND sensor_code IS NULL"""),
+              WHERE action IS NULL"""),
         "register_snapshot": _with(_REGISTER_VIEWS, _REGISTER, _FINAL, f"""
             SELECT s.sensor_id, s.sensor_code, coalesce(f.bin_id, s.bin_id) AS bin_id, s.sensor_type,
               coalesce(f.name, s.manufacturer) AS manufacturer, s.status, s.mac_address,
@@ -393,10 +404,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT CAST((SELECT max(sensor_id) FROM sensors) + c.item_seq AS INT), c.sensor_code, f.bin_id,
               'weight_scale', f.name, 'active', c.mac, f.weight_offset, {_NOW}
-            FROM coded c JOIN final f ON f.mac = c.mac WHERE c.sensor_code IS NOT NULL"""),
+            FROM coded c JOIN final f ON f.mac = c.mac"""),
         "update_devices": _with(_UPDATE_VIEWS, _UPDATE, """
             SELECT item_seq, sensor_id, mac, error AS outcome FROM checked WHERE error IS NOT NULL
-            UNION ALL SELECT item_seq, sensor_id, mac, error FROM latest WHERE error IS NOT NULL
             UNION ALL SELECT item_seq, sensor_id, mac, coalesce(error, 'updated') FROM settled"""),
         "update_snapshot": _with(_UPDATE_VIEWS, _UPDATE, f"""
             SELECT s.sensor_id, s.sensor_code, coalesce(u.bin_id, s.bin_id) AS bin_id, s.sensor_type,
@@ -404,7 +414,8 @@ def oracle_sql() -> dict[str, str]:
               coalesce(u.mac, s.mac_address) AS mac_address,
               coalesce(u.weight_offset, s.weight_offset) AS weight_offset,
               CASE WHEN u.mac IS NOT NULL THEN {_NOW} END AS updated_at
-            FROM sensors s LEFT JOIN (SELECT * FROM settled WHERE error IS NULL) u ON u.sensor_id = s.sensor_id"""),
+            FROM sensors s LEFT JOIN (SELECT * FROM settled WHERE error IS NULL
+              QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY item_seq DESC) = 1) u ON u.sensor_id = s.sensor_id"""),
         "delete_devices": _with(_DELETE_VIEWS, _DELETE, "SELECT sensor_id, action FROM outcome"),
         "delete_snapshot": _with(_DELETE_VIEWS, _DELETE, f"""
             SELECT s.* REPLACE (CASE WHEN o.action = 'cleared' THEN NULL ELSE s.mac_address END AS mac_address),
@@ -427,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
             _repeated("sensors", "sensor_id"), _repeated("sensors", "sensor_code"),
             _repeated("sensors", "mac_address"), _repeated("sensor_readings", "reading_id"),
             _repeated("collections", "collection_id"), _repeated("alerts", "alert_id"),
-            _repeated("route_bins", "route_id", "bin_id")])),
+            _repeated("collection_routes", "route_id"), _repeated("route_bins", "route_id", "bin_id")])),
         "orphan_rows": _with(_ALL_VIEWS, " UNION ALL ".join([
             _orphans("sensors", "bin_id", "waste_bins"), _orphans("sensor_readings", "sensor_id", "sensors"),
             _orphans("sensor_readings", "bin_id", "waste_bins"), _orphans("collections", "bin_id", "waste_bins"),

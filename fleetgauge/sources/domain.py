@@ -15,10 +15,14 @@ READINGS_AS_OF = "2024-01-30 23:58:00"
 ALERTS_AS_OF = "2001-08-01 00:00:00"
 COLLECTIONS_AS_OF = "2001-11-04 00:00:00"
 
+# The name of a customer's nation as a map of the 25 nations: a join would multiply the
+# planned size of the bins, and large sides would be exchanged for them.
+NATION_NAME = ("element_at((SELECT map_from_entries(collect_list(struct(n_nationkey, n_name))) "
+               "FROM {nation}), c.c_nationkey)")
+
 WASTE_BINS = """
 SELECT CAST(c.c_custkey AS INT) AS bin_id, c.c_name AS bin_code,
-       concat(element_at((SELECT map_from_entries(collect_list(struct(n_nationkey, n_name))) FROM {nation}),
-                         c.c_nationkey), ' - ', c.c_mktsegment) AS location,
+       concat({{nation_name}}, ' - ', c.c_mktsegment) AS location,
        CAST(concat('13.', lpad(CAST(7500 + c.c_custkey % 500 AS STRING), 4, '0')) AS DECIMAL(10,8)) AS latitude,
        CAST(concat('100.', lpad(CAST(5000 + c.c_custkey % 700 AS STRING), 4, '0')) AS DECIMAL(11,8)) AS longitude,
        CAST(60 * (1 + c.c_custkey % 4) AS INT) AS capacity,
@@ -196,7 +200,7 @@ class Fleet:
 
     @cached_property
     def bins(self) -> DataFrame:
-        return self._view(WASTE_BINS, "customer", "nation")
+        return self._view(WASTE_BINS.replace("{{nation_name}}", NATION_NAME), "customer", "nation")
 
     @cached_property
     def readings(self) -> DataFrame:

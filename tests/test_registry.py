@@ -32,7 +32,7 @@ def register_one_by_one(items, sensors, active):
     """What registering each item in turn gives: outcome per item, and the devices."""
     devices = {s["mac_address"]: dict(s) for s in sensors if s.get("mac_address")}
     codes = {s["sensor_code"] for s in sensors}
-    failed, out = set(), {}
+    out = {}
     for it in sorted(items, key=lambda i: i["item_seq"]):
         m = it["mac_address"].strip().upper()
         name = it["device_name"].strip() or m
@@ -40,8 +40,6 @@ def register_one_by_one(items, sensors, active):
             out[it["item_seq"]] = ("invalid_mac", None)
         elif it["bin_id"] not in active:
             out[it["item_seq"]] = ("unknown_bin", None)
-        elif m in failed:
-            out[it["item_seq"]] = ("sensor_code_taken", None)
         elif m in devices:
             devices[m].update(bin_id=it["bin_id"], manufacturer=name, weight_offset=it["weight_offset"])
             out[it["item_seq"]] = ("updated", None)
@@ -50,7 +48,6 @@ def register_one_by_one(items, sensors, active):
             if code in codes:
                 code = code[:36] + "-" + m.replace(":", "")[-4:]
             if code in codes:
-                failed.add(m)
                 out[it["item_seq"]] = ("sensor_code_taken", None)
                 continue
             codes.add(code)
@@ -118,10 +115,72 @@ def test_register_suffix_meets_a_base_code(spark, bins):
         item(1, mac(0x34), "Dup-0033", 1), item(2, mac(0x32), "Dup", 1), item(3, mac(0x33), "Dup", 1)], [])
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_register_chain_of_codes(spark, bins):
+    # Each device after the first pair is named like the suffixed code of the one before.
+    items = [item(1, mac(1, "AA:BB:CE"), "Chain", 1), item(2, mac(2, "AA:BB:CE"), "Chain", 1)]
+    name = "Chain"
+    for n in range(3, 9):
+        name = name[:36] + f"-{n - 1:04X}"
+        items.append(item(n, mac(n, "AA:BB:CE"), name, 1))
+    check_against_model(spark, bins, items, [])
+
+
+def test_register_later_item_of_a_failed_mac(spark, bins):
+    m = mac(1, "AA:BB:CE")
+    used = [{"sensor_id": 1, "sensor_code": "X"}, {"sensor_id": 2, "sensor_code": "X-0001"}]
+    check_against_model(spark, bins, [item(1, m, "X", 1), item(2, m, "Good", 2), item(3, m, "X", 3)], used)
+
+
+def update_one_by_one(items, sensors, bin_ids):
+    held, out, final = {s["sensor_id"]: s.get("mac_address") for s in sensors}, {}, {}
+    for seq, device, m, name, bin_id, _ in sorted(items):
+        m = m.strip().upper()
+        if not MAC.fullmatch(m):
+            out[seq] = "invalid_mac"
+        elif device not in held:
+            out[seq] = "not_found"
+        elif any(x == m and d != device for d, x in held.items()):
+            out[seq] = "mac_in_use"
+        elif bin_id not in bin_ids:
+            out[seq] = "unknown_bin"
+        else:
+            out[seq], held[device], final[device] = "updated", m, (name.strip(), bin_id)
+    return out, held, final
+
+
+def check_updates(spark, bins, items, sensors):
+    frame = spark.createDataFrame(items, "item_seq int, sensor_id int, mac_address string, "
+                                         "device_name string, bin_id int, weight_offset double")
+    change = registry.update_devices(frame, table(spark, "sensors", *sensors), bins, AS_OF)
+    out, held, final = update_one_by_one(items, sensors, set(range(1, 10)))
+    got = {r["item_seq"]: r["action"] for r in change.results.collect()}
+    got.update({r["item_seq"]: r["error"] for r in change.errors.collect()})
+    assert got == out
+    snapshot = {r["sensor_id"]: r for r in change.snapshot.collect()}
+    assert {d: r["mac_address"] for d, r in snapshot.items()} == held
+    assert all((snapshot[d]["manufacturer"], snapshot[d]["bin_id"]) == f for d, f in final.items())
+
+
+def test_update_hands_a_mac_over(spark, bins):
+    sensors = [{"sensor_id": i, "sensor_code": f"S{i}", "mac_address": mac(i)} for i in (1, 2, 3)]
+    check_updates(spark, bins, [update(1, 1, mac(50)), update(2, 2, mac(1)), update(3, 3, mac(2)),
+                                update(4, 1, mac(3)), update(5, 1, mac(2)), update(6, 3, mac(2))], sensors)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_update_random(spark, bins, seed):
+    rng = random.Random(seed)
+    sensors = [{"sensor_id": i, "sensor_code": f"S{i}", "mac_address": mac(i) if i % 3 else None}
+               for i in range(1, 7)]
+    check_updates(spark, bins, [update(n, rng.randint(1, 8), mac(rng.randint(1, 9)), rng.randint(1, 11))
+                                for n in range(1, 25)], sensors)
+
+
+@pytest.mark.parametrize("seed", range(1, 9))
 def test_register_random(spark, bins, seed):
     rng = random.Random(seed)
-    names = ["Scale", "Scale", "free", "a b", "///", "", "Unit", "Unit-0005", "x" * 45]
+    names = ["Scale", "Scale", "free", "a b", "///", "", "Unit", "Unit-0005", "Unit-0005-0007",
+             "Scale-0003", "x" * 45]
     items = [item(i + 1, mac(rng.randint(1, 14), rng.choice(["AA:BB:CC", "AA:BB:CD"]))
                   if rng.random() > .1 else "bad", rng.choice(names), rng.randint(1, 10),
                   rng.choice([0.0, 0.5])) for i in range(40)]
@@ -158,10 +217,9 @@ def test_update(spark, bins):
         update(8, 2, mac(62))],                                              # asked for by 1 before
         "item_seq int, sensor_id int, mac_address string, device_name string, bin_id int, weight_offset double")
     change = registry.update_devices(updates, table(spark, "sensors", *SENSORS), bins, AS_OF)
-    assert rows(change.results, "item_seq", "sensor_id") == [(4, 5), (7, 1)]
+    assert rows(change.results, "item_seq", "sensor_id") == [(4, 5), (6, 1), (7, 1)]
     assert rows(change.errors, "item_seq", "error") == [
-        (1, "invalid_mac"), (2, "not_found"), (3, "mac_in_use"), (5, "unknown_bin"),
-        (6, "superseded"), (8, "mac_in_use")]
+        (1, "invalid_mac"), (2, "not_found"), (3, "mac_in_use"), (5, "unknown_bin"), (8, "mac_in_use")]
     assert rows(change.snapshot, "sensor_id", "mac_address", "manufacturer", "bin_id", "sensor_code", "updated_at") == [
         (1, mac(62), "name7", 1, "Scale", ts(AS_OF)), (2, None, "x", 2, "Scale-0007", None),
         (5, mac(2), "name4", 9, "free", ts(AS_OF))]
