@@ -211,3 +211,20 @@ def test_kafka_envelope(spark):
             "*", "TIMESTAMP '2024-01-01 00:00:00' AS timestamp")
     assert rows(from_kafka(records, 4), "topic", "payload", "arrival_seq") == [
         ("waste/bins/a/sensors", "{}", 21), ("waste/bins/a/sensors", "{}", 22)]
+
+
+def test_times(spark, registry):
+    """Empty times of any kind are 'now'; the listed text forms are read; others are refused."""
+    now = ts("2024-01-01 00:00:00")
+    got = classify(spark, registry, *[good(timestamp=t) for t in (
+        0, 0.0, False, [], {}, "", None, "20251219T103000", "Dec 19 2025 10:30", "2025-12-19 10:30:00",
+        5, True, [1], {"a": 1}, "2025", "soon")]).orderBy("arrival_seq").collect()
+    assert [r["timestamp"] for r in got[:10]] == [now] * 7 + [ts("2025-12-19 10:30:00")] * 3
+    assert [r["reason"] for r in got] == [None] * 10 + ["bad_value"] * 6
+
+
+def test_a_repeated_sensor_code_gives_one_reading(spark, registry):
+    sensors, bins = registry
+    twice = sensors.unionByName(table(spark, "sensors", {"sensor_id": 4, "sensor_code": "S11", "bin_id": 3}))
+    got = classify_messages(messages(spark, good()), twice, bins).collect()
+    assert [(r["sensor_id"], r["bin_id"]) for r in got] == [(4, 2)]

@@ -236,3 +236,27 @@ def test_replayed_batch_leaves_no_duplicates(spark, frame, tmp_path):
     tables.write_readings(frame.filter("reading_id < 3"), path, batch_id=1)
     tables.write_readings(frame, path, batch_id=0)
     assert spark.read.parquet(path).count() == 8
+
+
+def test_numeric_room(spark):
+    from fleetgauge.operators import collections, weights
+    bins = table(spark, "waste_bins", {"bin_id": 1, "bin_code": "B", "status": "active"})
+    frame = table(spark, "collections", {"collection_id": 1, "bin_id": 1, "duration_minutes": 2_000_000},
+                  {"collection_id": 2, "bin_id": 1, "duration_minutes": 1_000_000})
+    assert collections.collection_stats(bins, frame).first()["avg_collection_duration"] == 1_500_000.0
+    most = dec("9999999999999999.99")
+    daily = spark.createDataFrame([(most,)] * 3, "total_weight_today decimal(18,2)")
+    assert weights.daily_weight_total(daily).first()[0] == 3 * most
+
+
+def test_long_lookbacks_and_limits_are_parameters(spark, bins, frame):
+    assert readings.readings_lookback(frame, bins, AS_OF, 2000, max_hours=None).count() >= 6
+    assert readings.readings_lookback(frame, bins, AS_OF, 168, limit=2).count() == 2
+
+
+def test_repeated_ids_are_the_same_dense_or_sparse(spark):
+    from fleetgauge.operators import integrity
+    dense = [*range(500), 7, 7, 499]
+    for step in (1, 1_000_003):
+        found = integrity.repeated_ids(spark.createDataFrame([(i * step,) for i in dense] + [(None,)], "x long"), "x")
+        assert rows(found, "x", "occurrences") == [(499 * step, 2), (7 * step, 3)]

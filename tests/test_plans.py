@@ -147,3 +147,27 @@ def test_repeated_dense_ids_match_a_plain_count(spark):
     expected = sorted((i, ids.count(i)) for i in set(ids) if ids.count(i) > 1)
     got = sorted(tuple(r) for r in repeated_dense_ids(frame, "reading_id").collect())
     assert expected and got == expected
+
+
+def _final(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_registries_do_not_move_the_large_side(spark, sf_dir):
+    """Readings and messages meet a small registry where they are read."""
+    for name in ("export_report", "readings_lookback_bin", "readings_refused", "geometry_check", "ingest_accepted"):
+        text = _final(catalog.queries()[name](spark, sf_dir)).split("Initial Plan")[0]
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text, name
+        # The only exchanges are those that reduce the registry to a row per MAC and code.
+        keys = re.findall(r"Exchange hashpartitioning\((\w+)#", text)
+        assert set(keys) <= ({"mac_address", "sensor_code"} if name == "ingest_accepted" else set()), (name, keys)
+
+
+def test_latest_rows_sort_no_readings(spark, stored):
+    frame, _ = stored
+    text = plan(latest_per_key(frame, ["bin_id"], ["fill_level", "timestamp"], ["timestamp", "reading_id"]))
+    # Below the join there is only hash aggregation; what is sorted is what the join leaves.
+    below = text[text.index("Join"):]
+    assert "SortAggregate" not in below and "HashAggregate" in below
