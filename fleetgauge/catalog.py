@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetgauge.operators import (alerts, collections, compliance, devices, export, integrity,
                                   readings, registry, resolve, routes, status, timeline, weights)
+from fleetgauge.plans.keyed import stacked
 from fleetgauge.session import shared_dir
 from fleetgauge.sources import tables
 from fleetgauge.sources.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
                                        SOURCE_TABLES, Fleet)
+from fleetgauge.sources.messages import without_resends
 from fleetgauge.streaming import ingest, live, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOOKBACK_HOURS = 168
 # Collections of the test tables can share an id; these settle their order.
 COLLECTION_TIES = ("collection_id", "tie_part", "tie_price")
+# A bin with readings in every size of the test tables.
+DETAIL_BIN = 5
+# Two months, more than the 720 hours that a shorter report spans at most.
+LONG_EXPORT = export.interval("2023-12-01", "2024-01-30")
 EXPORT_START, EXPORT_END = export.interval("2024-01-01", "2024-01-30")
 
 
@@ -70,9 +76,13 @@ def _fleet_tables(f: Fleet) -> dict[str, DataFrame]:
             "route_bins": f.route_bins}
 
 
-def _cascade(f: Fleet) -> DataFrame:
+def _cascade_result(f: Fleet) -> registry.CascadeResult:
     retired = f.bins.filter(F.col("status") == "inactive")
-    return registry.delete_bins(_fleet_tables(f), retired).counts
+    return registry.delete_bins(_fleet_tables(f), retired)
+
+
+def _cascade(f: Fleet) -> DataFrame:
+    return _cascade_result(f).counts
 
 
 def _outcomes(change) -> DataFrame:
@@ -92,6 +102,34 @@ def _export_csv(f: Fleet) -> DataFrame:
     return export.read_csv(f.spark, path)
 
 
+def _report_named(f: Fleet) -> DataFrame:
+    """The report under the name users get, read back by the name of its folder."""
+    path = f"{shared_dir(f.spark, 'report')}/{export.report_name('2024-01-01', '2024-01-30')}"
+    export.write_csv(_export(f), path)
+    found = export.read_csv(f.spark, path).select(F.input_file_name().alias("file"), "bin_code")
+    folder = F.element_at(F.split("file", "/"), -2)
+    return found.groupBy(folder.alias("report")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _status_json(f: Fleet) -> DataFrame:
+    """JSON rows with times of both kinds, timestamps and texts, carrying the zone."""
+    path = shared_dir(f.spark, "json")
+    texts = F.replace(F.col("last_reading").cast("string"), F.lit(" "), F.lit("T"))
+    export.write_json(_status(f).select("bin_id", "last_reading", texts.alias("updated_at"),
+                                        "fill_status"), path)
+    return f.spark.read.schema("bin_id int, last_reading string, updated_at string, fill_status string").json(path)
+
+
+def _stream_without_resends(f: Fleet) -> DataFrame:
+    """Messages whose number came before are dropped; here every message comes once."""
+    root = shared_dir(f.spark, "resends")
+    once = without_resends(f.message_stream().select("arrival_seq", "arrival_ts", "topic"),
+                           ["arrival_seq"], "1 hour")
+    (once.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return f.spark.read.schema("arrival_seq long, arrival_ts timestamp_ntz, topic string").parquet(f"{root}/out")
+
+
 def _stream_ingest(f: Fleet) -> str:
     root = shared_dir(f.spark, "ingest")
     job = ingest.start_ingest(
@@ -136,6 +174,14 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     # Status and statistics
     "bin_current_status": _status,
     "active_bins": _active,
+    # A further status is and-ed to 'active': with any other there are no rows.
+    "active_bins_of_status": lambda f: stacked([
+        status.active_bins(_status(f), wanted).select(
+            F.lit(wanted).alias("asked"), "bin_id", "bin_status", "fill_status")
+        for wanted in ("active", "inactive")]),
+    "bin_detail_of_one": lambda f: status.bin_detail_rows(
+        status.of_bin(_status(f), DETAIL_BIN), status.of_bin(f.readings, DETAIL_BIN),
+        status.of_bin(f.collections, DETAIL_BIN)),
     "fleet_stats": lambda f: status.fleet_stats(_status(f), f.alerts, f.collections,
                                                 COLLECTIONS_AS_OF),
     "fill_status_distribution": lambda f: status.fill_status_distribution(_status(f)),
@@ -192,7 +238,10 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
         "reading_id", "sensor_id", "bin_id"),
     # Reports
     "export_report": _export,
+    "export_long": lambda f: export.export_report(f.readings, f.bins, *LONG_EXPORT),
     "export_csv": _export_csv,
+    "report_csv_named": _report_named,
+    "status_json": _status_json,
     "readings_zoned": lambda f: export.zoned_rows(f.readings.select("reading_id", "timestamp")),
     # Registry
     "registration_form": lambda f: registry.form_rows(f.device_items),
@@ -210,6 +259,8 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
             "created_at"),
     # Integrity
     "cascade_delete_counts": _cascade,
+    "cascade_kept_readings": lambda f: _cascade_result(f).kept["sensor_readings"].select(
+        "reading_id", "sensor_id", "bin_id"),
     "unique_violations": lambda f: integrity.unique_violations(_fleet_tables(f)),
     "orphan_rows": lambda f: integrity.orphan_rows(_fleet_tables(f)),
     "row_counts": _row_counts,
@@ -221,6 +272,8 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     "stream_alerts": _stream_alerts,
     "stream_latest": _stream_latest,
     "stream_hourly": _stream_hourly,
+    "stream_status": lambda f: status.status_view(f.bins, _stream_latest(f), f.alerts),
+    "stream_without_resends": _stream_without_resends,
 }
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetgauge.functions.labels import EXPORT_HEADERS, place_name
-from fleetgauge.functions.times import in_range, ntz, zoned_text
+from fleetgauge.functions.times import in_range, ntz, zoned_string, zoned_text
 
 EXPORT_COLUMNS = list(EXPORT_HEADERS)
 REPORT_SCHEMA = ("timestamp timestamp_ntz, bin_code string, department string, "
@@ -76,10 +76,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zoned_rows(df: DataFrame, offset: str = "+07:00") -> DataFrame:
-    """Known time columns as ISO text with a fixed zone."""
-    return df.select(*[zoned_text(F.col(c), offset).alias(c)
-                       if c in ZONED_COLUMNS and kind.startswith("timestamp") else F.col(c)
-                       for c, kind in df.dtypes])
+    """Known time columns as ISO text with a fixed zone: timestamps, and texts without one."""
+    def shown(name: str, kind: str):
+        if name in ZONED_COLUMNS and kind.startswith("timestamp"):
+            return zoned_text(F.col(name), offset).alias(name)
+        if name in ZONED_COLUMNS and kind == "string":
+            return zoned_string(F.col(name), offset).alias(name)
+        return F.col(name)
+
+    return df.select(*[shown(name, kind) for name, kind in df.dtypes])
 
 
 def write_json(df: DataFrame, path: str, offset: str = "+07:00") -> None:

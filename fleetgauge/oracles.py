@@ -264,6 +264,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "bin_current_status": _with(_STATUS_VIEWS, _STATUS, "SELECT * FROM status"),
         "active_bins": _with(_STATUS_VIEWS, _STATUS, "SELECT * FROM status WHERE bin_status = 'active'"),
+        "active_bins_of_status": _with(_STATUS_VIEWS, _STATUS, """SELECT asked, bin_id, bin_status, fill_status
+            FROM status, (VALUES ('active'), ('inactive')) AS a(asked) WHERE bin_status = 'active' AND bin_status = asked"""),
         "fleet_stats": _with(_STATUS_VIEWS + " collections", _STATUS, f"""SELECT
             (SELECT count(*) FROM waste_bins WHERE status = 'active') AS total_bins,
             (SELECT count(*) FROM alerts WHERE status = 'open') AS active_alerts,
@@ -282,6 +284,13 @@ def oracle_sql() -> dict[str, str]:
               WHERE rank <= 10 AND bin_id IN (SELECT bin_id FROM waste_bins)
             UNION ALL SELECT bin_id, 'collection', rank, collection_time, fill_level_before, weight_collected FROM picked
               WHERE rank <= 5 AND bin_id IN (SELECT bin_id FROM waste_bins)"""),
+        "bin_detail_of_one": _with(_STATUS_VIEWS + " collections", _STATUS, _RANKED, _PICKED, """
+            SELECT bin_id, 'status' AS section, CAST(0 AS BIGINT) AS rank, last_reading AS at, fill_level, weight_kg
+              FROM status WHERE bin_id = 5
+            UNION ALL SELECT bin_id, 'reading', rank, timestamp, fill_level, weight_kg FROM ranked
+              WHERE rank <= 10 AND bin_id = 5
+            UNION ALL SELECT bin_id, 'collection', rank, collection_time, fill_level_before, weight_collected FROM picked
+              WHERE rank <= 5 AND bin_id = 5"""),
         "fill_bands": _with("sensor_readings", """SELECT CASE WHEN coalesce(fill_level, 0) < 50 THEN 'green'
             WHEN coalesce(fill_level, 0) < 75 THEN 'yellow' ELSE 'red' END AS band, count(*) AS reading_count
             FROM sensor_readings GROUP BY 1"""),
@@ -378,6 +387,15 @@ def oracle_sql() -> dict[str, str]:
             OR NOT EXISTS (SELECT 1 FROM waste_bins b WHERE b.bin_id = r.bin_id)"""),
         "export_report": _with("sensor_readings waste_bins", _EXPORT,
             "SELECT *, CAST(ceil(date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:59:00') / 60.0) AS INTEGER) AS lookback_hours FROM export"),
+        "export_long": _with("sensor_readings waste_bins",
+            _EXPORT.replace("2024-01-01 00:00:00", "2023-12-01 00:00:00"),
+            "SELECT *, CAST(ceil(date_diff('minute', TIMESTAMP '2023-12-01 00:00:00', TIMESTAMP '2024-01-30 23:59:00') / 60.0) AS INTEGER) AS lookback_hours FROM export"),
+        "report_csv_named": _with("sensor_readings waste_bins", _EXPORT,
+            "SELECT 'infectious_waste_2024-01-01_2024-01-30' AS report, count(*) AS rows FROM export"),
+        "status_json": _with(_STATUS_VIEWS, _STATUS, """SELECT bin_id, fill_status,
+            strftime(last_reading, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(last_reading) % 1000000 = 0 THEN ''
+              ELSE '.' || lpad(CAST(microsecond(last_reading) % 1000000 AS VARCHAR), 6, '0') END || '+07:00' AS last_reading,
+            replace(CAST(last_reading AS VARCHAR), ' ', 'T') || '+07:00' AS updated_at FROM status"""),
         "export_csv": _with("sensor_readings waste_bins", _EXPORT,
             "SELECT * EXCLUDE (reading_id) FROM export"),
         "readings_zoned": _with("sensor_readings", """SELECT reading_id,
@@ -433,6 +451,11 @@ def oracle_sql() -> dict[str, str]:
                 _cascade("waste_bins"), _cascade("sensors"),
                 _cascade("sensor_readings", " AND NOT coalesce(sensor_id IN (SELECT sensor_id FROM gone_sensors), false)"),
                 _cascade("collections"), _cascade("alerts"), _cascade("route_bins")])),
+        "cascade_kept_readings": _with("waste_bins sensors sensor_readings",
+            "gone AS (SELECT bin_id FROM waste_bins WHERE status = 'inactive')",
+            """SELECT reading_id, sensor_id, bin_id FROM sensor_readings
+            WHERE NOT coalesce(bin_id IN (SELECT bin_id FROM gone), false)
+              AND NOT coalesce(sensor_id IN (SELECT sensor_id FROM sensors WHERE bin_id IN (SELECT bin_id FROM gone)), false)"""),
         "unique_violations": _with(_ALL_VIEWS, " UNION ALL ".join([
             _repeated("waste_bins", "bin_id"), _repeated("waste_bins", "bin_code"),
             _repeated("sensors", "sensor_id"), _repeated("sensors", "sensor_code"),
@@ -463,4 +486,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_latest": _with("sensor_readings", _RANKED, """SELECT bin_id, fill_level, weight_kg, temperature_c,
             battery_level, signal_strength, timestamp AS last_reading FROM ranked WHERE rank = 1"""),
         "stream_hourly": _with("sensor_readings", f"{hourly} GROUP BY 1"),
+        "stream_status": _with(_STATUS_VIEWS, _STATUS, "SELECT * FROM status"),
+        "stream_without_resends": _with("messages", "SELECT DISTINCT arrival_seq, arrival_ts, topic FROM messages"),
     }

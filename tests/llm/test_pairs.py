@@ -77,9 +77,14 @@ def test_bound_of_nodes_never_rules_out_a_link():
                             np.array(rng.sample(range(10_000, 20_000), rng.randrange(0, 1 + n // 4)), np.uint64)])
         shared = len(set(a.tolist()) & set(b.tolist()))
         linked = 100 * shared >= 80 * (len(a) + len(b) - shared)
-        leaves = jaccard._tree([jaccard._bitmap(a), jaccard._bitmap(b)], np.array([len(a), len(b)]),
-                               np.array([1, 2]))[0]["children"]
-        assert not linked or jaccard._possible(leaves[0], leaves[1], 80)
+        n = np.array([len(a), len(b)])
+        x, y = (jaccard._tree(jaccard._local_bitmaps([a, b]), n, i, i + 1) for i in (0, 1))
+        assert linked == jaccard._possible(x, y, 80)
+        c = np.array(rng.sample(range(30_000), 40), np.uint64)
+        order = sorted([a, b, c], key=len)
+        n = np.array([len(s) for s in order])
+        root = jaccard._tree(jaccard._local_bitmaps(order), n, 0, 3)
+        assert not linked or jaccard._possible(root, root, 80)
 
 
 def test_components_of_a_long_chain(spark):
