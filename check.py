@@ -6,7 +6,7 @@ import os
 import sys
 import time
 
-from fleetgauge import catalog, oracles
+from fleetcheck import catalog, oracles
 from fleetgauge.session import build_session
 from tests.oracle_check import compare, duck
 

@@ -11,7 +11,7 @@ from fleetgauge.operators import (alerts, collections, compliance, devices, expo
 from fleetgauge.plans.keyed import stacked
 from fleetgauge.session import shared_dir
 from fleetgauge.sources import tables
-from fleetgauge.sources.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
+from fleetcheck.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
                                        SOURCE_TABLES, Fleet)
 from fleetgauge.sources.messages import without_resends
 from fleetgauge.streaming import ingest, live, snapshots

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from fleetgauge.functions import labels
-from fleetgauge.sources import domain
-from fleetgauge.sources.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
+from fleetcheck import domain
+from fleetcheck.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
                                        SOURCE_TABLES)
 
 _VIEWS = {

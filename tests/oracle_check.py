@@ -8,7 +8,7 @@ import math
 
 import duckdb
 
-from fleetgauge.sources.domain import SOURCE_TABLES
+from fleetcheck.domain import SOURCE_TABLES
 
 _SPARK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE",
                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}

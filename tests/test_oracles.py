@@ -2,7 +2,7 @@
 
 import pytest
 
-from fleetgauge import catalog, oracles
+from fleetcheck import catalog, oracles
 from tests.oracle_check import compare, duck
 
 QUERIES = catalog.queries()

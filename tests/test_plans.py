@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import Window, functions as F
 
-from fleetgauge import catalog
+from fleetcheck import catalog
 from fleetgauge.operators import collections, readings, status, weights
 from fleetgauge.plans.keyed import latest_per_key, spread_null, top_n_per_key, with_previous
 from fleetgauge.sources.tables import read_table, write_readings

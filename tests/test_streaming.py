@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge.operators.status import latest_readings
 from fleetgauge.operators.timeline import hourly_fill
 from fleetgauge.session import shared_dir
-from fleetgauge.sources.domain import Fleet
+from fleetcheck.domain import Fleet
 from fleetgauge.sources.messages import read_messages, stream_messages, without_resends
 from fleetgauge.sources.schemas import SENSOR_READINGS
 from fleetgauge.streaming import ingest, live, snapshots
