@@ -17,13 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = written(both.filter("a <> b").distinct(), "links")
-    labels = written(links.groupBy(F.col("a").alias("node")).agg(
-        F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    labels = links.groupBy(F.col("a").alias("node")).agg(
+        F.least(F.col("a"), F.min("b")).alias("label"))
     while True:
         near = (links.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near")))
-        lower = written(labels.join(near, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "lower")
+        lower = labels.join(near, "node").select(
+            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         labels = written(lower.join(jump, "label").select(
             "node", F.least("label", "jump").alias("label"),

@@ -9,12 +9,12 @@ Within a group a signature tree holds the sets: leaves are runs of similar size,
 node has the OR of its members' token bitmaps and their size range. Two trees are walked
 together, and a pair of nodes is left when the greatest overlap that the bitmaps and sizes
 allow is too small, or when all members are in one component already. What reaches the
-leaves is compared exactly, shingle by shingle.
+leaves is compared by all its shingles.
 
-Before that, a few rounds compare every member of a group with one member only, the
-centre. A large group of near copies so becomes one component in linear time, and the
-trees then meet the pairs between different components only. No pair is skipped for any
-other reason, so the components are those of all links.
+Before that, two rounds compare every member of a group with one member only, the centre.
+A large group of near copies so becomes few components in linear time, and the trees then
+meet pairs between different components only, giving the links that join them. No pair is
+skipped for any other reason, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -33,13 +33,12 @@ from fleetgauge.llm.tables import BROADCAST_ROWS, partitions, written
 SHINGLE = 5
 PERCENT = 80
 #: Rounds of comparing with centres before the trees; they save work and change no result.
-CENTRE_ROUNDS = 4
-#: Larger groups are met block by block, each pair of blocks in a task of its own.
+CENTRE_ROUNDS = 2
+#: Groups of more sets or shingles are met block by block, each pair of blocks on its own.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Children of a node of the tree.
 FAN = 8
-#: Bits of a set's bitmap for each of its shingles.
-BITS_EACH = 8
 
 _TOKEN_BITS = np.uint64(40)
 
@@ -281,124 +280,118 @@ def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _tree(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray) -> list[list[dict]]:
-    """Levels of nodes, leaves first. A node has its members' range, the OR of their
-    bitmaps, the range of their sizes, the most shingles a bitmap has lost to collisions
-    and the label if all have the same. Members are ordered by size."""
-    def lost(size, own):
-        """By width: as it is, and folded once for a partner of the next smaller width."""
-        widths = {len(own), max(1, len(own) // 2)}
-        return {w: int(size) - int(np.bitwise_count(_folded(own, w)).sum()) for w in widths}
-
-    def node(children, first, last):
-        width = min(len(c["bits"]) for c in children)
-        union = np.zeros(width, np.uint64)
-        for c in children:
-            union |= _folded(c["bits"], width)
-        labels = {c["label"] for c in children}
-        return {"first": first, "last": last, "bits": union, "least": min(c["least"] for c in children),
-                "most": max(c["most"] for c in children),
-                "lost": {w: max(c["lost"].get(w, c["most"]) for c in children)
-                         for w in (width, max(1, width // 2))},
-                "label": labels.pop() if len(labels) == 1 else None, "children": children}
-
+def _local_bitmaps(grams: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per set, one bit for each shingle that two sets of the group share, so
+    that common bits count common shingles exactly."""
+    flat = np.concatenate(grams)
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, token, held = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    shared = held[token] > 1
+    owner, bit = owner[shared], number[token[shared]]
+    width = max(1, -(-int((held > 1).sum()) // 64))
+    out = np.zeros((len(grams), width), np.uint64)
+    np.bitwise_or.at(out, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _tree(bits: np.ndarray, n: np.ndarray, first: int, last: int) -> dict:
+    """The root of a tree over members first up to last, which are ordered by size. A node
+    has the OR of its members' bitmaps, the range of their sizes and its children."""
     level = [{"first": i, "last": i + 1, "bits": bits[i], "least": int(n[i]), "most": int(n[i]),
-              "lost": lost(n[i], bits[i]), "label": int(label[i]), "children": ()} for i in range(len(n))]
+              "children": ()} for i in range(first, last)]
     while len(level) > 1:
-        level = [node(level[i:i + FAN], level[i]["first"], level[min(i + FAN, len(level)) - 1]["last"])
-                 for i in range(0, len(level), FAN)]
-    return level
-
-
-def _folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap at a smaller width: bits that fall on each other are ORed."""
-    return bits if len(bits) == width else np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
+        level = [{"first": c[0]["first"], "last": c[-1]["last"],
+                  "bits": np.bitwise_or.reduce([x["bits"] for x in c]),
+                  "least": c[0]["least"], "most": c[-1]["most"], "children": c}
+                 for c in (level[i:i + FAN] for i in range(0, len(level), FAN))]
+    return level[0]
 
 
 def _possible(x: dict, y: dict, percent: int) -> bool:
-    """Whether some member of x and some of y may be linked."""
-    if x["label"] is not None and x["label"] == y["label"]:
-        return False
+    """Whether some member of x and some of y may be linked: shared shingles lie on shared
+    bits, and sizes bound the overlap too. For two leaves the answer is exact."""
     if 100 * x["most"] < percent * y["least"] or 100 * y["most"] < percent * x["least"]:
         return False
-    width = min(len(x["bits"]), len(y["bits"]))
-    shared = int(np.bitwise_count(_folded(x["bits"], width) & _folded(y["bits"], width)).sum())
-    # Shared shingles fall on shared bits; as many more as collisions hide may be shared.
-    more = min(x["lost"].get(width, x["most"]), y["lost"].get(width, y["most"]))
-    overlap = min(shared + more, x["most"], y["most"])
+    overlap = min(int(np.bitwise_count(x["bits"] & y["bits"]).sum()), x["most"], y["most"])
     return (100 + percent) * overlap >= percent * (x["least"] + y["least"])
 
 
-def _walk(x: dict, y: dict, same: bool, percent: int, found: list) -> None:
-    """Dual traversal: pairs of members that no node pair above them rules out."""
-    stack = [(x, y, same)]
+def _walk(x: dict, y: dict, label: np.ndarray, percent: int) -> list:
+    """Dual traversal: links (places of two members) that join components. ``label`` is
+    changed as they do; node pairs within one component are left."""
+    found, stack = [], [(x, y)]
     while stack:
-        x, y, same = stack.pop()
-        if same and x["label"] is not None:
+        x, y = stack.pop()
+        mine, theirs = label[x["first"]:x["last"]], label[y["first"]:y["last"]]
+        if mine[0] == theirs[0] and (mine == mine[0]).all() and (theirs == mine[0]).all():
             continue
-        if not same and not _possible(x, y, percent):
+        if x is not y and not _possible(x, y, percent):
             continue
         if not x["children"] and not y["children"]:
-            if not same:
-                found.append((x["first"], y["first"]))
-        elif same:
+            found.append((x["first"], y["first"]))
+            label[label == max(mine[0], theirs[0])] = min(mine[0], theirs[0])
+        elif x is y:
             kids = x["children"]
-            stack += [(a, b, i == j) for i, a in enumerate(kids) for j, b in enumerate(kids) if i <= j]
+            stack += [(a, b) for i, a in enumerate(kids) for b in kids[i:]]
         elif x["children"] and (not y["children"] or x["last"] - x["first"] >= y["last"] - y["first"]):
-            stack += [(c, y, False) for c in x["children"]]
+            stack += [(c, y) for c in x["children"]]
         else:
-            stack += [(x, c, False) for c in y["children"]]
+            stack += [(x, c) for c in y["children"]]
+    return found
 
 
-def _bitmap(grams: np.ndarray) -> np.ndarray:
-    """Bit hash mod width; as widths are powers of two, ORing halves gives the narrower one."""
-    width = 64 << max(0, (len(grams) * BITS_EACH - 1).bit_length() - 6)
-    bits = np.zeros(width, np.uint8)
-    bits[(scan.mix(grams) % np.uint64(width)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
-
-
-def tree_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) that dual traversal leaves in each group (token, lo, hi) of
-    (set, n, label, block, grams): block lo against block hi, or lo within itself."""
+def tree_links(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join the components of each group (kind, key, lo, hi) of (set, n,
+    label, block, grams): block lo against block hi, or lo within itself. No more links than
+    members come out, however many pairs are linked."""
     def traverse(key, table):
-        lo, hi = key[1].as_py(), key[2].as_py()
-        order = np.lexsort((table.column("set").to_numpy(), table.column("label").to_numpy(),
-                            table.column("n").to_numpy()))
-        block = table.column("block").to_numpy()[order]
-        ids, n = table.column("set").to_numpy()[order], table.column("n").to_numpy()[order]
-        label = table.column("label").to_numpy()[order]
-        bitmaps = table.column("bits").to_pylist()
-        roots, at = [], []
-        for b in dict.fromkeys((lo, hi)):
-            mine = np.flatnonzero(block == b)
-            if len(mine):
-                bits = [np.frombuffer(bitmaps[order[i]], np.uint64) for i in mine]
-                roots.append(_tree(bits, n[mine], label[mine])[0])
-                at.append(mine)
+        lo, hi = key[2].as_py(), key[3].as_py()
+        columns = {c: table.column(c).to_numpy() for c in ("set", "n", "label", "block")}
+        order = np.lexsort((columns["set"], columns["label"], columns["n"], columns["block"] != lo))
+        ids, n, label, block = (columns[c][order] for c in ("set", "n", "label", "block"))
+        stored = table.column("grams").to_pylist()
+        bits = _local_bitmaps([np.frombuffer(stored[i], np.uint64) for i in order])
+        cut = int((block == lo).sum())
         found: list = []
-        if lo == hi and roots:
-            _walk(roots[0], roots[0], True, percent, found)
-            pairs = [(ids[at[0][i]], ids[at[0][j]]) for i, j in found]
-        elif len(roots) == 2:
-            _walk(roots[0], roots[1], False, percent, found)
-            pairs = [(ids[at[0][i]], ids[at[1][j]]) for i, j in found]
-        else:
-            pairs = []
-        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()),
-                         "b": pa.array([max(p) for p in pairs], pa.int64())})
-
-    return groups.groupBy("token", "lo", "hi").applyInArrow(traverse, "a long, b long")
-
-
-def _signatures(sets: DataFrame) -> DataFrame:
-    def sign(batches):
-        for batch in batches:
-            bits = [_blob(_bitmap(np.frombuffer(g.as_buffer(), np.uint64))) for g in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())],
-                                             names=["set", "bits"])
-
-    return sets.select("set", "grams").mapInArrow(sign, "set long, bits binary")
+        label = label.copy()
+        if lo == hi:
+            root = _tree(bits, n, 0, len(ids))
+            found = _walk(root, root, label, percent)
+        elif 0 < cut < len(ids):
+            found = _walk(_tree(bits, n, 0, cut), _tree(bits, n, cut, len(ids)), label, percent)
+        return pa.table({"a": pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()),
+                         "b": pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())})
+
+    return groups.groupBy("kind", "key", "lo", "hi").applyInArrow(traverse, "a long, b long")
+
+
+def _grouped(current: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups for the trees: whole clusters of groups that share components, where that sends
+    each set less often than the groups one by one; large ones cut into blocks."""
+    least = current.groupBy("token").agg(F.min("label").alias("b"))
+    clusters = components(current.join(least, "token").select(F.col("label").alias("a"), "b")
+                          .filter("a <> b").distinct())
+    placed = written(current.join(clusters.select(F.col("node").alias("label"),
+                                                  F.col("label").alias("cluster")), "label"), "placed")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    once = placed.select("cluster", "set", "n", "label").distinct()
+    whole = once.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("rows"))
+    single = placed.groupBy("cluster", "token").agg(blocks.alias("blocks"), F.count("*").alias("rows"))
+    cost = single.groupBy("cluster").agg(F.sum(F.col("rows") * F.col("blocks")).alias("cost"))
+    chosen = whole.join(cost, "cluster").select(
+        "cluster", "blocks", (F.col("rows") * F.col("blocks") <= F.col("cost")).alias("together"))
+    chosen = written(chosen, "clusters")
+    shape = ["kind", "key", "set", "n", "label", "blocks"]
+    groups = (once.join(chosen.filter("together"), "cluster")
+              .withColumns({"kind": F.lit(0), "key": F.col("cluster")}).select(*shape)
+              .union(placed.join(chosen.filter("not together").select("cluster"), "cluster", "left_semi")
+                     .join(single.drop("cluster", "rows"), "token")
+                     .withColumns({"kind": F.lit(1), "key": F.col("token")}).select(*shape)))
+    return (groups.withColumn("block", F.expr("cast(pmod(xxhash64(set, 'block'), blocks) as int)"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+            .join(sets.select("set", "grams"), "set"))
 
 
 def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -454,18 +447,9 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT):
             labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         current = written(_mixed(lists, labels), "groups")
 
-    blocks = current.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = (current.join(blocks, "token").withColumn("block", F.expr(
-        "cast(pmod(xxhash64(set, 'block'), blocks) as int)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}))
-    needed = sets.join(current.select("set").distinct(), "set", "left_semi")
-    pairs = (tree_pairs(cut.join(_signatures(needed), "set"), percent).distinct()
-             .join(tested, ["a", "b"], "left_anti"))
-    checked = written(_verified(pairs, sets, percent), "checked")
-    if not checked.filter("linked").isEmpty():
-        labels = components(checked.filter("linked").select("a", "b").union(
-            labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    if not current.isEmpty():
+        joined = written(tree_links(_grouped(current, sets), percent).distinct(), "tree-links")
+        labels = components(joined.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     return members, labels
 
 
