@@ -27,9 +27,9 @@ from fleetgauge.llm import packs, probes, scan
 from fleetgauge.llm.tables import partitions, written
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 #: A collection takes segments of about so many bytes.
-COLLECTION_BYTES = 2 << 20
+COLLECTION_BYTES = 1 << 20
 #: Marks a finished segment in the transform; no UTF-8 text has this byte.
 _END = 0xFF
 _NO_ID = -(1 << 63)
@@ -96,10 +96,10 @@ def collection(data: np.ndarray, offsets: np.ndarray, window: int):
     while len(active):
         size += 1
         order = np.argsort(transform, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         symbols = len(order) - int((transform == _END).sum())
-        at = rank[place]
+        at = rank[place].astype(np.int64)
         symbol = transform[place]
         above = order[np.maximum(at - 1, 0)]
         has_above = (at > 0) & (transform[above] == symbol)
