@@ -2,7 +2,7 @@
 
 from pyspark import cloudpickle
 
-from fleetgauge.llm import scan
+import fleetgauge
 
-# Tasks get the helpers with the function, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(scan)
+# Functions go to tasks by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(fleetgauge)

@@ -19,7 +19,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +189,3 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .when(cut, F.expr("array(named_struct('first', 0L, 'last', n_words))")).otherwise(none).alias("spans"),
         F.when(~copy, F.coalesce("kept", "whole_sha256")).when(cut, F.lit(_NONE))
         .otherwise(F.col("whole_sha256")).alias("kept_sha256"))
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,6 +197,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
             .withColumn("contaminated", (F.col("n_hit") > 0)
                         & (F.col("n_hit") >= F.col("n_words") * F.lit(share))))
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))

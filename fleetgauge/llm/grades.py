@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +156,3 @@ def score(docs: DataFrame, model, least: int = 1) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(
         judge, f"id {kind}, expected_grade double, tail_probability double, kept boolean")
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))

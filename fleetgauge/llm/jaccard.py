@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -487,6 +486,3 @@ def copies(found: DataFrame) -> DataFrame:
         F.col("f.id").alias("id2"), F.col("f.mark").alias("mark2"))
     same = (F.col("mark") == F.col("mark2")) & F.col("id").eqNullSafe(F.col("id2"))
     return found.filter("group is not null").join(stay, same, "left_anti").select("id", "mark").distinct()
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))

@@ -14,7 +14,6 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,6 +242,3 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = training_rows(labelled, F.col("id"), "text", "lang", train_bytes)
     return build(gram_counts(rows, "text", "lang").collect())
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))

@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +141,3 @@ def with_texts(texts: DataFrame, side: DataFrame) -> DataFrame:
     wanted = written(side.select("mark2"), "wanted")
     near = texts.join(small(wanted), F.col("mark") == F.col("mark2"), "left_semi")
     return near.join(side.drop("id"), F.col("mark") == F.col("mark2")).drop("mark2")
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
-cloudpickle.register_pickle_by_value(packs)
