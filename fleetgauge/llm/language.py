@@ -107,7 +107,7 @@ def build(rows, order: int = ORDER) -> Model | None:
     gram = np.array([r.gram for r in rows], np.int64)
     n = np.array([r.n for r in rows], np.float64)
     seen = np.unique(gram[size == 1])
-    symbols = np.full(256, len(seen), np.int64)
+    symbols = np.full(256, len(seen), np.int32)  # 256 symbols to the third still fit
     symbols[seen] = np.arange(len(seen))
     width = len(seen) + 1
 
@@ -167,7 +167,7 @@ def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarr
     s = model.symbols[raw]
     space = model.symbols[0x20]
     before = [s]
-    place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), np.diff(offsets))
     for back in range(1, ORDER + 1):
         shifted = np.full(len(s), space)
         shifted[back:] = s[:-back]
@@ -176,11 +176,12 @@ def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarr
     tail = before[2] * w + before[1]
     block = model.block[before[3] * (w * w) + tail]
     known = block >= 0
-    text = np.repeat(np.arange(rows), np.diff(offsets))
+    blocks = block[known].astype(np.int64) * w + s[known]
+    text = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
     bits = np.zeros((rows, len(model.languages)))
     for at in range(len(model.languages)):
         cost = model.short[tail * w + s, at].astype(np.float64)
-        cost[known] = model.long[block[known].astype(np.int64) * w + s[known], at]
+        cost[known] = model.long[blocks, at]
         bits[:, at] = np.bincount(text, weights=cost, minlength=rows)
     return bits
 

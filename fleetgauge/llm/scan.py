@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in runs of about so many bytes, so memory does not follow the batch.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -65,6 +65,8 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES):
         last = min(max(last, first + 1), rows)
         yield first, last
         first = last
+    # Buffers of past batches would otherwise stay with the worker.
+    pa.default_memory_pool().release_unused()
 
 
 def mix(values: np.ndarray) -> np.ndarray:
