@@ -24,8 +24,6 @@ UNDETERMINED = "und"
 ORDER = 3
 #: Training takes about so many bytes of each language, as whole texts chosen by hash.
 TRAIN_BYTES = 2_000_000
-#: A language needs this share of all labelled rows, so that stray labels teach nothing.
-LEAST_SHARE = 0.001
 
 PREDICTION = "lang_pred string, score double, has_letter boolean, bits_per_byte double"
 
@@ -74,26 +72,37 @@ def gram_counts(docs: DataFrame, text: str, lang: str, order: int = ORDER) -> Da
 
 
 def training_rows(labelled: DataFrame, key: Column, text: str, lang: str,
-                  train_bytes: int = TRAIN_BYTES, least_share: float = LEAST_SHARE) -> DataFrame:
+                  train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """Whole labelled texts, about ``train_bytes`` of each language.
 
     A row is taken when a hash of its id falls under the share that the language needs, so
-    nothing is sorted and the choice is the same on every run. A text longer than an
-    eighth of the bound is not taken, so the sample cannot run far over it.
+    nothing is sorted and the choice is the same on every run. Texts longer than an eighth
+    of the bound are not drawn, so the sample cannot run far over it. Every language that
+    has text is learned, however few its rows: its text of the least hash is always taken,
+    and where its shorter texts are under an eighth of the bound, its shortest longer one.
     """
-    size = F.octet_length(F.col(text))
-    fit = labelled.filter(F.col(lang).isNotNull() & (size > 0) & (size <= train_bytes // 8))
-    # One row per language; stray labels are cut by the least share.
-    sums = fit.groupBy(lang).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).collect()
-    whole = sum(r.rows for r in sums)
-    rates = {r[lang]: min(1.0, train_bytes / r.bytes) for r in sums if r.rows >= least_share * whole}
-    if not rates:
+    size, limit = F.octet_length(F.col(text)), train_bytes // 8
+    ticket = F.pmod(F.xxhash64(key.cast("string"), F.lit("train")), F.lit(1_000_000))
+    mark = F.xxhash64(F.col(lang), key.cast("string"), F.col(text))
+    fit = labelled.filter(F.col(lang).isNotNull() & (size > 0))
+    short = size <= limit
+    # Ticket or size above some bits of the mark, in one number, so that nothing is sorted.
+    rank = F.when(short, ticket * (1 << 43) + F.pmod(mark, F.lit(1 << 43))).otherwise(
+        size.cast("long") * (1 << 32) + F.pmod(mark, F.lit(1 << 32)))
+    # One row per language.
+    sums = fit.groupBy(lang).agg(
+        F.coalesce(F.sum(F.when(short, size)), F.lit(0)).alias("bytes"),
+        F.min(F.when(short, rank)).alias("least"),
+        F.min(F.when(~short, rank)).alias("shortest")).collect()
+    if not sums:
         return fit.limit(0)
+    least = [r.least for r in sums if r.least is not None]
+    shortest = [r.shortest for r in sums if r.shortest is not None and r.bytes < limit]
     pick = F.lit(0.0)
-    for name, rate in sorted(rates.items()):
+    for name, rate in sorted((r[lang], min(1.0, train_bytes / r.bytes)) for r in sums if r.bytes):
         pick = F.when(F.col(lang) == name, F.lit(rate)).otherwise(pick)
-    draw = F.pmod(F.xxhash64(key.cast("string"), F.lit("train")), F.lit(1_000_000)) / 1e6
-    return fit.filter(draw < pick)
+    return fit.filter(F.when(short, (ticket / 1e6 < pick) | rank.isin(least)).otherwise(
+        rank.isin(shortest)))
 
 
 def build(rows, order: int = ORDER) -> Model | None:

@@ -113,6 +113,21 @@ def test_language_without_training(spark):
     assert language.predict(cases.frame(spark, []), None).count() == 0
 
 
+def test_language_learns_rare_labels_and_labels_of_long_texts(spark):
+    rows = [(i, "common words of one tongue " * 3, "big", None) for i in range(6000)]
+    rows += [(7000 + i, "zyxa qyzz xqzy", "rare", None) for i in range(4)]
+    rows += [(8000 + i, "ouae eiuo aaeo " * (100 + i), "long", None) for i in range(6)]
+    # train_bytes // 8 is 1,000: every text of "long" is over it.
+    model = language.learn(cases.frame(spark, rows), train_bytes=8000)
+    assert model.languages == ["big", "long", "rare"]
+    texts = [(1, "common tongue"), (2, "eiuo ouae"), (3, "qyzz zyxa")]
+    found = language.predict(cases.frame(spark, texts), model).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {1: "big", 2: "long", 3: "rare"}
+    chosen = language.training_rows(cases.frame(spark, rows), functions.col("doc_id"), "text", "lang", 8000).collect()
+    assert [r.doc_id for r in chosen if r.lang == "long"] == [8000]
+    assert sum(len(r.text) for r in chosen if r.lang == "big") < 16000
+
+
 def test_grades_on_rows_not_learned_from(spark):
     rng = random.Random(4)
     rows, rated = [], []
