@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import decontaminate, jaccard, language, mixing, shards
-from fleetgauge.llm.queries import MIX_NAMES, SHARDS
+from fleetgauge.llm.queries import SHARDS
 from fleetgauge.llm.tables import DOCUMENT_COLUMNS, small, table, written
 
 
@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by their calibrated probabilities."""
-    return mixing.mix(docs, MIX_NAMES).filter("mix_kept").select(*DOCUMENT_COLUMNS)
+    return mixing.mix(docs).filter("mix_kept").select(*DOCUMENT_COLUMNS)
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

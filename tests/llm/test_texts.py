@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions
 
-from fleetgauge.llm import decontaminate, grades, language, mixing, rules, scan, shards, urls
+from fleetgauge.llm import decontaminate, grades, language, mixing, queries, rules, scan, shards, urls
 from tests.llm import cases
 
 
@@ -225,6 +225,49 @@ def test_mixing_samples_by_probability(spark):
     assert mixing.mix(cases.frame(spark, []), names).count() == 0
 
 
+def test_mixing_tells_all_sources_apart(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, cases.prose(rng, 30), "nl" if i % 2 else "fi", "hot" if i % 20 else f"tiny{i % 3}") for i in range(2400)]
+    rows += [(9000 + i, "a b c", None, None) for i in range(3)]
+    stored = f"{tmp_path}/documents.parquet"
+    cases.frame(spark, rows).write.parquet(stored)
+    found = queries.op4_mix_sources(spark, str(tmp_path)).collect()
+    assert {(r.mix_source, r.mix_lang) for r in found} == {
+        (s or mixing.OTHER, lang or mixing.OTHER) for _, _, lang, s in rows}
+    tokens, wanted = {}, {}
+    for r in found:
+        tokens[r.mix_source] = tokens.get(r.mix_source, 0) + r.mix_tokens
+        wanted[r.mix_source] = wanted.get(r.mix_source, 0) + r.mix_tokens * r.mix_probability
+    lifted = {s: t ** 0.7 for s, t in tokens.items()}
+    total = 0.5 * sum(tokens.values())
+    # Tiny sources are taken whole or to their target, the hot one gives the rest.
+    for s, n in tokens.items():
+        if s != "hot":
+            assert wanted[s] == pytest.approx(min(n, total * lifted[s] / sum(lifted.values())), rel=0.02)
+    assert wanted["hot"] < 0.5 * tokens["hot"]
+
+
+def test_mixing_folds_only_what_explicit_targets_leave_out(spark):
+    rows = [(i, "a b c d", "en", s) for i, s in enumerate("xyzz" * 10)]
+    targets = {"source": {"x": 0.5, mixing.OTHER: 0.5}, "lang": {"en": 1.0}, "topic": {"prose": 1.0, "lines": 1.0}}
+    found = mixing.mix(cases.frame(spark, rows), targets=targets, keep=0.2).collect()
+    assert {r.mix_source for r in found} == {"x", mixing.OTHER}
+
+
+@pytest.mark.parametrize("explicit", [False, True])
+def test_cells_beyond_the_driver_are_raked_alike(spark, explicit):
+    rng = random.Random(1)
+    cells = {(a, b, c): rng.uniform(1, 100) for a in "vwxyz" for b in "pq" for c in "st" if rng.random() < 0.8}
+    targets = {"source": {"v": 0.3, "w": 0.7, "y": 0.0, "gone": 0.4}, "lang": {"p": 0.4, "q": 0.6},
+               "topic": {"s": 0.5, "t": 0.5}} if explicit else None
+    table = spark.createDataFrame([(*c, t) for c, t in cells.items()],
+                                  "mix_source string, mix_lang string, mix_topic string, tokens double")
+    found = mixing.rake_table(table, targets, 0.7, 0.5, rounds=3).collect()
+    got = {(r.mix_source, r.mix_lang, r.mix_topic): r.wanted for r in found}
+    known = [targets[d] for d in mixing.DIMENSIONS] if explicit else mixing.even_targets(cells, 0.7)
+    assert got == pytest.approx(mixing.rake(cells, known, 0.5, rounds=3), rel=1e-9)
+
+
 def test_shards(spark):
     rows = cases.documents(5, very_long=2000) + [(1, "same"), (1, "same"), (None, None), (None, None)]
     found = shards.shard(cases.frame(spark, rows), 4, slots=64).collect()
