@@ -17,8 +17,12 @@ from fleetgauge.llm.tables import DOCUMENT_COLUMNS, small, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go; the others carry the predicted one."""
-    judged = language.predict(docs, language.learn(docs))
+    """Documents without a language go; the others carry the predicted one. Where no
+    language could be learned, those without a letter go and the others keep their own."""
+    model = language.learn(docs)
+    judged = language.predict(docs, model)
+    if model is None:
+        return judged.filter("has_letter").select(*DOCUMENT_COLUMNS)
     return (judged.filter(F.col("lang_pred") != language.UNDETERMINED)
             .withColumn("lang", F.col("lang_pred")).select(*DOCUMENT_COLUMNS))
 

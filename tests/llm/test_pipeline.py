@@ -106,3 +106,12 @@ def test_stages_take_odd_rows(spark, tmp_path, name, stage):
     if stage is corpus_pipeline.drop_near_copies:
         assert sorted(str(r.doc_id) for r in stage(spark, docs, root).collect()) == [
             "1", "2", "3", "None", "None"]  # rows that repeat both id and text are one
+
+
+def test_unlabelled_documents_are_kept(spark):
+    rows = [(1, "clean words", None, "s"), (2, "12 !?", None, "s"), (3, None, None, "s")]
+    # The id of the only labelled one is held out, so nothing is learned from it.
+    held = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 3 == 1)
+    docs = cases.frame(spark, rows + [(held, "more words", "en", "s")])
+    kept = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.lang) for r in kept) == [(1, None), (held, "en")]
