@@ -2,7 +2,7 @@
 
 The longest rule that fits decides. All other URLs are judged by gradient-boosted trees over
 features of the URL text alone: lengths, depth, digit ratio, entropy, parameter counts and
-statistics of the host's suffix. The trees learn from a bounded sample of labelled URLs.
+statistics of the host's suffix over all labelled URLs. The trees learn from a bounded sample.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.tables import written
+from fleetgauge.llm.tables import small, written
 
 #: The trees learn from about so many labelled URLs, chosen by a hash of the URL.
 SAMPLE_ROWS = 8000
 #: Boosting rounds and depth of a tree.
 ROUNDS = 10
 DEPTH = 4
-#: Sampled URLs that an unknown suffix counts as, half of them blocked.
+#: Labelled URLs that an unknown suffix counts as, half of them blocked.
 PRIOR = 10
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,7 +83,7 @@ def lexical(urls: DataFrame) -> DataFrame:
     labels = F.split(host, r"\.")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     return urls.withColumns({
-        "suffix": F.element_at(labels, -1),
+        "suffix": suffix_of(host),
         "length": F.length(url).cast("double"), "host_length": F.length(host).cast("double"),
         "path_length": F.length(path).cast("double"), "depth": count(path, "/").cast("double"),
         "labels": F.size(labels).cast("double"),
@@ -102,10 +102,16 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return labelled.filter(draw < min(1.0, rows / max(whole, 1)))
 
 
-def suffix_statistics(chosen: DataFrame) -> DataFrame:
-    """(suffix, suffix_rate, suffix_weight): smoothed share of blocked URLs and log count."""
-    return chosen.groupBy("suffix").agg(
-        ((F.sum("label") + PRIOR / 2) / (F.count("*") + PRIOR)).alias("suffix_rate"),
+def suffix_of(host: Column) -> Column:
+    return F.element_at(F.split(host, r"\."), -1)
+
+
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """(suffix, suffix_rate, suffix_weight) of URLs with host and verdict: smoothed share of
+    blocked URLs and log count."""
+    blocked = F.sum((F.col("verdict") == "block").cast("double"))
+    return labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(
+        ((blocked + PRIOR / 2) / (F.count("*") + PRIOR)).alias("suffix_rate"),
         F.log1p(F.count("*")).alias("suffix_weight"))
 
 
@@ -117,8 +123,7 @@ class Model(NamedTuple):
 
 
 def _assembled(frame: DataFrame, suffixes: DataFrame) -> DataFrame:
-    # As many suffixes at most as the sample has rows.
-    joined = frame.join(F.broadcast(suffixes), "suffix", "left").fillna(
+    joined = frame.join(small(suffixes), "suffix", "left").fillna(
         {"suffix_rate": 0.5, "suffix_weight": 0.0})
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
@@ -131,7 +136,7 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     seen = {r.verdict for r in chosen.select("verdict").distinct().collect()}
     if len(seen) < 2:
         return Model(None, None, *(seen or {"allow"}))
-    suffixes = written(suffix_statistics(chosen), "suffixes")
+    suffixes = written(suffix_statistics(labelled), "suffixes")
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(
         _assembled(chosen, suffixes).select("features", "label"))
     return Model(trees, suffixes, "allow")

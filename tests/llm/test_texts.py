@@ -343,6 +343,15 @@ def test_url_trees_on_rows_not_learned_from(spark):
     assert {r.verdict for r in only.collect()} == {"block"}
 
 
+def test_url_suffix_statistics_cover_all_labelled_rows(spark):
+    rows = [(f"http://h{i}.s{i % 40}/p{i}", f"h{i}.s{i % 40}", f"/p{i}", "block" if i % 2 else "allow")
+            for i in range(800)]
+    labelled = spark.createDataFrame(rows, "url string, host string, path string, verdict string")
+    model = urls.learn(labelled, rows=30)
+    found = {r.suffix: (r.suffix_rate, r.suffix_weight) for r in model.suffixes.collect()}
+    assert found == {f"s{k}": pytest.approx(((20 * (k % 2) + 5) / 30, math.log(21))) for k in range(40)}
+
+
 def test_url_entropy(spark):
     frame = spark.createDataFrame([("aabb",), ("aaaa",), ("",), ("abcd",)], "u string")
     from pyspark.sql import functions as F
