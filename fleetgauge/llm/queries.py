@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import (anchors, decontaminate, grades, jaccard, language, mixing, rules,
-                            shards, suffixes, urls)
-from fleetgauge.llm.tables import table
+from fleetgauge.llm import (alignment, anchors, codes, decontaminate, grades, jaccard, language,
+                            mixing, rules, shards, suffixes, token_counts, urls)
+from fleetgauge.llm.tables import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,9 @@ SHARDS = 40
 #: The longest rule that fits a URL decides.
 URL_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
              urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
+#: Files of public tokenizers; set another folder where they lie elsewhere.
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The values of the test tables; the queries take those of the documents instead.
 MIX_NAMES = {"source": [f"src{i}" for i in range(20)], "lang": ["de", "en", "es", "fr"],
              "topic": ["lines", "long", "markup", "prose"]}
@@ -85,11 +88,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = f"{TOKENIZERS}/{PIECES}"
+    aligned = alignment.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{BYTE_BPE}", pieces)
+    groups = F.col("groups")
+    digest = F.when(groups == "", "").otherwise(F.sha2(F.encode(groups, "UTF-8"), 256))
+    # The long spelled groups are not written, only their digest.
+    kept = written(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return alignment.score(kept, len(alignment.load_pieces(pieces).table)).select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        "groups_sha256")
+
+
+def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{BYTE_BPE}")
+    return counted.withColumnRenamed("id", "doc_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_jaccard_join, op3_url_filter, op4_mix_sources,
         op5_substring_dedup, op6_language_id, op7_quality_classifier, op8_suffix_array_dedup,
-        op9_sharding, op10_quality_rules)}
+        op9_sharding, op10_quality_rules, op11_align_tokens, op12_count_tokens,
+        op13_vector_codes)}
 
 
 OP1_SQL = r"""
@@ -220,7 +245,42 @@ SELECT *, NOT base_failed AND NOT depleted AS kept FROM failed
 """
 
 
+OP13_SQL = r"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS n, vec_id, label, embedding AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+  SELECT n, vec_id, label, part,
+         list_transform(e[part * len(e) // 4 + 1:(part + 1) * len(e) // 4],
+                        lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM kept, (SELECT unnest(range(0, 4)) AS part)),
+book0 AS MATERIALIZED (SELECT part, n - 1 AS entry, v AS c FROM pieces WHERE n <= 256),
+""" + "".join(f"""
+near{r} AS MATERIALIZED (
+  SELECT n, part, any_value(p.v) AS v, min(256 * list_sum(list_transform(range(1, len(p.v) + 1),
+             lambda i: (p.v[i] - b.c[i]) * (p.v[i] - b.c[i]))) + entry) AS k
+  FROM pieces p JOIN book{r} b USING (part) GROUP BY n, part),
+""" + (f"""sums{r} AS (
+  SELECT part, entry, pos, sum(x) AS s, count(*) AS m
+  FROM (SELECT part, CAST(k % 256 AS BIGINT) AS entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM near{r})
+  GROUP BY part, entry, pos),
+book{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(any_value(moved.c), any_value(b.c)) AS c FROM book{r} b
+  LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY pos) AS c
+             FROM sums{r} GROUP BY part, entry) moved USING (part, entry)
+  GROUP BY b.part, b.entry),""" if r < 4 else "") for r in range(5)) + r"""
+coded AS (
+  SELECT n, string_agg(printf('%02x', CAST(k % 256 AS INTEGER)), '' ORDER BY part) AS code,
+         CAST(sum(k // 256) AS BIGINT) AS error FROM near4 GROUP BY n),
+totals AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN coded USING (n) GROUP BY label),
+print AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book4)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM kept JOIN coded USING (n) JOIN totals ON kept.label IS NOT DISTINCT FROM totals.label, print
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL,
             "op5_substring_dedup": OP5_SQL, "op8_suffix_array_dedup": OP8_SQL,
-            "op10_quality_rules": OP10_SQL}
+            "op10_quality_rules": OP10_SQL, "op13_vector_codes": OP13_SQL}
