@@ -22,6 +22,9 @@ LOOKBACK_HOURS = 168
 COLLECTION_TIES = ("collection_id", "tie_part", "tie_price")
 # A bin with readings in every size of the test tables.
 DETAIL_BIN = 5
+# Borders of the blocks of messages that come in one micro-batch each, and what closes alerts.
+MESSAGE_BLOCKS = ("2000-01-01", "2024-01-11", "2024-01-21", "2100-01-01")
+CLOSING_STATUS = ("acknowledged", "resolved", "false_alarm")
 # Two months, more than the 720 hours that a shorter report spans at most.
 LONG_EXPORT = export.interval("2023-12-01", "2024-01-30")
 EXPORT_START, EXPORT_END = export.interval("2024-01-01", "2024-01-30")
@@ -148,6 +151,29 @@ def _stream_alerts(f: Fleet) -> DataFrame:
     return stored.filter(F.col("batch_id") >= 0).drop("batch_id", "arrival_seq")
 
 
+def _stream_alerts_reopened(f: Fleet) -> DataFrame:
+    """Three micro-batches of ten days each; before the second and the third, the alerts so far
+    of every third bin are closed, so that the next alert of such a bin opens."""
+    root = shared_dir(f.spark, "reopened")
+    stream = f.spark.readStream.schema(f.messages.schema).parquet(f"{root}/in")
+
+    def closings(spark: SparkSession, batch_id: int) -> DataFrame:
+        stored = ingest.stored_alerts(spark, f"{root}/out/alerts", batch_id)
+        return stored.filter(F.lit(batch_id > 0) & (F.col("bin_id") % 3 == batch_id)).select(
+            "alert_id", "bin_id", "alert_type",
+            F.lit(CLOSING_STATUS[batch_id % len(CLOSING_STATUS)]).alias("status"),
+            F.lit(MESSAGE_BLOCKS[batch_id]).cast("timestamp_ntz").alias("changed_at"))
+
+    for first, behind in zip(MESSAGE_BLOCKS, MESSAGE_BLOCKS[1:]):
+        own = f.messages.filter((F.col("arrival_ts") >= F.lit(first).cast("timestamp_ntz"))
+                                & (F.col("arrival_ts") < F.lit(behind).cast("timestamp_ntz")))
+        own.write.mode("append").parquet(f"{root}/in")
+        ingest.start_ingest(stream, lambda spark: (Fleet(spark, f.sf_dir).sensors, Fleet(spark, f.sf_dir).bins),
+                            f"{root}/out", f"{root}/checkpoint", known_alerts=f.alerts,
+                            status_changes=closings, availableNow=True).awaitTermination()
+    return ingest.current_alerts(f.spark, f"{root}/out").filter("batch_id >= 0").drop("arrival_seq")
+
+
 def _stream_latest(f: Fleet) -> DataFrame:
     root = shared_dir(f.spark, "latest")
     live.start_latest(f.reading_stream(), f"{root}/out", f"{root}/checkpoint",
@@ -270,6 +296,7 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     # Streams
     "stream_ingest": _stream_readings,
     "stream_alerts": _stream_alerts,
+    "stream_alerts_reopened": _stream_alerts_reopened,
     "stream_latest": _stream_latest,
     "stream_hourly": _stream_hourly,
     "stream_status": lambda f: status.status_view(f.bins, _stream_latest(f), f.alerts),

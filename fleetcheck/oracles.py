@@ -153,6 +153,29 @@ _DEDUPED = f"""{_ALERT_ROW} FROM (
   SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY bin_id, alert_type ORDER BY arrival_ts, arrival_seq) = 1) h
 WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.status = 'open' AND a.bin_id = h.bin_id AND a.alert_type = h.alert_type)"""
 
+# Three blocks of messages; before block k the alerts so far of the bins with bin_id % 3 = k close.
+_BLOCKS = ("arrival_ts < TIMESTAMP '2024-01-11'",
+           "arrival_ts >= TIMESTAMP '2024-01-11' AND arrival_ts < TIMESTAMP '2024-01-21'",
+           "arrival_ts >= TIMESTAMP '2024-01-21'")
+_REOPENED = ["""known AS (
+  SELECT alert_id, bin_id, alert_type, severity, message, triggered_at, status, -1 AS batch_id
+  FROM alerts WHERE status = 'open')"""]
+for _k, _block in enumerate(_BLOCKS):
+    _so_far = " UNION ALL ".join(["SELECT * FROM known", *(f"SELECT * FROM new{i}" for i in range(_k))])
+    _REOPENED.append(f"""new{_k} AS (
+  SELECT arrival_seq * 4 + rule AS alert_id, bin_id, alert_type, severity, message,
+         arrival_ts AS triggered_at, 'open' AS status, {_k} AS batch_id
+  FROM (SELECT * FROM hits WHERE {_block}
+        QUALIFY row_number() OVER (PARTITION BY bin_id, alert_type ORDER BY arrival_ts, arrival_seq) = 1) h
+  WHERE NOT EXISTS (SELECT 1 FROM ({_so_far}) a WHERE a.bin_id = h.bin_id AND a.alert_type = h.alert_type
+                    AND NOT (a.bin_id % 3 = 1 AND a.batch_id < 1 AND {_k} >= 1)
+                    AND NOT (a.bin_id % 3 = 2 AND a.batch_id < 2 AND {_k} >= 2)))""")
+_REOPENED.append("""SELECT alert_id, bin_id, alert_type, severity, message, triggered_at,
+  CASE WHEN bin_id % 3 = 1 AND batch_id < 1 THEN 'resolved'
+       WHEN bin_id % 3 = 2 AND batch_id < 2 THEN 'false_alarm' ELSE status END AS status,
+  CAST(batch_id AS BIGINT) AS batch_id
+FROM (SELECT * FROM new0 UNION ALL SELECT * FROM new1 UNION ALL SELECT * FROM new2)""")
+
 _EXPORT = """export AS (
   SELECT r.reading_id, r.timestamp, b.bin_code,
          CASE WHEN b.status = 'active' AND b.location <> '' THEN b.location ELSE b.bin_code END AS department,
@@ -483,6 +506,7 @@ def oracle_sql() -> dict[str, str]:
               FROM sensor_readings r JOIN waste_bins b ON b.bin_id = r.bin_id)) WHERE gap_cm > 5"""),
         "stream_ingest": _with(_INGEST_VIEWS, _CLASSIFIED, _ACCEPTED),
         "stream_alerts": _with(_INGEST_VIEWS + " alerts", _CLASSIFIED, _HITS, _DEDUPED),
+        "stream_alerts_reopened": _with(_INGEST_VIEWS + " alerts", _CLASSIFIED, _HITS, *_REOPENED),
         "stream_latest": _with("sensor_readings", _RANKED, """SELECT bin_id, fill_level, weight_kg, temperature_c,
             battery_level, signal_strength, timestamp AS last_reading FROM ranked WHERE rank = 1"""),
         "stream_hourly": _with("sensor_readings", f"{hourly} GROUP BY 1"),

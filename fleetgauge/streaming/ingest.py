@@ -26,7 +26,10 @@ Registry = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 ALERT_FIELDS = {"alert_id": "long", "bin_id": "int", "alert_type": "string",
                 "severity": "string", "message": "string", "triggered_at": "timestamp_ntz",
                 "status": "string", "arrival_seq": "long"}
-OPEN_KEY = ["bin_id", "alert_type"]
+OPEN_ALERT = ["alert_id", "bin_id", "alert_type"]
+#: A change of an alert's status. Only 'open' blocks the next alert of its bin and type.
+CHANGE_SCHEMA = ("alert_id long, bin_id int, alert_type string, status string, "
+                 "changed_at timestamp_ntz")
 ALERT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in ALERT_FIELDS.items())
 
 
@@ -56,18 +59,44 @@ def stored_alerts(spark: SparkSession, path: str, before: int | None = None) ->
     return alerts if before is None else alerts.filter(F.col("batch_id") < before)
 
 
+def last_changes(changes: DataFrame) -> DataFrame:
+    """The newest change of each alert; of equal times, one that leaves it open counts."""
+    newest = F.max_by(F.struct("bin_id", "alert_type", "status", "changed_at"),
+                      F.struct("changed_at", F.col("status") == "open", "status")).alias("c")
+    return changes.groupBy("alert_id").agg(newest).select("alert_id", "c.*")
+
+
+def _laid_over(open_alerts: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The open alerts after the changes, those that a change opened again, and those it closed."""
+    left = open_alerts.join(changes, "alert_id", "left_anti")
+    again = changes.filter("status = 'open'").select(*OPEN_ALERT)
+    closed = open_alerts.join(changes.filter("status <> 'open'"), "alert_id", "left_semi")
+    return left.unionByName(again), again, closed
+
+
+def stored_changes(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(f"{CHANGE_SCHEMA}, batch_id long").parquet(f"{root}/status_changes")
+
+
 def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint: str,
                  known_alerts: DataFrame | None = None,
                  alerts_so_far: Callable[[SparkSession, int], DataFrame] | None = None,
+                 status_changes: Callable[[SparkSession, int], DataFrame] | None = None,
                  rules: AlertRules = AlertRules(), alert_bin: str = "payload",
                  **trigger) -> StreamingQuery:
     """Start the ingest stream; folders ``readings``, ``rejected`` and ``alerts`` under ``root``.
 
     ``registry`` is called per micro-batch, so a device registered a moment ago is known
-    to the next batch. The keys of open alerts, those of ``known_alerts`` at first, are kept
-    in a small table under ``open_keys``, so a batch reads no alert history; a caller that
-    closes alerts in a table of its own passes ``alerts_so_far`` instead, and a closed alert
-    lets the next one open.
+    to the next batch. The open alerts, those of ``known_alerts`` at first, are kept in a
+    small table under ``open_keys``, so a batch reads no alert history.
+
+    ``status_changes`` is called per micro-batch for the changes of alerts since the batch
+    before (``CHANGE_SCHEMA``; of several of one alert the newest counts). They are stored
+    once under ``status_changes``, so a replay sees the changes of its first run, and take
+    effect before the batch's messages: an alert that is acknowledged, resolved or a false
+    alarm lets the next one of its bin and type open, unless another of them is open. A
+    change names its alert, so one that comes late closes no later alert. A caller with an
+    alert table of its own passes ``alerts_so_far`` instead.
 
     Each batch replaces its own folders and reads only alerts of earlier batches, so a
     batch that runs again after a failure gives the same rows once.
@@ -84,23 +113,33 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
     # them again if the first start was lost while it did.
     snapshots.write_once(held, f"{alerts_path}/batch_id=-1")
     keys_path = f"{root}/open_keys"
-    snapshots.create(held.select(*OPEN_KEY).distinct(), keys_path)
+    snapshots.create(held.select(*OPEN_ALERT).distinct(), keys_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         sensors, bins = registry(session)
         classified = classify_messages(batch, sensors, bins).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            earlier = (alerts_so_far(session, batch_id) if alerts_so_far
-                       else snapshots.current(session, keys_path, OPEN_KEY, batch_id - 1)
-                       .withColumn("status", F.lit("open")))
+            again = closed = None
+            if alerts_so_far:
+                earlier = alerts_so_far(session, batch_id)
+            else:
+                earlier = snapshots.current(session, keys_path, OPEN_ALERT, batch_id - 1)
+                if status_changes:
+                    changes_path = f"{root}/status_changes/batch_id={batch_id}"
+                    snapshots.write_once(last_changes(status_changes(session, batch_id)), changes_path)
+                    changes = session.read.schema(CHANGE_SCHEMA).parquet(changes_path)
+                    earlier, again, closed = _laid_over(earlier, changes)
+                earlier = earlier.withColumn("status", F.lit("open"))
             out = _results(classified, earlier, rules, alert_bin)
             write_readings(out.accepted, f"{root}/readings", batch_id)
             write_batch(out.rejected, f"{root}/rejected", batch_id)
             write_batch(out.alerts, alerts_path, batch_id)
             if not alerts_so_far:
                 written = session.read.schema(ALERT_SCHEMA).parquet(f"{alerts_path}/batch_id={batch_id}")
-                snapshots.upsert(written.select(*OPEN_KEY).distinct(), keys_path, OPEN_KEY, batch_id)
+                opened = written.select(*OPEN_ALERT)
+                opened = opened if again is None else opened.unionByName(again)
+                snapshots.upsert(opened, keys_path, OPEN_ALERT, batch_id, gone=closed)
         finally:
             classified.unpersist()
 
@@ -117,3 +156,11 @@ def written_readings(spark: SparkSession, root: str) -> DataFrame:
 
 def alert_table(spark: SparkSession, root: str) -> DataFrame:
     return stored_alerts(spark, f"{root}/alerts").select(*CANDIDATE_COLUMNS, "batch_id")
+
+
+def current_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """Every stored alert with its status after the changes that the stream was given."""
+    changes = last_changes(stored_changes(spark, root)).select(
+        "alert_id", F.col("status").alias("_changed"))
+    return (alert_table(spark, root).join(changes, "alert_id", "left")
+            .withColumn("status", F.coalesce("_changed", "status")).drop("_changed"))

@@ -2,17 +2,20 @@
 
 Batch N writes its changed rows to ``delta=N``; every few batches all rows are written
 together as ``base=N``. The table is the newest base with the later deltas laid over it, so
-the work of a batch follows its own rows and at most ``COMPACT_EVERY`` deltas. Only
-folders with a ``_SUCCESS`` file count: one that a lost driver left half-written is as if
+the work of a batch follows its own rows and at most ``COMPACT_EVERY`` deltas. A row that goes
+is a marker in its delta, which hides the key's earlier rows and falls away at the next base.
+Only folders with a ``_SUCCESS`` file count: one that a lost driver left half-written is as if
 it were not there, and the batch that runs again writes it anew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Batches between two bases.
 COMPACT_EVERY = 20
+#: True in a delta where a key's row is gone.
+GONE = "_gone"
 
 
 def _files(spark: SparkSession, path: str):
@@ -47,13 +50,18 @@ def create(empty: DataFrame, path: str) -> None:
 
 
 def upsert(changed: DataFrame, path: str, keys: list[str], batch_id: int,
-           compact_every: int = COMPACT_EVERY) -> None:
-    """Lay the changed rows over the table as batch ``batch_id``.
+           compact_every: int = COMPACT_EVERY, gone: DataFrame | None = None) -> None:
+    """Lay the changed rows over the table as batch ``batch_id``; the keys in ``gone`` go.
 
-    A batch that runs again replaces its own folders and reads only those of earlier
-    batches. Nothing is deleted, so readers keep what they have opened; see ``expire``.
+    A key that is changed and gone in one batch stays, as changed. A batch that runs again
+    replaces its own folders and reads only those of earlier batches. Nothing is deleted, so
+    readers keep what they have opened; see ``expire``.
     """
-    changed.write.mode("overwrite").parquet(f"{path}/delta={batch_id}")
+    delta = changed
+    if gone is not None:
+        delta = changed.withColumn(GONE, F.lit(False)).unionByName(
+            gone.select(*keys).withColumn(GONE, F.lit(True)), allowMissingColumns=True)
+    delta.write.mode("overwrite").parquet(f"{path}/delta={batch_id}")
     if (batch_id + 1) % compact_every == 0:
         # A base of this batch may be there from an attempt that is running again.
         whole = _as_of(changed.sparkSession, path, keys, batch_id, batch_id - 1)
@@ -73,17 +81,19 @@ def _as_of(spark: SparkSession, path: str, keys: list[str], reach: float, base_r
     base = bases[-1]
     deltas = [n for n in _numbers(spark, path, "delta") if base < n <= reach]
     before = spark.read.parquet(f"{path}/base={base}")
-    rest = [c for c in before.columns if c not in keys]
     if not deltas:
         return before
-    parts = before.withColumn("_batch", F.lit(base))
+    marked = T.StructType([*before.schema.fields, T.StructField(GONE, T.BooleanType())])
+    parts = before.withColumn(GONE, F.lit(False)).withColumn("_batch", F.lit(base))
     for n in deltas:
-        parts = parts.unionByName(
-            spark.read.schema(before.schema).parquet(f"{path}/delta={n}").withColumn("_batch", F.lit(n)))
-    if not rest:
-        return parts.select(*keys).distinct()
-    return (parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))
-            .select(*keys, "_last.*").select(*before.columns))
+        # Deltas without a marker column hold changed rows alone.
+        parts = parts.unionByName(spark.read.schema(marked).parquet(f"{path}/delta={n}")
+                                  .withColumn(GONE, F.coalesce(GONE, F.lit(False)))
+                                  .withColumn("_batch", F.lit(n)))
+    rest = [c for c in before.columns if c not in keys]
+    return (parts.groupBy(*keys)
+            .agg(F.max_by(F.struct(*rest, GONE), F.struct("_batch", ~F.col(GONE))).alias("_last"))
+            .filter(f"NOT _last.{GONE}").select(*keys, "_last.*").select(*before.columns))
 
 
 def expire(spark: SparkSession, path: str, keep: int = 2) -> None:

@@ -251,3 +251,87 @@ def test_shared_dir_follows_the_session(spark):
     assert first != second
     root = spark.conf.get("spark.checkpoint.dir", None)
     assert root is None or first.startswith(root)
+
+
+def test_gone_keys_stay_away_until_they_come_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    snapshots.create(_keyed(spark, (1, 0), (2, 0), (3, 0)), path)
+    none, gone = _keyed(spark, (0, 0)).limit(0), _keyed(spark, (2, 0), (9, 0))
+    for _ in range(2):                                                   # the batch runs again
+        snapshots.upsert(_keyed(spark, (1, 1)), path, ["k"], 0, gone=gone)
+        assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == [(1, 1), (3, 0)]
+    assert rows(snapshots.current(spark, path, ["k"], -1), "k", "v") == [(1, 0), (2, 0), (3, 0)]
+    snapshots.upsert(_keyed(spark, (2, 2), (3, 2)), path, ["k"], 1, gone=_keyed(spark, (3, 0), (1, 0)))
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == [(2, 2), (3, 2)]
+    snapshots.upsert(none, path, ["k"], 2, compact_every=3, gone=_keyed(spark, (2, 0)))
+    base = spark.read.parquet(f"{path}/base=2")
+    assert base.columns == ["k", "v"] and rows(base, "k", "v") == [(3, 2)]
+    assert rows(snapshots.current(spark, path, ["k"]), "k", "v") == [(3, 2)]
+
+
+def test_a_set_of_keys_alone_can_lose_some(spark, tmp_path):
+    path, frame = str(tmp_path / "t"), _keyed(spark, (1, 1), (1, 2), (2, 1))
+    snapshots.create(frame, path)
+    snapshots.upsert(frame.limit(0), path, ["k", "v"], 0, gone=_keyed(spark, (1, 2)))
+    assert rows(snapshots.current(spark, path, ["k", "v"]), "k", "v") == [(1, 1), (2, 1)]
+
+
+CHANGED = "alert_id long, bin_id int, alert_type string, status string, changed_at timestamp_ntz"
+
+
+class Closing:
+    """A stream of one bin whose alert changes are given per batch."""
+
+    def __init__(self, spark, tmp_path, *known):
+        self.spark, self.source, self.root, self.cp = spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+        self.bins = table(spark, "waste_bins", {"bin_id": 1, "bin_code": "B", "status": "active"})
+        self.sensors = table(spark, "sensors", {"sensor_id": 5, "sensor_code": "S"})
+        self.known = spark.createDataFrame(list(known), "alert_id long, bin_id int, alert_type string, status string")
+        self.asked = []
+
+    def batch(self, seq, *changes, fill=95):
+        """Alerts after one more message, before which the (alert, status, minute) changes come."""
+        made = self.spark.createDataFrame(
+            [(a, 1, "bin_full", status, ts(f"2024-01-01 00:{minute:02d}:00")) for a, status, minute in changes], CHANGED)
+
+        def changes_of(session, batch_id):
+            self.asked.append(batch_id)
+            return made
+
+        _land_one(self.spark, self.source, seq, fill)
+        ingest.start_ingest(stream_messages(self.spark, self.source), lambda s: (self.sensors, self.bins), self.root,
+                            self.cp, known_alerts=self.known, status_changes=changes_of, availableNow=True).awaitTermination()
+        return rows(ingest.current_alerts(self.spark, self.root), "alert_id", "status")
+
+
+@pytest.mark.parametrize("status", ["resolved", "acknowledged", "false_alarm"])
+def test_a_closed_alert_lets_the_next_one_open(spark, tmp_path, status):
+    job = Closing(spark, tmp_path)
+    assert job.batch(1) == [(4, "open")]
+    assert job.batch(2) == [(4, "open")]
+    assert job.batch(3, (4, status, 1)) == [(12, "open"), (4, status)]
+    # A change that names the old alert leaves the new one open; opened again, the old one blocks.
+    assert job.batch(4, (4, "resolved", 2)) == [(12, "open"), (4, "resolved")]
+    assert job.batch(5, (12, "resolved", 3), (4, "open", 4)) == [(12, "resolved"), (4, "open")]
+    # The newest of several changes counts.
+    assert job.batch(6, (4, "open", 5), (4, "resolved", 6)) == [(12, "resolved"), (24, "open"), (4, "resolved")]
+
+
+def test_another_open_alert_still_blocks(spark, tmp_path):
+    job = Closing(spark, tmp_path, (100, 1, "bin_full", "open"), (101, 1, "bin_full", "open"))
+    assert job.batch(1, (100, "resolved", 1)) == [(100, "resolved"), (101, "open")]
+    assert len(job.batch(2, (101, "resolved", 2))) == 3
+
+
+def test_a_replayed_batch_sees_the_changes_of_its_first_run(spark, tmp_path):
+    job = Closing(spark, tmp_path)
+    job.batch(1)
+    first = job.batch(2, (4, "resolved", 1))
+    # As if the driver was lost before the batch was committed: it runs again, asked for other changes.
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    asked = len(job.asked)
+    again = job.batch(3)
+    assert first == [(4, "resolved"), (8, "open")] and again == first
+    assert job.asked[asked:] in ([2], [1, 2])                            # stored changes are not asked for again
+    assert spark.read.parquet(f"{job.root}/status_changes/batch_id=1").count() == 1
