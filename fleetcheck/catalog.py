@@ -155,6 +155,8 @@ def _stream_alerts_reopened(f: Fleet) -> DataFrame:
     """Three micro-batches of ten days each; before the second and the third, the alerts so far
     of every third bin are closed, so that the next alert of such a bin opens."""
     root = shared_dir(f.spark, "reopened")
+    # The stream numbers its alerts by message; ids from before must not meet those.
+    known = f.alerts.withColumn("alert_id", -F.col("alert_id") - 1)
 
     def closings(spark: SparkSession, batch_id: int) -> DataFrame:
         stored = ingest.stored_alerts(spark, f"{root}/out/alerts", batch_id)
@@ -169,7 +171,7 @@ def _stream_alerts_reopened(f: Fleet) -> DataFrame:
         own.write.mode("append").parquet(f"{root}/in")
         stream = f.spark.readStream.schema(f.messages.schema).parquet(f"{root}/in")
         ingest.start_ingest(stream, lambda spark: (Fleet(spark, f.sf_dir).sensors, Fleet(spark, f.sf_dir).bins),
-                            f"{root}/out", f"{root}/checkpoint", known_alerts=f.alerts,
+                            f"{root}/out", f"{root}/checkpoint", known_alerts=known,
                             status_changes=closings, availableNow=True).awaitTermination()
     return ingest.current_alerts(f.spark, f"{root}/out").filter("batch_id >= 0").drop("arrival_seq")
 

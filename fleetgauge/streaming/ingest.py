@@ -94,7 +94,8 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
     before (``CHANGE_SCHEMA``; of several of one alert the newest counts). They are stored
     once under ``status_changes``, so a replay sees the changes of its first run, and take
     effect before the batch's messages: an alert that is acknowledged, resolved or a false
-    alarm lets the next one of its bin and type open, unless another of them is open. A
+    alarm lets the next one of its bin and type open, unless another of them is open. Ids of
+    ``known_alerts`` must not be those of new ones (see ``alert_candidates``). A
     change names its alert, so one that comes late closes no later alert. A caller with an
     alert table of its own passes ``alerts_so_far`` instead.
 
