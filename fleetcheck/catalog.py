@@ -194,6 +194,10 @@ def _row_counts(f: Fleet) -> DataFrame:
     return tables.row_counts({name: f.source(name) for name in SOURCE_TABLES})
 
 
+def _classified_as_of(f: Fleet) -> DataFrame:
+    return resolve.classify_messages(f.messages, f.sensor_states, f.bin_states)
+
+
 def _accepted(f: Fleet) -> DataFrame:
     return resolve.accepted_readings(_classified(f))
 
@@ -260,6 +264,9 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     # Ingest
     "ingest_accepted": _accepted,
     "ingest_rejected": lambda f: resolve.rejected_messages(_classified(f)),
+    "ingest_as_of": lambda f: resolve.accepted_readings(_classified_as_of(f)),
+    "ingest_as_of_rejected": lambda f: resolve.rejected_messages(_classified_as_of(f)).select(
+        "arrival_seq", "reason"),
     "alert_candidates": lambda f: _candidates(f).drop("arrival_seq"),
     "alerts_deduped": lambda f: alerts.new_open_alerts(_candidates(f), f.alerts).drop("arrival_seq"),
     "readings_refused": lambda f: resolve.split_by_registry(f.readings, f.sensors, f.bins)[1].select(

@@ -60,6 +60,28 @@ SELECT CAST(s_suppkey AS INT) AS sensor_id,
 FROM {supplier}
 """
 
+# Three states of the registry: all devices at first, then every second one in the next bin with
+# a new offset and some with the MAC of the device after the next, at last every fifth one gone.
+SENSOR_STATES = f"""
+SELECT s.*, '2023-01-01 00:00:00' AS valid_from, false AS removed FROM ({SENSORS}) s
+UNION ALL
+SELECT s.sensor_id, s.sensor_code, s.bin_id + 1, s.sensor_type, s.manufacturer, s.status,
+       CASE WHEN s.sensor_id % 4 = 0 AND t.mac_address IS NOT NULL THEN t.mac_address ELSE s.mac_address END,
+       0.75, '2024-01-10 12:00:00', false
+FROM ({SENSORS}) s LEFT JOIN ({SENSORS}) t ON t.sensor_id = s.sensor_id + 2 WHERE s.sensor_id % 2 = 0
+UNION ALL
+SELECT s.*, '2024-01-20 06:30:00', true FROM ({SENSORS}) s WHERE s.sensor_id % 5 = 0
+"""
+
+# Bins that were taken away in the middle of the month, some of which came back.
+BIN_STATES = """
+SELECT CAST(c_custkey AS INT) AS bin_id, '2023-01-01 00:00:00' AS valid_from, false AS removed FROM {customer}
+UNION ALL
+SELECT CAST(c_custkey AS INT), '2024-01-15 00:00:00', true FROM {customer} WHERE c_custkey % 6 = 1
+UNION ALL
+SELECT CAST(c_custkey AS INT), '2024-01-25 00:00:00', false FROM {customer} WHERE c_custkey % 12 = 1
+"""
+
 ALERTS = """
 SELECT o_orderkey AS alert_id, CAST(o_custkey AS INT) AS bin_id,
        CASE o_orderkey % 4 WHEN 0 THEN 'bin_full' WHEN 1 THEN 'sensor_fault'
@@ -210,6 +232,16 @@ class Fleet:
     def sensors(self) -> DataFrame:
         return self._view(SENSORS, "supplier")
 
+    @cached_property
+    def sensor_states(self) -> DataFrame:
+        states = self._view(SENSOR_STATES, "supplier")
+        return states.withColumn("valid_from", states["valid_from"].cast("timestamp_ntz"))
+
+    @cached_property
+    def bin_states(self) -> DataFrame:
+        states = self._view(BIN_STATES, "customer")
+        return states.withColumn("valid_from", states["valid_from"].cast("timestamp_ntz"))
+
     @cached_property
     def alerts(self) -> DataFrame:
         return self._view(ALERTS, "orders")

@@ -12,6 +12,7 @@ _VIEWS = {
     "sensors": domain.SENSORS, "alerts": domain.ALERTS, "collections": domain.COLLECTIONS,
     "messages": domain.MESSAGES, "collection_routes": domain.COLLECTION_ROUTES,
     "route_bins": domain.ROUTE_BINS, "device_items": domain.DEVICE_ITEMS,
+    "sensor_states": domain.SENSOR_STATES, "bin_states": domain.BIN_STATES,
     "device_updates": domain.DEVICE_UPDATES, "seed_sensors": domain.SEED_SENSORS,
 }
 _PLAIN = {name: name for name in SOURCE_TABLES}
@@ -119,6 +120,34 @@ classified AS (
          coalesce(CASE WHEN numbers_ok THEN CAST(json_extract_string(doc, '$.temperature_c') AS DECIMAL(28,10)) END, 25) AS heat
   FROM looked l LEFT JOIN waste_bins b ON b.bin_id = l.bin_id)"""
 _INGEST_VIEWS = "messages sensors waste_bins"
+_AS_OF_VIEWS = "messages sensor_states bin_states"
+# The same with the states at arrival: of several devices the lowest answers.
+_SPANS = ["""sensor_spans AS (
+  SELECT *, CAST(valid_from AS TIMESTAMP) AS since, coalesce(lead(CAST(valid_from AS TIMESTAMP)) OVER (
+    PARTITION BY sensor_id ORDER BY valid_from), TIMESTAMP '9999-01-01') AS until FROM sensor_states)""",
+          """bin_spans AS (
+  SELECT *, CAST(valid_from AS TIMESTAMP) AS since, coalesce(lead(CAST(valid_from AS TIMESTAMP)) OVER (
+    PARTITION BY bin_id ORDER BY valid_from), TIMESTAMP '9999-01-01') AS until FROM bin_states)"""]
+_AT = "NOT {0}.removed AND g.arrival_ts >= {0}.since AND g.arrival_ts < {0}.until"
+
+
+def _holder(column: str, value: str) -> str:
+    return f"""(SELECT min(s.sensor_id) FROM sensor_spans s
+    WHERE g.object_ok AND g.numbers_ok AND s.{column} = g.{value} AND {_AT.format("s")})"""
+
+
+_LOOKED_AS_OF = f"""held AS (
+  SELECT g.*, {_holder("mac_address", "mac")} AS by_mac, {_holder("sensor_code", "code")} AS by_code FROM gated g),
+looked AS (
+  SELECT g.*, coalesce(by_mac, by_code) AS sensor_id,
+         CASE WHEN by_mac IS NOT NULL THEN s.bin_id ELSE g.payload_bin_id END AS bin_id, s.weight_offset
+  FROM held g LEFT JOIN sensor_spans s ON s.sensor_id = coalesce(by_mac, by_code) AND {_AT.format("s")}),
+"""
+_CLASSIFIED_AS_OF = (
+    _CLASSIFIED[:_CLASSIFIED.index("looked AS (")] + _LOOKED_AS_OF
+    + _CLASSIFIED[_CLASSIFIED.index("classified AS ("):].replace(
+        "FROM looked l LEFT JOIN waste_bins b ON b.bin_id = l.bin_id",
+        "FROM looked l LEFT JOIN bin_spans b ON b.bin_id = l.bin_id AND " + _AT.replace("g.", "l.").format("b")))
 _ACCEPTED = """SELECT arrival_seq AS reading_id, sensor_id, bin_id,
   CAST(json_extract_string(doc, '$.fill_level') AS DECIMAL(5,2)) AS fill_level,
   CAST(NULL AS DECIMAL(6,2)) AS distance_cm,
@@ -504,6 +533,9 @@ def oracle_sql() -> dict[str, str]:
               SELECT r.reading_id, r.bin_id, r.fill_level, r.distance_cm,
                 CAST(b.capacity * CAST(0.0008 AS DECIMAL(6,4)) * (CAST(100 AS DECIMAL(5,2)) - r.fill_level) AS DECIMAL(18,6)) AS expected_cm
               FROM sensor_readings r JOIN waste_bins b ON b.bin_id = r.bin_id)) WHERE gap_cm > 5"""),
+        "ingest_as_of": _with(_AS_OF_VIEWS, *_SPANS, _CLASSIFIED_AS_OF, _ACCEPTED),
+        "ingest_as_of_rejected": _with(_AS_OF_VIEWS, *_SPANS, _CLASSIFIED_AS_OF,
+                                       "SELECT arrival_seq, reason FROM classified WHERE reason IS NOT NULL"),
         "stream_ingest": _with(_INGEST_VIEWS, _CLASSIFIED, _ACCEPTED),
         "stream_alerts": _with(_INGEST_VIEWS + " alerts", _CLASSIFIED, _HITS, _DEDUPED),
         "stream_alerts_reopened": _with(_INGEST_VIEWS + " alerts", _CLASSIFIED, _HITS, *_REOPENED),

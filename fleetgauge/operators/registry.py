@@ -243,3 +243,17 @@ def delete_sensors(sensors: DataFrame, readings: DataFrame,
     gone = ids.select("sensor_id").distinct()
     return (sensors.join(gone, "sensor_id", "left_anti"),
             readings.join(gone, "sensor_id", "left_anti"))
+
+
+def registry_states(before: DataFrame, after: DataFrame, key: str, at) -> DataFrame:
+    """The states to add to a registry's history when ``after`` replaces ``before``.
+
+    Rows that are new or differ in any column come with ``valid_from``; rows that ``after``
+    lacks come once more as ``removed``. Columns are those of ``after``.
+    """
+    columns = after.columns
+    old = before.select(*[F.col(c) if c in before.columns else F.lit(None).cast(after.schema[c].dataType).alias(c)
+                          for c in columns])
+    changed = after.exceptAll(old).withColumn("removed", F.lit(False))
+    gone = old.join(after.select(key), key, "left_anti").select(*columns).withColumn("removed", F.lit(True))
+    return changed.unionByName(gone).withColumn("valid_from", ntz(at))

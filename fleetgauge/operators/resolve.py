@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.measures import calibrated
 from fleetgauge.operators.decode import GATED, LENIENT, decode_messages
-from fleetgauge.plans.keyed import spread_null
+from fleetgauge.plans.asof import holders_over_time, looked_up
+from fleetgauge.plans.keyed import rehashed, spread_null
 
 READING_COLUMNS = ["reading_id", "sensor_id", "bin_id", "fill_level", "distance_cm", "weight_kg",
                    "temperature_c", "humidity", "gas_level", "battery_level", "signal_strength",
@@ -21,11 +22,40 @@ def registry_by(sensors: DataFrame, key: str, name: str, prefix: str) -> DataFra
     """
     return (sensors.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(name))
             .agg(F.min_by(F.struct("sensor_id", "bin_id", "weight_offset"), "sensor_id").alias("s"))
-            .select(name, F.col("s.sensor_id").alias(f"{prefix}_sensor_id"),
+            .select(rehashed(F.col(name)).alias(name), F.col("s.sensor_id").alias(f"{prefix}_sensor_id"),
                     F.col("s.bin_id").alias(f"{prefix}_bin_id"),
                     F.col("s.weight_offset").alias(f"{prefix}_offset")))
 
 
+#: In a registry with this column, rows are states of a device or bin from that time on.
+SINCE = "valid_from"
+#: True in a state from which on the device or bin is gone.
+REMOVED = "removed"
+
+
+def is_history(registry: DataFrame) -> bool:
+    return SINCE in registry.columns
+
+
+def _found(frame: DataFrame, registry: DataFrame, column: str, name: str, prefix: str) -> DataFrame:
+    """``frame`` with the device whose ``column`` equals its ``name``, now or at arrival."""
+    found = [f"{prefix}_sensor_id", f"{prefix}_bin_id", f"{prefix}_offset"]
+    if not is_history(registry):
+        return frame.join(registry_by(registry, column, name, prefix), name, "left")
+    held = holders_over_time(registry, column, "sensor_id", SINCE, REMOVED, ["bin_id", "weight_offset"])
+    return looked_up(frame, held.toDF(name, SINCE, *found), name, "arrival_ts", SINCE, found)
+
+
+def _known_bins(frame: DataFrame, bins: DataFrame, name: str, flag: str) -> DataFrame:
+    """``frame`` with ``flag`` true where a bin ``name`` exists, now or at arrival."""
+    if not is_history(bins):
+        known = bins.select(F.col("bin_id").cast("string").alias(name), F.lit(True).alias(flag))
+        return frame.join(known, name, "left")
+    there = F.when(~F.coalesce(F.col(REMOVED), F.lit(False)), F.lit(True))
+    known = bins.select(F.col("bin_id").cast("string").alias(name), SINCE, there.alias(flag))
+    return looked_up(frame, known, name, "arrival_ts", SINCE, [flag])
+
+
 def classify_messages(messages: DataFrame, sensors: DataFrame, bins: DataFrame) -> DataFrame:
     """Every subscribed message with its reading, or with the reason it gives none.
 
@@ -33,25 +63,27 @@ def classify_messages(messages: DataFrame, sensors: DataFrame, bins: DataFrame)
     sensor code, and the payload's bin counts. Sensor status plays no part. The lookups
     carry no broadcast hint: Spark broadcasts a registry below its size limit and
     otherwise joins by key, splitting hot devices at run time.
+
+    A registry with ``valid_from`` is a history: a message meets the states of its
+    arrival, so a backfill resolves as the live stream did. ``sensors`` and ``bins`` may
+    be histories each by itself; their rows with ``removed`` end a device or bin.
     """
     # A rejected message needs no device; its lookup keys are spread like missing ones.
     keyed = decode_messages(messages).withColumn("mac", spread_null(
         F.expr("CASE WHEN reason IS NULL THEN nullif(mac, '') END"), F.col("arrival_seq")))
-    by_mac = keyed.join(registry_by(sensors, "mac_address", "mac", "m"), "mac", "left")
+    by_mac = _found(keyed, sensors, "mac_address", "mac", "m")
 
-    codes = registry_by(sensors, "sensor_code", "_code", "c").drop("c_bin_id")
-    by_code = by_mac.withColumn("_code", spread_null(
+    coded = by_mac.withColumn("_code", spread_null(
         F.expr("CASE WHEN reason IS NULL AND m_sensor_id IS NULL THEN sensor_code END"),
-        F.col("arrival_seq"))).join(codes, "_code", "left")
+        F.col("arrival_seq")))
+    by_code = _found(coded, sensors, "sensor_code", "_code", "c").drop("c_bin_id")
 
-    payload_bins = bins.selectExpr("CAST(bin_id AS string) AS _bin", "true AS payload_has_bin")
-    resolved = by_code.withColumn("_bin", spread_null(
+    resolved = _known_bins(by_code.withColumn("_bin", spread_null(
         F.expr("CASE WHEN reason IS NULL THEN CAST(payload_bin_id AS string) END"),
-        F.col("arrival_seq"))).join(payload_bins, "_bin", "left")
+        F.col("arrival_seq"))), bins, "_bin", "payload_has_bin")
     # The bin of a device found by MAC, by the plain table of bins again.
-    device_bins = bins.selectExpr("CAST(bin_id AS string) AS _device_bin", "true AS m_has_bin")
-    resolved = resolved.withColumn("_device_bin", spread_null(
-        F.expr("CAST(m_bin_id AS string)"), F.col("arrival_seq"))).join(device_bins, "_device_bin", "left")
+    resolved = _known_bins(resolved.withColumn("_device_bin", spread_null(
+        F.expr("CAST(m_bin_id AS string)"), F.col("arrival_seq"))), bins, "_device_bin", "m_has_bin")
 
     offset = F.expr("CASE WHEN m_sensor_id IS NOT NULL THEN m_offset ELSE c_offset END")
     placed = resolved.select(

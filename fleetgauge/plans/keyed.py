@@ -53,6 +53,16 @@ def spread_null(key: Column, by: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("\u0000"), by.cast("string")))
 
 
+def rehashed(key: Column) -> Column:
+    """The same text as a new expression.
+
+    A join would reuse the partitioning that grouping by the key has left, and run-time
+    re-planning splits hot keys only between two exchanges of the join's own. For the small
+    side of a join whose other side has hot keys.
+    """
+    return F.concat(key, F.lit(""))
+
+
 def with_previous(df: DataFrame, key: str, value: str, order: list[str], time: str,
                   keep: Column, slice_length: str = "10 minutes") -> DataFrame:
     """Rows for which ``keep`` holds, where ``keep`` may read ``previous``: the value of
