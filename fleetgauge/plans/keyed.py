@@ -9,19 +9,10 @@ def latest_per_key(df: DataFrame, keys: list[str], values: list[str],
                    order: list[str]) -> DataFrame:
     """The last row of each key by ``order``.
 
-    The greatest first order column of each key is found by hash, with one row per key and
-    input partition in the exchange; only the rows that have it are then ordered by the
-    rest. On a stream all rows go through ``max_by``. Rows with a NULL order are left out
-    by the caller.
+    One scan and no join: an input partition is reduced to one row per key before the
+    exchange, whatever the number of keys. Rows are brought together by key inside their
+    partition only. Rows with a NULL order are left out by the caller.
     """
-    if not df.isStreaming:
-        top = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
-            F.max(order[0]).alias("_top"))
-        same = F.col(order[0]) == F.col("_top")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-        df = df.select(*dict.fromkeys([*keys, *values, *order])).join(top, same).drop(
-            "_top", *[f"_key_{k}" for k in keys])
     return (df.groupBy(*keys)
             .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
             .select(*keys, "_last.*"))

@@ -64,6 +64,34 @@ def test_status_reads_the_readings_once(stored, spark):
     assert "partial_max_by" in text
 
 
+def _no_broadcasts(spark, make):
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+
+
+def test_latest_readings_are_one_scan_reduced_before_the_exchange(stored, spark):
+    frame, bins = stored
+    text = _no_broadcasts(spark, lambda: status.latest_readings(frame))
+    lines = text.splitlines()
+    assert sum("FileScan" in line for line in lines) == 1
+    assert "Join" not in text and text.count("Exchange") == 1
+    exchange = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert "partial_max_by" in lines[exchange + 1]                # one row per bin and partition
+    whole = _no_broadcasts(spark, lambda: status.current_status(bins, frame, table(spark, "alerts")))
+    assert sum("FileScan" in line for line in whole.splitlines()) == 2    # bins and readings
+
+
+def test_latest_rows_with_equal_times_and_null_ids(spark):
+    data = [(1, ts("2024-01-01"), None, "a"), (1, ts("2024-01-01"), -5, "b"), (1, ts("2023-12-31"), 9, "c"),
+            (None, ts("2024-01-01"), 1, "d"), (2, ts("2024-01-01"), None, None)]
+    frame = spark.createDataFrame(data, "k int, t timestamp_ntz, id long, v string").repartition(3)
+    assert rows(latest_per_key(frame, ["k"], ["v"], ["t", "id"]), "k", "v") == [(1, "b"), (2, None), (None, "d")]
+
+
 def test_group_limit_on_both_sides_of_the_exchange(stored):
     frame, _ = stored
     text = plan(status.recent_readings(frame))
@@ -165,9 +193,9 @@ def test_small_registries_do_not_move_the_large_side(spark, sf_dir):
         assert set(keys) <= ({"mac_address", "sensor_code"} if name == "ingest_accepted" else set()), (name, keys)
 
 
-def test_latest_rows_sort_no_readings(spark, stored):
+def test_latest_rows_sort_only_inside_input_partitions(spark, stored):
     frame, _ = stored
     text = plan(latest_per_key(frame, ["bin_id"], ["fill_level", "timestamp"], ["timestamp", "reading_id"]))
-    # Below the join there is only hash aggregation; what is sorted is what the join leaves.
-    below = text[text.index("Join"):]
-    assert "SortAggregate" not in below and "HashAggregate" in below
+    # By key alone, below the exchange; what crosses it is one row per key and partition.
+    below = text[text.index("Exchange"):]
+    assert below.count("Sort [") == 1 and "Sort [bin_id" in below and "Join" not in text
