@@ -11,10 +11,10 @@ together, and a pair of nodes is left when the greatest overlap that the bitmaps
 allow is too small, or when all members are in one component already. What reaches the
 leaves is compared by all its shingles.
 
-Before that, two rounds compare every member of a group with one member only, the centre.
-A large group of near copies so becomes few components in linear time, and the trees then
-meet pairs between different components only, giving the links that join them. No pair is
-skipped for any other reason, so the components are those of all links.
+A link found joins two components at once, so that a large group of near copies becomes one
+component after about as many comparisons as members. No pair is skipped for any other
+reason, so the components are those of all links. On request, rounds before the trees compare
+every member of a group with one member only, the centre.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from fleetgauge.llm.tables import BROADCAST_ROWS, partitions, written
 
 SHINGLE = 5
 PERCENT = 80
-#: Rounds of comparing with centres before the trees; they save work and change no result.
-CENTRE_ROUNDS = 2
+#: Rounds of comparing with centres before the trees; they change no result. Without any, every
+#: link comes from the trees.
+CENTRE_ROUNDS = 0
 #: Groups of more sets or shingles are met block by block, each pair of blocks on its own.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20

@@ -106,15 +106,18 @@ def training_rows(labelled: DataFrame, key: Column, text: str, lang: str,
 
 
 def build(rows, order: int = ORDER) -> Model | None:
-    """The model of collected gram counts; its size follows the training bound."""
-    if not rows:
+    """The model of collected gram counts, an Arrow table or rows; its size follows the
+    training bound."""
+    if not len(rows):
         return None
-    names = sorted({r.lang for r in rows})
-    at = {n: i for i, n in enumerate(names)}
-    lang = np.array([at[r.lang] for r in rows])
-    size = np.array([r["size"] for r in rows])
-    gram = np.array([r.gram for r in rows], np.int64)
-    n = np.array([r.n for r in rows], np.float64)
+    if not isinstance(rows, pa.Table):
+        rows = pa.table({c: pa.array([r[c] for r in rows]) for c in ("lang", "size", "gram", "n")})
+    coded = rows["lang"].combine_chunks().dictionary_encode()
+    found = np.array(coded.dictionary.to_pylist(), dtype=object)
+    names = sorted(found)
+    lang = np.searchsorted(np.array(names, dtype=object), found)[coded.indices.to_numpy()]
+    size, gram = rows["size"].to_numpy(), rows["gram"].to_numpy()
+    n = rows["n"].to_numpy().astype(np.float64)
     seen = np.unique(gram[size == 1])
     symbols = np.full(256, len(seen), np.int32)  # 256 symbols to the third still fit
     symbols[seen] = np.arange(len(seen))
@@ -251,4 +254,4 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     labelled = docs.filter(~held_out(F.col(key))).select(
         F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = training_rows(labelled, F.col("id"), "text", "lang", train_bytes)
-    return build(gram_counts(rows, "text", "lang").collect())
+    return build(gram_counts(rows, "text", "lang").toArrow())
