@@ -1,7 +1,9 @@
 """Corpus cleaning in five stages, each judging what its predecessor kept.
 
 Language ID, n-gram Jaccard join, benchmark decontamination, mixing, sharding. Every stage
-takes documents and returns documents; only the last returns placements.
+takes documents and returns documents; only the last returns placements. Stages read the
+columns of documents by name and drop all others, whatever these are called; no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ from fleetgauge.llm.tables import DOCUMENT_COLUMNS, small, table, written
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; the others carry the predicted one. Where no
-    language could be learned, those without a letter go and the others keep their own."""
+    language could be learned, those without a letter go and the others keep their own.
+
+    Null and empty texts and texts without a letter go. Long texts are judged whole, a tie
+    between languages goes to the first by name, repeated rows are judged alike and all stay.
+    """
     model = language.learn(docs)
     judged = language.predict(docs, model)
     if model is None:
@@ -28,7 +34,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, the one with the least id."""
+    """One document of each group of linked ones stays, the one with the least id.
+
+    Null ids come last, of equal ids the least hash of the text stays, and rows that repeat
+    both id and text are one. Null texts and texts without words are linked with nothing and
+    stay. Texts are compared whole, however long.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS)
     found = written(jaccard.join(docs), "near-copies")
     gone = written(jaccard.copies(found), "gone")
     mark = F.xxhash64("text")
@@ -42,7 +54,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
+    """Documents of which a twentieth or more is benchmark text go.
+
+    Rows of one id and text are judged alike. Null and empty texts have no words and stay,
+    null items match nothing, and without items all documents stay.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS)
     mark = F.xxhash64("doc_id", "text")
     judged = decontaminate.decontaminate(docs.select(mark.alias("mark"), "text"),
                                          table(spark, sf_dir, "benchmark"), key="mark")
@@ -53,12 +70,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by their calibrated probabilities."""
+    """Documents sampled by their calibrated probabilities.
+
+    A null source or language is one of the others. Texts without words have probability 0
+    and go, rows of one id and text are judged alike, and ties of probabilities do not matter:
+    each row's ticket is a hash of its id and text.
+    """
     return mixing.mix(docs).filter("mix_kept").select(*DOCUMENT_COLUMNS)
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and place in it."""
+    """Every document's shard and place in it.
+
+    Null texts have the size of empty ones, repeated rows have places of their own, of rows
+    equal in everything any order is taken, and no rows give none.
+    """
     return shards.shard(docs, SHARDS).select(
         F.col("record_id").alias("doc_id"), "size", "text_crc32", "shard",
         F.col("place").alias("slot"), "virtual_slot")
