@@ -115,3 +115,15 @@ def test_unlabelled_documents_are_kept(spark):
     docs = cases.frame(spark, rows + [(held, "more words", "en", "s")])
     kept = corpus_pipeline.identify_language(spark, docs, "").collect()
     assert sorted((r.doc_id, r.lang) for r in kept) == [(1, None), (held, "en")]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_drop_foreign_columns_whatever_their_names(spark, tmp_path, name, stage):
+    rows = [(i, f"some words of text {i % 3} and more {'x' * (i % 3)}", "en", "s") for i in range(12)]
+    root = stored(spark, rows, [(1, "solo")], str(tmp_path))
+    docs = spark.read.parquet(f"{root}/documents.parquet").select(*DOCUMENT_COLUMNS)
+    odd = docs.selectExpr("*", "'x' AS id", "1 AS mark", "2 AS mark2", "'y' AS id2", "3 AS `group`", "4 AS n_words",
+                          "'z' AS lang_pred", "5 AS mix_kept", "6 AS size", "7 AS shard")
+    plain, with_more = stage(spark, docs, root), stage(spark, odd, root)
+    assert with_more.columns == plain.columns
+    assert sorted(map(str, with_more.collect())) == sorted(map(str, plain.collect()))
