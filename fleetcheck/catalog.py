@@ -14,7 +14,7 @@ from fleetgauge.sources import tables
 from fleetcheck.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
                                        SOURCE_TABLES, Fleet)
 from fleetgauge.sources.messages import without_resends
-from fleetgauge.streaming import ingest, live, snapshots
+from fleetgauge.streaming import ingest, live, partials, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOOKBACK_HOURS = 168
@@ -190,6 +190,22 @@ def _stream_hourly(f: Fleet) -> DataFrame:
     return snapshots.current(f.spark, f"{root}/out", ["hour"])
 
 
+def _stored_partials(f: Fleet) -> DataFrame:
+    """Partials of the readings in four batches, each with readings of every day of the month,
+    so that all but the first come late; two bases are merged on the way."""
+    path = f"{shared_dir(f.spark, 'partials')}/hourly"
+    for batch in range(4):
+        partials.add(f.readings.filter(F.col("reading_id") % 4 == batch), path, batch, compact_every=2)
+    return partials.stored(f.spark, path)
+
+
+def _stream_hourly_partials(f: Fleet) -> DataFrame:
+    root = shared_dir(f.spark, "hourly-partials")
+    partials.start(f.reading_stream(), f"{root}/out", f"{root}/checkpoint",
+                   availableNow=True).awaitTermination()
+    return timeline.hourly_fill_of_partials(partials.stored(f.spark, f"{root}/out"))
+
+
 def _row_counts(f: Fleet) -> DataFrame:
     return tables.row_counts({name: f.source(name) for name in SOURCE_TABLES})
 
@@ -235,6 +251,10 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     # Timelines, weights, collections
     "hourly_fill_timeline": lambda f: timeline.fill_timeline(
         f.readings, READINGS_AS_OF, LOOKBACK_HOURS),
+    "hourly_fill_of_partials": lambda f: timeline.fill_timeline_of_partials(
+        _stored_partials(f), f.readings, READINGS_AS_OF, LOOKBACK_HOURS),
+    "daily_weight_of_partials": lambda f: weights.daily_weight_of_partials(
+        f.bins, _stored_partials(f), f.readings, READINGS_AS_OF),
     "hourly_alerts_by_severity": lambda f: timeline.alert_timeline(
         f.alerts, ALERTS_AS_OF, LOOKBACK_HOURS),
     "daily_weight": _daily,
@@ -308,6 +328,7 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     "stream_alerts_reopened": _stream_alerts_reopened,
     "stream_latest": _stream_latest,
     "stream_hourly": _stream_hourly,
+    "stream_hourly_partials": _stream_hourly_partials,
     "stream_status": lambda f: status.status_view(f.bins, _stream_latest(f), f.alerts),
     "stream_without_resends": _stream_without_resends,
 }

@@ -362,10 +362,13 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN waste_bins b ON b.bin_id = s.bin_id"""),
         "hourly_fill_timeline": _with("sensor_readings",
             f"{hourly} r WHERE {lookback} GROUP BY 1"),
+        "hourly_fill_of_partials": _with("sensor_readings",
+            f"{hourly} r WHERE {lookback} GROUP BY 1"),
         "hourly_alerts_by_severity": _with("alerts", f"""SELECT date_trunc('hour', triggered_at) AS hour, severity,
             count(*) AS alert_count FROM alerts
             WHERE triggered_at >= TIMESTAMP '{ALERTS_AS_OF}' - INTERVAL 168 HOUR GROUP BY 1, 2"""),
         "daily_weight": _with("waste_bins sensor_readings", _DAILY, "SELECT * FROM daily"),
+        "daily_weight_of_partials": _with("waste_bins sensor_readings", _DAILY, "SELECT * FROM daily"),
         "daily_weight_total": _with("waste_bins sensor_readings", _DAILY,
             "SELECT CAST(sum(total_weight_today) AS DECIMAL(38,2)) AS total_weight_today FROM daily"),
         "weighing_history": _with("sensor_readings", _RANKED, f"""SELECT bin_id, reading_id, rank, timestamp, weight_kg,
@@ -542,6 +545,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_latest": _with("sensor_readings", _RANKED, """SELECT bin_id, fill_level, weight_kg, temperature_c,
             battery_level, signal_strength, timestamp AS last_reading FROM ranked WHERE rank = 1"""),
         "stream_hourly": _with("sensor_readings", f"{hourly} GROUP BY 1"),
+        "stream_hourly_partials": _with("sensor_readings", f"{hourly} GROUP BY 1"),
         "stream_status": _with(_STATUS_VIEWS, _STATUS, "SELECT * FROM status"),
         "stream_without_resends": _with("messages", "SELECT DISTINCT arrival_seq, arrival_ts, topic FROM messages"),
     }

@@ -23,6 +23,11 @@ def ntz(value: str | datetime | Column) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
+def moment(as_of: str | datetime) -> datetime:
+    """The naive time of a literal."""
+    return as_of if isinstance(as_of, datetime) else datetime.fromisoformat(as_of)
+
+
 def hours_before(as_of, hours: int) -> Column:
     return ntz(as_of) - F.expr(f"INTERVAL '{int(hours)}' HOUR")
 

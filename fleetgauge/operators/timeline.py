@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.levels import fill_band
 from fleetgauge.functions.measures import mean
 from fleetgauge.functions.times import (DEFAULT_LOOKBACK_HOURS, check_lookback, hours_before,
-                                        in_range)
+                                        in_range, moment)
+from fleetgauge.streaming.partials import since
 
 
 def by_hour(df: DataFrame, column: str, *keys: str):
@@ -28,6 +31,22 @@ def fill_timeline(readings: DataFrame, as_of, hours: int = DEFAULT_LOOKBACK_HOUR
     return hourly_fill(recent).orderBy("hour")
 
 
+def hourly_fill_of_partials(partials: DataFrame) -> DataFrame:
+    """The timeline of ``hourly_fill`` from hourly partial sums."""
+    sums = partials.groupBy("hour").agg(
+        F.sum("fill_sum").alias("_sum"), F.sum("fill_count").alias("_count"),
+        F.sum("reading_count").alias("reading_count"))
+    average = F.round(F.try_divide(F.col("_sum").cast("double"), F.col("_count")), 6)
+    return sums.select("hour", average.alias("avg_fill_level"), "reading_count")
+
+
+def fill_timeline_of_partials(partials: DataFrame, readings: DataFrame, as_of,
+                              hours: int = DEFAULT_LOOKBACK_HOURS) -> DataFrame:
+    """``fill_timeline`` from stored partials; of the readings only the cut hour is read."""
+    lower = moment(as_of) - timedelta(hours=check_lookback(hours))
+    return hourly_fill_of_partials(since(partials, readings, lower)).orderBy("hour")
+
+
 def alert_timeline(alerts: DataFrame, as_of, hours: int = DEFAULT_LOOKBACK_HOURS) -> DataFrame:
     """Alerts per hour and severity."""
     recent = in_range(alerts, hours_before(as_of, check_lookback(hours)),

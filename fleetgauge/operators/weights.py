@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetgauge.functions.labels import KILOGRAMS, fixed_text
 from fleetgauge.functions.measures import total
-from fleetgauge.functions.times import hours_before, in_range
+from fleetgauge.functions.times import hours_before, in_range, moment
 from fleetgauge.operators.status import recent_readings
+from fleetgauge.streaming.partials import since
 
 
 def weighings(readings: DataFrame) -> DataFrame:
@@ -21,10 +24,23 @@ def daily_weight(bins: DataFrame, readings: DataFrame, as_of) -> DataFrame:
     Bins without a weighing stay, with zero.
     """
     recent = weighings(in_range(readings, hours_before(as_of, 24)))
-    per_bin = recent.groupBy("bin_id").agg(
+    return _of_active_bins(bins, recent.groupBy("bin_id").agg(
         total("weight_kg").alias("total_weight_today"),
         F.count("reading_id").alias("reading_count_today"),
-        F.max("timestamp").alias("last_reading_today"))
+        F.max("timestamp").alias("last_reading_today")))
+
+
+def daily_weight_of_partials(bins: DataFrame, partials: DataFrame, readings: DataFrame,
+                             as_of) -> DataFrame:
+    """``daily_weight`` from stored hourly partials; of the readings only the cut hour is read."""
+    recent = since(partials, readings, moment(as_of) - timedelta(hours=24))
+    return _of_active_bins(bins, recent.groupBy("bin_id").agg(
+        F.sum("weight_sum").alias("total_weight_today"),
+        F.sum("weighing_count").alias("reading_count_today"),
+        F.max("last_weighing").alias("last_reading_today")))
+
+
+def _of_active_bins(bins: DataFrame, per_bin: DataFrame) -> DataFrame:
     return (bins.filter(F.col("status") == "active").select("bin_id", "bin_code", "location")
             .join(per_bin, "bin_id", "left")
             .withColumn("total_weight_today",

@@ -19,7 +19,7 @@ from fleetgauge.operators.resolve import (accepted_readings, classify_messages,
                                           rejected_messages)
 from fleetgauge.sources.schemas import SENSOR_READINGS
 from fleetgauge.sources.tables import write_batch, write_readings
-from fleetgauge.streaming import snapshots
+from fleetgauge.streaming import partials, snapshots
 
 Registry = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 
@@ -83,7 +83,7 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
                  alerts_so_far: Callable[[SparkSession, int], DataFrame] | None = None,
                  status_changes: Callable[[SparkSession, int], DataFrame] | None = None,
                  rules: AlertRules = AlertRules(), alert_bin: str = "payload",
-                 **trigger) -> StreamingQuery:
+                 hourly_partials: bool = False, **trigger) -> StreamingQuery:
     """Start the ingest stream; folders ``readings``, ``rejected`` and ``alerts`` under ``root``.
 
     ``registry`` is called per micro-batch, so a device registered a moment ago is known
@@ -99,6 +99,9 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
     change names its alert, so one that comes late closes no later alert. A caller with an
     alert table of its own passes ``alerts_so_far`` instead.
 
+    With ``hourly_partials`` the partial sums of each batch's readings go to ``partials``, from
+    which timelines and daily weights come without a scan of the readings.
+
     Each batch replaces its own folders and reads only alerts of earlier batches, so a
     batch that runs again after a failure gives the same rows once.
     """
@@ -134,6 +137,9 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
                 earlier = earlier.withColumn("status", F.lit("open"))
             out = _results(classified, earlier, rules, alert_bin)
             write_readings(out.accepted, f"{root}/readings", batch_id)
+            if hourly_partials:
+                own = session.read.schema(SENSOR_READINGS).parquet(f"{root}/readings/batch_id={batch_id}")
+                partials.add(own, f"{root}/partials", batch_id)
             write_batch(out.rejected, f"{root}/rejected", batch_id)
             write_batch(out.alerts, alerts_path, batch_id)
             if not alerts_so_far:

@@ -35,7 +35,8 @@ def write_once(frame: DataFrame, path: str) -> None:
         frame.write.mode("overwrite").parquet(path)
 
 
-def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+def numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The batches whose folder of this kind is complete, in order."""
     folder, files = _files(spark, path)
     if not files.exists(folder):
         return []
@@ -75,11 +76,11 @@ def current(spark: SparkSession, path: str, keys: list[str], upto: int | None =
 
 
 def _as_of(spark: SparkSession, path: str, keys: list[str], reach: float, base_reach: float) -> DataFrame:
-    bases = [n for n in _numbers(spark, path, "base") if n <= base_reach]
+    bases = [n for n in numbers(spark, path, "base") if n <= base_reach]
     if not bases:
         raise FileNotFoundError(f"no complete base in {path}")
     base = bases[-1]
-    deltas = [n for n in _numbers(spark, path, "delta") if base < n <= reach]
+    deltas = [n for n in numbers(spark, path, "delta") if base < n <= reach]
     before = spark.read.parquet(f"{path}/base={base}")
     if not deltas:
         return before
@@ -99,12 +100,12 @@ def _as_of(spark: SparkSession, path: str, keys: list[str], reach: float, base_r
 def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
     """Delete what is older than the ``keep`` newest bases. For the owner to call, at a time
     when no reader can still be at work on them."""
-    bases = _numbers(spark, path, "base")
+    bases = numbers(spark, path, "base")
     if len(bases) <= keep:
         return
     oldest = bases[-keep]
     gone = [f"base={n}" for n in bases if n < oldest] + [
-        f"delta={n}" for n in _numbers(spark, path, "delta") if n <= oldest]
+        f"delta={n}" for n in numbers(spark, path, "delta") if n <= oldest]
     for name in gone:
         folder, files = _files(spark, f"{path}/{name}")
         files.delete(folder, True)
