@@ -10,7 +10,7 @@ from fleetgauge.operators import (alerts, collections, compliance, devices, expo
                                   readings, registry, resolve, routes, status, timeline, weights)
 from fleetgauge.plans.keyed import stacked
 from fleetgauge.session import shared_dir
-from fleetgauge.sources import tables
+from fleetgauge.sources import tables, versions
 from fleetcheck.domain import (ALERTS_AS_OF, COLLECTIONS_AS_OF, READINGS_AS_OF,
                                        SOURCE_TABLES, Fleet)
 from fleetgauge.sources.messages import without_resends
@@ -18,6 +18,8 @@ from fleetgauge.streaming import ingest, live, partials, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOOKBACK_HOURS = 168
+# Since when the devices of the test tables are registered.
+FIRST_STATE = "2023-01-01 00:00:00"
 # Collections of the test tables can share an id; these settle their order.
 COLLECTION_TIES = ("collection_id", "tie_part", "tie_price")
 # A bin with readings in every size of the test tables.
@@ -63,6 +65,27 @@ def _register(f: Fleet):
     return registry.register_devices(f.device_items, f.sensors, f.bins, READINGS_AS_OF)
 
 
+def _published(f: Fleet) -> str:
+    """The registration batch published over version 0 of the sensors. Another writer comes
+    first, with an unchanged copy, so the batch is made a second time and is version 2."""
+    path = shared_dir(f.spark, "sensors")
+    versions.create(f.sensors, path, "sensor_id", FIRST_STATE)
+
+    def make(sensors: DataFrame) -> registry.RegistryChange:
+        if versions.versions(f.spark, path) == [0]:
+            versions.publish({"rows": sensors, "states": registry.registry_states(
+                sensors, sensors, "sensor_id", FIRST_STATE)}, path, 0)
+        return registry.register_devices(f.device_items, sensors, f.bins, READINGS_AS_OF)
+
+    versions.change(f.spark, path, "sensor_id", READINGS_AS_OF, make)
+    return path
+
+
+def _registry_history(f: Fleet) -> DataFrame:
+    states = versions.history(f.spark, _published(f))
+    return states.select("sensor_id", "sensor_code", "mac_address", "bin_id", "weight_offset", "removed", "valid_from")
+
+
 def _update(f: Fleet):
     return registry.update_devices(f.device_updates, f.sensors, f.bins, READINGS_AS_OF)
 
@@ -303,6 +326,8 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     "register_devices": lambda f: _register(f).results,
     "register_errors": lambda f: _register(f).errors,
     "register_snapshot": lambda f: _register(f).snapshot,
+    "register_published": lambda f: versions.read(f.spark, _published(f), 2),
+    "registry_history": _registry_history,
     "update_devices": lambda f: _outcomes(_update(f)),
     "update_snapshot": lambda f: _update(f).snapshot,
     "delete_devices": lambda f: _delete(f).results.unionByName(

@@ -313,7 +313,7 @@ def oracle_sql() -> dict[str, str]:
     listed = """SELECT a.alert_id, a.bin_id, a.alert_type, a.severity, a.message, a.status, a.triggered_at,
       b.bin_code, b.location FROM alerts a LEFT JOIN waste_bins b ON b.bin_id = a.bin_id
       WHERE a.status = 'open' ORDER BY a.triggered_at DESC, a.alert_id DESC LIMIT 100"""
-    return {
+    twins = {
         "bin_current_status": _with(_STATUS_VIEWS, _STATUS, "SELECT * FROM status"),
         "active_bins": _with(_STATUS_VIEWS, _STATUS, "SELECT * FROM status WHERE bin_status = 'active'"),
         "active_bins_of_status": _with(_STATUS_VIEWS, _STATUS, """SELECT asked, bin_id, bin_status, fill_status
@@ -549,3 +549,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_status": _with(_STATUS_VIEWS, _STATUS, "SELECT * FROM status"),
         "stream_without_resends": _with("messages", "SELECT DISTINCT arrival_seq, arrival_ts, topic FROM messages"),
     }
+    # What is published is the batch's snapshot; its history has the devices of the first version
+    # and those that the batch made or changed.
+    twins["register_published"] = twins["register_snapshot"]
+    shape = "sensor_id, sensor_code, mac_address, bin_id, weight_offset, false AS removed"
+    twins["registry_history"] = f"""WITH older AS ({domain.SENSORS.format(**_PLAIN)}), newer AS ({twins["register_snapshot"]})
+        SELECT {shape}, TIMESTAMP '2023-01-01 00:00:00' AS valid_from FROM older
+        UNION ALL SELECT {shape}, {_NOW} FROM newer WHERE updated_at IS NOT NULL"""
+    return twins

@@ -12,21 +12,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from fleetgauge.sources.files import Files
+
 #: Batches between two bases.
 COMPACT_EVERY = 20
 #: True in a delta where a key's row is gone.
 GONE = "_gone"
 
 
-def _files(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to the folder was committed."""
-    folder, files = _files(spark, f"{path}/_SUCCESS")
-    return files.exists(folder)
+    return Files(spark).exists(f"{path}/_SUCCESS")
 
 
 def write_once(frame: DataFrame, path: str) -> None:
@@ -37,10 +33,7 @@ def write_once(frame: DataFrame, path: str) -> None:
 
 def numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     """The batches whose folder of this kind is complete, in order."""
-    folder, files = _files(spark, path)
-    if not files.exists(folder):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    names = Files(spark).names(path)
     found = [int(name.partition("=")[2]) for name in names if name.startswith(f"{kind}=")]
     return sorted(n for n in found if is_complete(spark, f"{path}/{kind}={n}"))
 
@@ -107,5 +100,4 @@ def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
     gone = [f"base={n}" for n in bases if n < oldest] + [
         f"delta={n}" for n in numbers(spark, path, "delta") if n <= oldest]
     for name in gone:
-        folder, files = _files(spark, f"{path}/{name}")
-        files.delete(folder, True)
+        Files(spark).delete(f"{path}/{name}")
