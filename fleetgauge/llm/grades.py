@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import scan
-from fleetgauge.llm.tables import written
+from fleetgauge.llm.tables import small, written
 
 #: Hashed features, and the most graded rows that the fit takes (chosen by a hash of the id).
 FEATURES = 1 << 16
@@ -48,8 +48,9 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 def sample(graded: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` graded rows (id, grade), chosen by a hash of the id."""
-    fit = graded.filter(F.col("grade").isNotNull() & F.col("id").isNotNull())
+    """About ``rows`` different graded rows (id, grade), chosen by a hash of the id. Rows that
+    repeat both id and grade are one, so an id gives at most as many rows as it has grades."""
+    fit = graded.filter(F.col("grade").isNotNull() & F.col("id").isNotNull()).select("id", "grade").distinct()
     whole = fit.count()
     draw = F.pmod(F.xxhash64("id", F.lit("grade")), F.lit(1_000_000)) / 1e6
     return fit.filter(draw < min(1.0, rows / max(whole, 1)))
@@ -100,8 +101,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS):
 def learn(docs: DataFrame, graded: DataFrame, rows: int = SAMPLE_ROWS):
     """The model of a sample of graded documents; None without two grades.
 
-    ``docs`` has id and text, ``graded`` id and grade. At most about ``rows`` rows of
-    feature numbers come to the driver. An id with several grades or texts counts with each.
+    ``docs`` has id and text, ``graded`` id and grade. An id with several grades or texts counts
+    with each, rows that repeat all three once. At most twice ``rows`` rows of feature numbers
+    come to the driver; where ids with very many texts would give more, those of the least hash.
+    Long texts are read whole; without grades or documents there is no model.
     """
     chosen = written(sample(graded, rows), "graded")
 
@@ -112,14 +115,16 @@ def learn(docs: DataFrame, graded: DataFrame, rows: int = SAMPLE_ROWS):
                 text, feature = present(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 edges = np.searchsorted(text, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a),
+                    [batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a),
                      pa.array([feature[x:y].astype(np.uint32).tobytes()
                                for x, y in zip(edges[:-1], edges[1:])], pa.binary())],
-                    names=["grade", "features"])
+                    names=["grade", "mark", "features"])
 
-    # The sample's bound is the bound of this side.
-    found = (docs.join(F.broadcast(chosen), "id").select("text", "grade")
-             .mapInArrow(hashed, "grade int, features binary").collect())
+    # The sample is written and counted before it is broadcast; what comes back is cut by mark.
+    found = (docs.select("id", "text").join(small(chosen), "id")
+             .select("text", "grade", F.xxhash64("id", "grade", "text").alias("mark")).dropDuplicates(["mark"])
+             .mapInArrow(hashed, "grade int, mark long, features binary")
+             .orderBy("mark").limit(2 * rows).collect())
     found = sorted(found, key=lambda r: (r.grade, bytes(r.features)))
     grades = np.array([r.grade for r in found], np.int64)
     if len(set(grades.tolist())) < 2:
@@ -133,7 +138,8 @@ def score(docs: DataFrame, model, least: int = 1) -> DataFrame:
     The expected grade runs from 0 to 2. The tail probability is that of a grade of at least
     ``least``, and a row is kept if it is a half or more. Null and empty texts have no
     features and get the thresholds' own chances. Without a model all rows have grade 2 and
-    are kept. Repeated rows are judged alike; no rows give no rows.
+    are kept. Repeated rows are judged alike; no rows give no rows. Very long texts are read
+    whole, and a tail probability of exactly a half is kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -356,3 +356,63 @@ def test_url_entropy(spark):
     frame = spark.createDataFrame([("aabb",), ("aaaa",), ("",), ("abcd",)], "u string")
     from pyspark.sql import functions as F
     assert [r.e for r in frame.select(urls.entropy(F.col("u")).alias("e")).collect()] == pytest.approx([1, 0, 0, 2])
+
+
+def test_grade_sample_is_bounded_by_rows(spark):
+    hot = spark.range(300_000).selectExpr("7 AS id", "CAST(id % 2 AS int) AS grade")
+    many = hot.union(spark.range(100, 4100).selectExpr("CAST(id AS int) AS id", "CAST(id % 3 AS int) AS grade"))
+    assert grades.sample(many, 1000).count() <= 1200
+    docs = spark.range(60_000).selectExpr("CAST(IF(id % 2 = 0, 7, 100 + id % 4000) AS int) AS id",
+                                          "concat('word', CAST(id % 40000 AS string), ' of ', CAST(id % 3 AS string)) AS text")
+    taken = []
+    real = grades.fit
+    try:
+        grades.fit = lambda rows, found, *a: taken.append(len(rows)) or real(rows, found, 5)
+        assert grades.learn(docs, many, 1000) is not None
+    finally:
+        grades.fit = real
+    assert 200 < taken[0] <= 2000
+
+
+def test_grade_scores_equal_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    model = (rng.normal(0, 0.4, grades.FEATURES), np.array([-0.5, 1.25]))
+    rows = cases.documents(2, very_long=4000)
+    docs = spark.createDataFrame([(i, t) for i, (_, t, *_rest) in enumerate(rows)], "id int, text string").repartition(3)
+    got = {r.id: r for r in grades.score(docs, model).collect()}
+    assert len(got) == len(rows)
+    for i, (_, text, *_rest) in enumerate(rows):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        features = set(grades.present(raw, np.array([0, len(raw)]))[1].tolist())
+        total = math.fsum(model[0][f] for f in features)
+        tails = [1 / (1 + math.exp(-(total - t))) if abs(total - t) < 30 else float(total > t) for t in model[1]]
+        assert got[i].expected_grade == pytest.approx(sum(tails), abs=1e-9)
+        assert got[i].tail_probability == pytest.approx(tails[0], abs=1e-9) and got[i].kept == (tails[0] >= 0.5)
+
+
+def test_grade_fit_is_a_maximum_of_the_plain_likelihood():
+    rng = np.random.default_rng(8)
+    found = rng.integers(0, 3, 400)
+    rows = [np.unique(np.concatenate([rng.integers(0, 40, 6), [100 + g] if rng.random() < .7 else []])).astype(np.int64)
+            for g in found]
+    weights, thresholds = grades.fit(rows, found, 1500)
+    share = [1 / (3 * (found == g).sum()) for g in range(3)]
+
+    def loss(weights, thresholds):
+        out = 0.0
+        for row, g in zip(rows, found):
+            total = sum(weights[f] for f in row)
+            tail = [1.0, *(1 / (1 + math.exp(-(total - t))) for t in thresholds), 0.0]
+            out -= share[g] * math.log(max(tail[g] - tail[g + 1], 1e-12))
+        return out + grades.SPARSE * float(np.abs(weights).sum())
+
+    best = loss(weights, thresholds)
+    assert thresholds[0] < thresholds[1] and best < loss(weights * 0, thresholds) - 0.1
+    for f in [*range(0, 40, 4), 100, 101, 102]:
+        for step in (-0.05, 0.05):
+            near = weights.copy()
+            near[f] += step
+            assert loss(near, thresholds) > best - 1e-4
+    for step in (-0.05, 0.05):
+        assert loss(weights, thresholds + [step, 0]) > best - 1e-4
+        assert loss(weights, thresholds + [0, step]) > best - 1e-4
