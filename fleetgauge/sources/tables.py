@@ -28,21 +28,34 @@ def with_defaults(df: DataFrame, name: str, now: Column) -> DataFrame:
     return df.select(*columns)
 
 
-def write_readings(readings: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append readings, in folders by date.
+#: Row groups of readings hold about so many bytes and pages so many rows, so that few of
+#: either lie in the range of one bin. A large date has many; a small one costs no more.
+ROW_GROUP_BYTES = 16 << 20
+PAGE_ROWS = 4096
+
+
+def write_readings(readings: DataFrame, path: str, batch_id: int | None = None,
+                   row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> None:
+    """Append readings, in folders by date, laid out for one bin as well as for a time.
 
     Rows are rebalanced on the date, and a date too large for one file is split
-    again at run time, so a busy day does not become one task. With ``batch_id`` the
-    date folders lie in a folder of the batch, and writing the batch again replaces that
-    folder: a replay after a lost driver leaves no duplicates. Reading such folders and
-    appending them without ``batch_id`` compacts them.
+    again at run time, so a busy day does not become one task. Inside a file rows lie by bin
+    and time: the statistics of row groups and pages leave a reader of one bin those of its
+    range, and a Bloom filter per row group those that hold the bin at all.
+
+    With ``batch_id`` the date folders lie in a folder of the batch, and writing the batch
+    again replaces that folder: a replay after a lost driver leaves no duplicates. Reading such
+    folders and appending them without ``batch_id`` compacts them.
     """
     out = (readings.withColumn(DATE_COLUMN, F.col("timestamp").cast("date"))
-           .hint("rebalance", DATE_COLUMN).sortWithinPartitions(DATE_COLUMN, "bin_id"))
+           .hint("rebalance", DATE_COLUMN).sortWithinPartitions(DATE_COLUMN, "bin_id", "timestamp"))
+    writer = out.write.partitionBy(DATE_COLUMN).options(**{
+        "parquet.block.size": str(row_group_bytes), "parquet.page.row.count.limit": str(page_rows),
+        "parquet.bloom.filter.enabled#bin_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
     if batch_id is None:
-        out.write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
+        writer.mode("append").parquet(path)
     else:
-        out.write.mode("overwrite").partitionBy(DATE_COLUMN).parquet(f"{path}/batch_id={batch_id}")
+        writer.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
