@@ -137,6 +137,13 @@ def _report_named(f: Fleet) -> DataFrame:
     return found.groupBy(folder.alias("report")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _report_lines(f: Fleet) -> DataFrame:
+    """The written lines, read as text; a reader of text drops the byte-order mark."""
+    path = shared_dir(f.spark, "report-lines")
+    export.write_report_lines(_export(f), path)
+    return f.spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
+
+
 def _status_json(f: Fleet) -> DataFrame:
     """JSON rows with times of both kinds, timestamps and texts, carrying the zone."""
     path = shared_dir(f.spark, "json")
@@ -319,6 +326,7 @@ _BUILDERS: dict[str, Callable[[Fleet], DataFrame]] = {
     "export_long": lambda f: export.export_report(f.readings, f.bins, *LONG_EXPORT),
     "export_csv": _export_csv,
     "report_csv_named": _report_named,
+    "report_lines": _report_lines,
     "status_json": _status_json,
     "readings_zoned": lambda f: export.zoned_rows(f.readings.select("reading_id", "timestamp")),
     # Registry

@@ -212,6 +212,16 @@ _EXPORT = """export AS (
   FROM sensor_readings r LEFT JOIN waste_bins b ON b.bin_id = r.bin_id
   WHERE r.timestamp BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-30 23:59:00')"""
 
+
+
+def _quoted(column: str) -> str:
+    return f"coalesce(CASE WHEN {column} LIKE '%,%' THEN '\"' || {column} || '\"' ELSE {column} END, '')"
+
+
+def _number(column: str) -> str:
+    return f"coalesce(rtrim(rtrim(CAST({column} AS VARCHAR), '0'), '.'), '')"
+
+
 # Registration: good items, what becomes of each MAC, and the codes of new devices. A
 # device whose base code is taken gets its suffixed code unless that is taken as well.
 _REGISTER = r"""asked AS (
@@ -453,6 +463,12 @@ def oracle_sql() -> dict[str, str]:
             replace(CAST(last_reading AS VARCHAR), ' ', 'T') || '+07:00' AS updated_at FROM status"""),
         "export_csv": _with("sensor_readings waste_bins", _EXPORT,
             "SELECT * EXCLUDE (reading_id) FROM export"),
+        "report_lines": _with("sensor_readings waste_bins", _EXPORT, f"""SELECT '{",".join(labels.EXPORT_HEADERS.values())}' AS line
+            UNION ALL SELECT strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN ''
+              ELSE '.' || lpad(CAST(microsecond(timestamp) % 1000000 AS VARCHAR), 6, '0') END || '+07:00' || ',' ||
+              {" || ',' || ".join([_quoted('bin_code'), _quoted('department'), _number('weight_kg'), _number('battery_level'),
+                                   "coalesce(CAST(signal_strength AS VARCHAR), '')", _number('temperature_c')])}
+            FROM export"""),
         "readings_zoned": _with("sensor_readings", """SELECT reading_id,
             strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN ''
               ELSE '.' || lpad(CAST(microsecond(timestamp) % 1000000 AS VARCHAR), 6, '0') END || '+07:00' AS timestamp

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetgauge.functions.labels import EXPORT_HEADERS, place_name
 from fleetgauge.functions.times import in_range, ntz, zoned_string, zoned_text
@@ -69,6 +69,47 @@ def write_csv(report: DataFrame, path: str) -> None:
      .csv(path))
 
 
+# What a report file begins with, and the zone that its times carry.
+BYTE_ORDER_MARK = "\ufeff"
+REPORT_ZONE = "+07:00"
+
+
+def _field(name: str, kind: str, offset: str) -> Column:
+    """A value as report lines print it: numbers without closing zeros, NULL as nothing, a text in
+    quotes if it holds a comma, and whatever else it holds as it is."""
+    value = F.col(name)
+    if kind.startswith("timestamp"):
+        text = zoned_text(value, offset)
+    elif kind.startswith("decimal"):
+        text = F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1")
+        text = F.rtrim(text, F.lit("."))
+    elif kind == "string":
+        text = F.when(F.contains(value, F.lit(",")), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit(""))
+
+
+def report_lines(report: DataFrame, offset: str = REPORT_ZONE) -> DataFrame:
+    """The lines of a report file in order, the header with its byte-order mark first, then
+    the newest reading: (line, first, timestamp, reading_id)."""
+    kinds = dict(report.dtypes)
+    line = F.concat_ws(",", *[_field(c, kinds[c], offset) for c in EXPORT_COLUMNS])
+    lines = report.select(line.alias("line"), F.lit(False).alias("first"), "timestamp", "reading_id")
+    header = report.sparkSession.range(1).select(
+        F.lit(BYTE_ORDER_MARK + ",".join(EXPORT_HEADERS[c] for c in EXPORT_COLUMNS)).alias("line"),
+        F.lit(True).alias("first"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+        F.lit(None).cast("long").alias("reading_id"))
+    return header.unionByName(lines).orderBy(F.desc("first"), F.desc("timestamp"), F.desc("reading_id"))
+
+
+def write_report_lines(report: DataFrame, path: str, offset: str = REPORT_ZONE) -> None:
+    """A folder of text parts that one after another are the report file. Every line ends with
+    a line feed, the last one too."""
+    report_lines(report, offset).select("line").write.mode("errorifexists").option(
+        "lineSep", "\n").text(path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A written report back as typed columns under their plain names."""
     return (spark.read.schema(REPORT_SCHEMA).option("header", True).option("escape", '"')
