@@ -34,12 +34,23 @@ def _repeated(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
 MOST_IDS_PER_ROW = 64
 
 
-def repeated_ids(df: DataFrame, column: str) -> DataFrame:
-    """Repeated values of an id: by bitmaps where the ids lie close together, which their
-    least, greatest and number tell, else by counting each. The rows are the same."""
+def _extent(df: DataFrame, column: str) -> DataFrame:
+    """One row: how far the ids reach, and how many there are."""
     value = F.col(column).cast("decimal(20,0)")
-    seen = df.agg((F.max(value) - F.min(value) + 1).alias("span"), F.count(column).alias("rows")).first()
-    if seen.rows and seen.span <= MOST_IDS_PER_ROW * seen.rows:
+    return df.agg((F.max(value) - F.min(value) + 1).alias("span"), F.count(column).alias("rows"))
+
+
+def _is_dense(extent) -> bool:
+    return bool(extent.rows) and extent.span <= MOST_IDS_PER_ROW * extent.rows
+
+
+def repeated_ids(df: DataFrame, column: str, dense: bool | None = None) -> DataFrame:
+    """Repeated values of an id: by bitmaps where the ids lie close together, which their
+    least, greatest and number tell unless the caller does, else by counting each. The rows
+    are the same."""
+    if dense is None:
+        dense = _is_dense(_extent(df, column).first())
+    if dense:
         return repeated_dense_ids(df, column)
     return _repeated(df.dropna(subset=[column]), (column,))
 
@@ -64,20 +75,27 @@ def repeated_dense_ids(df: DataFrame, column: str) -> DataFrame:
 
 
 def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """Keys that occur more than once; NULL keys do not collide."""
+    """Keys that occur more than once; NULL keys do not collide.
+
+    The extents of all id columns are taken in one job, side by side, and decide how each
+    is counted.
+    """
+    keys = [(name, key) for name, found in UNIQUE_KEYS.items() if name in tables for key in found]
+    ids = [(name, key[0]) for name, key in keys
+           if len(key) == 1 and dict(tables[name].dtypes)[key[0]] in ("int", "bigint")]
+    extents = stacked([_extent(tables[name], column).withColumn("at", F.lit(at))
+                       for at, (name, column) in enumerate(ids)]).collect() if ids else []
+    dense = {ids[r["at"]]: _is_dense(r) for r in extents}
     parts = []
-    for name, keys in UNIQUE_KEYS.items():
-        for key in keys:
-            if name not in tables:
-                continue
-            text = F.concat_ws(",", *[F.col(c).cast("string") for c in key])
-            if len(key) == 1 and dict(tables[name].dtypes)[key[0]] in ("int", "bigint"):
-                found = repeated_ids(tables[name], key[0])
-            else:
-                found = _repeated(tables[name].dropna(subset=list(key), how="any"), key)
-            parts.append(found.select(F.lit(name).alias("table_name"),
-                                      F.lit(",".join(key)).alias("key_columns"),
-                                      text.alias("key_value"), "occurrences"))
+    for name, key in keys:
+        text = F.concat_ws(",", *[F.col(c).cast("string") for c in key])
+        if (name, key[0]) in dense and len(key) == 1:
+            found = repeated_ids(tables[name], key[0], dense[name, key[0]])
+        else:
+            found = _repeated(tables[name].dropna(subset=list(key), how="any"), key)
+        parts.append(found.select(F.lit(name).alias("table_name"),
+                                  F.lit(",".join(key)).alias("key_columns"),
+                                  text.alias("key_value"), "occurrences"))
     return stacked(parts)
 
 
