@@ -36,7 +36,7 @@ def text_crc32(text: Column) -> Column:
 
 
 def slot_of(key: Column, crc: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record: four hex digits of an MD5 of its id and text checksum.
+    """The slot of a record: eight hex digits of an MD5 of its id and text checksum.
 
     A null id counts as an empty one, so records without an id are spread by text.
     """
@@ -45,9 +45,11 @@ def slot_of(key: Column, crc: Column, slots: int = SLOTS) -> Column:
     return F.pmod(digits.cast("long"), F.lit(slots)).cast("int")
 
 
-def slot_bytes(records: DataFrame) -> DataFrame:
-    """Bytes and rows of each slot: (slot, bytes, rows)."""
-    return records.groupBy("slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Bytes and rows of every slot, also of those without records: (slot, bytes, rows)."""
+    sums = records.groupBy("slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    every = records.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+    return every.join(sums, "slot", "left").fillna(0, ["bytes", "rows"])
 
 
 def _dealt(loads: str, shards: int) -> Column:
@@ -69,6 +71,12 @@ def initial_map(sums: DataFrame, shards: int) -> DataFrame:
     One row of at most ``slots`` entries is handled at once; no record is in it. Slots
     without records are dealt by their number, so that every slot has a shard.
     """
+    empty = sums.filter("bytes = 0").select(
+        "slot", F.pmod("slot", F.lit(shards)).alias("shard"), F.col("bytes").cast("long").alias("bytes"))
+    return _heavy_map(sums.filter("bytes > 0"), shards).unionByName(empty)
+
+
+def _heavy_map(sums: DataFrame, shards: int) -> DataFrame:
     loads = f"array_repeat(0L, {shards})"
     heavy = F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("low"), "slot")))
     return (sums.agg(heavy.alias("sorted"))
@@ -84,8 +92,9 @@ def initial_map(sums: DataFrame, shards: int) -> DataFrame:
 def grown_map(current: DataFrame, shards: int) -> DataFrame:
     """The map with one more shard, number ``shards``: slots move only into it.
 
-    From every old shard the smallest slots go while their bytes, summed up, are at most
-    the share that the shard has to give.
+    From every old shard the smallest slots with records go while their bytes, summed up, are
+    at most the share that the shard has to give; of slots without records, those whose
+    number's hash falls to the new shard.
     """
     give = (current.groupBy("shard").agg(F.sum("bytes").alias("load"))
             .select("shard", (F.col("load") - F.sum("load").over(Window.partitionBy())
@@ -93,7 +102,8 @@ def grown_map(current: DataFrame, shards: int) -> DataFrame:
     order = Window.partitionBy("shard").orderBy("bytes", "slot")
     return (current.join(F.broadcast(give), "shard")
             .withColumn("so_far", F.sum("bytes").over(order))
-            .select("slot", F.when(F.col("so_far") <= F.col("give"), F.lit(shards))
+            .select("slot", F.when(F.when(F.col("bytes") > 0, F.col("so_far") <= F.col("give"))
+                                   .otherwise(F.pmod(F.xxhash64("slot"), F.lit(shards + 1)) == 0), F.lit(shards))
                     .otherwise(F.col("shard")).cast("int").alias("shard"), "bytes"))
 
 
@@ -118,7 +128,7 @@ def shard(docs: DataFrame, shards: int, slots: int = SLOTS, map_root: str | None
                           text_crc32(F.col(text)).alias("text_crc32"))
     records = written(records.withColumn("slot", slot_of(F.col("record_id"), F.col("text_crc32"),
                                                          slots)), "shard-records")
-    sums = slot_bytes(records)
+    sums = slot_bytes(records, slots)
     root = map_root or shared_dir(docs.sparkSession, "slot-map")
     mapping = store_map(initial_map(sums, shards), root, 1)
     # At most ``slots`` rows on this side, whatever the corpus.

@@ -416,3 +416,17 @@ def test_grade_fit_is_a_maximum_of_the_plain_likelihood():
     for step in (-0.05, 0.05):
         assert loss(weights, thresholds + [step, 0]) > best - 1e-4
         assert loss(weights, thresholds + [0, step]) > best - 1e-4
+
+
+@pytest.mark.parametrize("rows", [0, 1, 200])
+def test_every_slot_has_a_shard_at_any_size(spark, tmp_path, rows):
+    docs = cases.frame(spark, [(i, "x" * (i % 50)) for i in range(rows)])
+    root = f"file:{tmp_path}"
+    assert shards.shard(docs, 7, map_root=root).count() == rows
+    mapping = spark.read.parquet(f"{root}/version=1")
+    first = {r.slot: r.shard for r in mapping.collect()}
+    assert sorted(first) == list(range(shards.SLOTS)) and set(first.values()) == set(range(7))
+    grown = {r.slot: r.shard for r in shards.grown_map(mapping, 7).collect()}
+    moved = [s for s in grown if grown[s] != first[s]]
+    assert sorted(grown) == sorted(first) and {grown[s] for s in moved} <= {7}
+    assert shards.SLOTS / 16 < len(moved) < shards.SLOTS / 4
