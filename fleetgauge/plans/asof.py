@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fleetgauge.plans.keyed import rehashed
@@ -16,39 +16,64 @@ def holders_over_time(versions: DataFrame, key: str, holder: str, since: str, re
 
     ``versions`` has a row for each state of a holder, which lasts until its next one. Where
     several hold one value at a time, the lowest holder counts; a row with a null holder says
-    that nobody does from then on. A key's states are swept once in order of time, so the
-    work follows their number even where many holders share a value.
+    that nobody does from then on. States without a time or a holder hold nothing. The states lie
+    by key and time and are swept once, whatever the number of keys or of holders of one value;
+    only the holders of one key at one time are kept.
     """
     after = F.lead(since).over(Window.partitionBy(holder).orderBy(since))
     spans = (versions.select(holder, since, removed, key, *values).withColumn("_until", after)
              .filter(~F.coalesce(F.col(removed), F.lit(False)) & F.col(key).isNotNull()
+                     & F.col(since).isNotNull() & F.col(holder).isNotNull()
                      & (F.col("_until").isNull() | (F.col(since) < F.col("_until"))))
-             .drop(removed))
-    fields = {f.name: f for f in spans.schema.fields}
-    schema = T.StructType([T.StructField(n, fields[n].dataType) for n in (key, since, holder, *values)])
-
-    def sweep(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([since, holder]).reset_index(drop=True)
-        starts, holders = list(own[since]), list(own[holder])
-        ends = [None if pd.isna(t) else t for t in own["_until"]]
-        moments = sorted({*starts, *(t for t in ends if t is not None)})
-        active, first, out, last = [], 0, [], None
-        for now in moments:
-            while first < len(own) and starts[first] <= now:
-                heapq.heappush(active, (holders[first], first))
-                first += 1
-            while active and ends[active[0][1]] is not None and ends[active[0][1]] <= now:
+             .select(key, since, holder, *values, "_until"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in spans.schema.fields[:-1]])
+
+    def sweep(batches):
+        kinds, count = None, 0
+        own, moment, last = None, None, None  # the key, the start being read, who holds the key
+        active, out = [], []  # a heap of (holder, place, until, row); rows to hand on
+
+        def settle(now):
+            """Who holds the key from a moment on, all starts until then being known."""
+            nonlocal last
+            while active and active[0][2] is not None and active[0][2] <= now:
                 heapq.heappop(active)
-            top = active[0][1] if active else None
-            if top != last:
-                out.append((now, top))
+            top = active[0] if active else None
+            if top is not last:
+                out.append((own, now, *(top[3] if top else (None,) * (1 + len(values)))))
                 last = top
-        rows = own.reindex([-1 if top is None else top for _, top in out])[[holder, *values]]
-        rows.insert(0, since, [now for now, _ in out])
-        rows.insert(0, key, own[key].iloc[0])
-        return rows.astype({holder: "Int64"} if own[holder].dtype.kind == "i" else {})
 
-    return spans.groupBy(key).applyInPandas(sweep, schema)
+        def pass_on(before):
+            """The ends of holders before a moment, or all."""
+            if moment is not None:
+                settle(moment)
+            while active and active[0][2] is not None and (before is None or active[0][2] < before):
+                settle(active[0][2])
+
+        def found():
+            rows, out[:] = list(zip(*out)), []
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], schema.names)
+
+        for batch in batches:
+            kinds = batch.schema.types[:-1]
+            for place, row in enumerate(zip(*(c.to_pylist() for c in batch.columns)), count):
+                if row[0] != own:
+                    pass_on(None)
+                    own, moment, last = row[0], row[1], None
+                    active.clear()
+                elif row[1] != moment:
+                    pass_on(row[1])
+                    moment = row[1]
+                heapq.heappush(active, (row[2], place, row[-1], row[2:-1]))
+            count += batch.num_rows
+            if out:
+                yield found()
+        pass_on(None)
+        if out:
+            yield found()
+
+    # In order, many keys pass one task: a group each would cost more than its few states.
+    return spans.repartition(F.col(key)).sortWithinPartitions(key, since, holder).mapInArrow(sweep, schema)
 
 
 def looked_up(frame: DataFrame, history: DataFrame, key: str, time: str, since: str,

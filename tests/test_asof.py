@@ -62,6 +62,27 @@ def test_many_holders_of_one_name_are_swept_once(spark):
     assert len(found) == n + 1 and found[-1].holder is None and found[-2].holder == 0
 
 
+def test_many_names_are_swept_in_one_pass(spark):
+    states = spark.range(20_000).selectExpr(
+        "CAST(id % 10000 AS int) AS holder", "concat('n', id % 10000 DIV 2) AS name", "CAST(id AS int) AS value",
+        "timestampadd(MINUTE, CAST(id DIV 10000 AS int), TIMESTAMP_NTZ '2024-01-01 00:00:00') AS since",
+        "id >= 10000 AND id % 4 = 0 AS gone")
+    history = holders_over_time(states, "name", "holder", "since", "gone", ["value"])
+    assert "FlatMapGroups" not in history._jdf.queryExecution().toString()  # no call for each name
+    found = rows(history, "name", "since", "holder", "value")
+    want = []
+    for n in range(5000):
+        first = 2 * n + (n % 2 == 0)  # of an even name's two holders the lower one goes after a minute
+        want += [(f"n{n}", START, 2 * n, 2 * n), (f"n{n}", minute(1), first, 10_000 + first)]
+    assert found == sorted(want, key=repr)
+
+
+def test_states_without_a_time_or_a_holder_hold_nothing(spark):
+    states = [(None, "x", 1, minute(0), False), (3, "x", 3, None, False), (4, "x", 4, minute(2), False)]
+    history = holders_over_time(spark.createDataFrame(states, STATES), "name", "holder", "since", "gone", ["value"])
+    assert rows(history, "since", "holder", "value") == [(minute(2), 4, 4)]
+
+
 def test_no_states(spark):
     history = holders_over_time(spark.createDataFrame([], STATES), "name", "holder", "since", "gone", ["value"])
     frame = spark.createDataFrame([(1, "a", minute(1))], "i int, name string, at timestamp_ntz")
