@@ -32,6 +32,8 @@ LEAD = b" "
 SPACE_MARK = "▁"
 #: Id pairs that are broadcast with their counts, at most.
 HOT_PAIRS = 1_000_000
+#: Words of each side that a worker remembers, and tokens of them: rare words come back late.
+WORDS, TOKENS = 600_000, 4_000_000
 
 
 def load_pieces(path: str) -> SimpleNamespace:
@@ -97,10 +99,14 @@ class Side:
 
 
 def _covering(side: Side, other: Side) -> np.ndarray:
-    """For each token, the other side's token that covers its start."""
-    left = pd.DataFrame({"doc": side.doc, "at": side.starts})
-    right = pd.DataFrame({"doc": other.doc, "at": other.starts, "token": np.arange(len(other.ids))})
-    return pd.merge_asof(left, right, on="at", by="doc")["token"].to_numpy(np.int64)
+    """For each token, the other side's token that covers its start.
+
+    Documents lie one after another, each with a place of its own behind its bytes, so the
+    place names the document too: the merge needs no second key and never leaves a document.
+    """
+    left = pd.DataFrame({"at": side.starts + side.doc})
+    right = pd.DataFrame({"at": other.starts + other.doc, "token": np.arange(len(other.ids))})
+    return pd.merge_asof(left, right, on="at")["token"].to_numpy(np.int64)
 
 
 def overlaps(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +208,7 @@ def align(docs: DataFrame, byte_bpe: str, pieces: str, key: str = "doc_id",
             for first, last in scan.runs(offsets):
                 found = run(batch.column(2)[first:last].to_pylist(), encoders, lengths, names)
                 for encoder in encoders:
-                    encoder.make_room()
+                    encoder.make_room(WORDS, TOKENS)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[first:last], batch.column(1)[first:last], *found.columns],
                     names=schema.names)

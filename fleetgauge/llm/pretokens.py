@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,10 @@ import regex
 
 # The pattern of this family of tokenizers, and the marks of its files.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The classes of characters in it, which ``spelled_out`` replaces by their members.
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+#: Beyond it the plain engine looks its ranges through one by one.
+PLAIN = 0x10000
 FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
 #: The newest Unicode tables on which the pattern was held against the library's classes.
 CHECKED_UNICODE = "15.1.0"
@@ -42,6 +47,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def spelled_out() -> re.Pattern:
+    """The fixed pattern for the plain engine, which is faster but lacks its classes: each is
+    written as the ranges that the other engine gives it below ``PLAIN``, so that both cut
+    texts of such characters alike."""
+    every = "".join(map(chr, range(PLAIN)))
+    letters, numbers, spaces = ("".join(
+        f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(f"{c}+", every)) for c in CLASSES)
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+"
+                      rf"| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
 def _unassigned() -> bytes:
     """A byte per code point: 1 where Unicode tables may disagree about its class."""
     tables = unicodedata
@@ -115,9 +131,9 @@ class Memory:
         self.starts = np.arange(len(self.ids) + 1)
         self.exact = np.ones(len(self.ids), bool)
 
-    def make_room(self) -> None:
+    def make_room(self, words: int | None = None, tokens: int | None = None) -> None:
         """Between runs: past the bounds, merged words are forgotten."""
-        if len(self.known) - len(self.first) > WORDS or len(self.ids) > TOKENS:
+        if len(self.known) - len(self.first) > (words or WORDS) or len(self.ids) > (tokens or TOKENS):
             self.forget()
 
     def merge(self, new: list[str]) -> list[list[int]]:
@@ -185,6 +201,7 @@ class Words(Memory):
     def __init__(self, shared: SimpleNamespace):
         super().__init__(shared.whole, shared.added, shared.table)
         self.tokenizer, self.pattern = _tokenizer(shared), regex.compile(PATTERN)
+        self.plain = spelled_out()
         self.unassigned = np.frombuffer(zlib.decompress(shared.unassigned), bool)
         self.special = (regex.compile("(" + "|".join(
             map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None)
@@ -198,14 +215,20 @@ class Words(Memory):
         A stretch with characters of no agreed class is one word: the library cuts it.
         """
         for part in self.special.split(text) if self.special else (text,):
+            pattern = self.plain
             if part in self.added:
                 yield [(self.added[part],)]
-            elif not part.isascii() and self.unassigned[
-                    np.frombuffer(part.encode("utf-32-le"), np.uint32)].any():
-                yield [part]
-            elif len(part) <= LONG_TEXT:
-                yield self.pattern.findall(part)
+                continue
+            if not part.isascii():
+                codes = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+                if self.unassigned[codes].any():
+                    yield [part]
+                    continue
+                if codes.max() >= PLAIN:
+                    pattern = self.pattern
+            if len(part) <= LONG_TEXT:
+                yield pattern.findall(part)
             else:
-                found = (m.group() for m in self.pattern.finditer(part))
+                found = (m.group() for m in pattern.finditer(part))
                 while block := list(islice(found, BLOCK_WORDS)):
                     yield block

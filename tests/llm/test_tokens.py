@@ -54,6 +54,25 @@ def test_long_texts_are_counted_in_blocks(monkeypatch):
     assert len(known.known) - len(known.first) <= 50
 
 
+def test_both_engines_cut_alike():
+    slow, plain = regex.compile(pretokens.PATTERN), pretokens.spelled_out()
+    for code in range(pretokens.PLAIN):
+        text = f"a{chr(code)} {chr(code)}1{chr(code)}{chr(code)} "
+        assert slow.findall(text) == plain.findall(text), hex(code)
+    for text in ("it's I'LL we've'd 'mx", " \u00a0\u2003x  \n\n y", "a\x1c\x85b  ", "  "):
+        assert slow.findall(text) == plain.findall(text)
+
+
+def test_memory_keeps_as_many_words_as_asked():
+    known = pretokens.words(pretokens.load(BYTES, True))
+    known.counts([" ".join("zq" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(300))])
+    held = len(known.known)
+    known.make_room(1000, 100_000)
+    assert len(known.known) == held
+    known.make_room(100, 100_000)
+    assert len(known.known) < held
+
+
 def test_whole_tokens_are_single_tokens_and_skip_merging():
     shared = pretokens.load(BYTES, True)
     library = Tokenizer.from_file(BYTES)
