@@ -173,16 +173,20 @@ def readings_per_sensor(readings: DataFrame) -> DataFrame:
 def delete_devices(ids: DataFrame, sensors: DataFrame, readings: DataFrame, as_of) -> RegistryChange:
     """Unregister devices: with readings only the MAC is cleared, without the row goes.
 
-    ``ids`` has ``sensor_id``; repeats count once.
+    ``ids`` has ``sensor_id``; repeats count once. Ids, devices and readings meet in one sum
+    per device, which input partitions start, so that no reading is exchanged or sorted.
     """
-    asked = ids.select("sensor_id").distinct()
-    exists = sensors.select("sensor_id", F.lit(True).alias("_exists"))
-    outcome = (asked.join(exists, "sensor_id", "left")
-               .join(readings_per_sensor(readings.join(asked, "sensor_id", "left_semi")),
-                     "sensor_id", "left")
-               .select("sensor_id", F.when(F.col("_exists").isNull(), "not_found")
-                       .when(F.col("reading_count") > 0, "cleared")
-                       .otherwise("deleted").alias("action")))
+    def seen(rows: DataFrame, where: str) -> DataFrame:
+        return rows.select("sensor_id", *[F.lit(name == where).alias(name) for name in ("_asked", "_exists", "_read")])
+
+    named = F.col("sensor_id").isNotNull()
+    asked = (stacked([seen(ids, "_asked"), seen(sensors.filter(named), "_exists"),
+                      seen(readings.filter(named), "_read")])
+             .groupBy("sensor_id").agg(*[F.bool_or(c).alias(c) for c in ("_asked", "_exists", "_read")])
+             .filter("_asked"))
+    outcome = asked.select(
+        F.col("sensor_id").cast(ids.schema["sensor_id"].dataType).alias("sensor_id"),
+        F.when(~F.col("_exists"), "not_found").when(F.col("_read"), "cleared").otherwise("deleted").alias("action"))
     stamped = _with_column(sensors, "updated_at", "timestamp_ntz")
     marked = stamped.join(outcome, "sensor_id", "left")
     kept = marked.filter(F.coalesce(F.col("action") != "deleted", F.lit(True)))

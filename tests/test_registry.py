@@ -236,6 +236,17 @@ def test_delete(spark):
         (1, None, ts(AS_OF), "Scale"), (2, None, None, "Scale-0007")]
 
 
+def test_deleted_devices_meet_their_readings_without_a_join(spark):
+    sensors = table(spark, "sensors", *SENSORS, {"sensor_code": "no id"})
+    readings = table(spark, "sensor_readings", {"reading_id": 1, "sensor_id": 2}, {"reading_id": 2})
+    ids = spark.createDataFrame([(2,), (None,), (2,), (78,)], "sensor_id long")
+    change = registry.delete_devices(ids, sensors, readings, AS_OF)
+    assert rows(change.results, "sensor_id", "action") == [(2, "cleared")]
+    assert rows(change.errors, "sensor_id", "error") == [(78, "not_found"), (None, "not_found")]
+    assert change.results.schema["sensor_id"].dataType == ids.schema["sensor_id"].dataType
+    assert "Join" not in change.results._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cascade(spark, bins):
     tables = {
         "waste_bins": bins, "sensors": table(spark, "sensors", *SENSORS),
