@@ -122,7 +122,9 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         sensors, bins = registry(session)
-        classified = classify_messages(batch, sensors, bins).persist(StorageLevel.MEMORY_AND_DISK)
+        # A batch may come in one file or row group; its payloads are parsed in all tasks.
+        spread = batch.repartition(F.col("arrival_seq"))
+        classified = classify_messages(spread, sensors, bins).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             again = closed = None
             if alerts_so_far:
@@ -140,7 +142,8 @@ def start_ingest(messages: DataFrame, registry: Registry, root: str, checkpoint:
             if hourly_partials:
                 own = session.read.schema(SENSOR_READINGS).parquet(f"{root}/readings/batch_id={batch_id}")
                 partials.add(own, f"{root}/partials", batch_id)
-            write_batch(out.rejected, f"{root}/rejected", batch_id)
+            # Few files again: a batch has as many parts as the session's shuffles.
+            write_batch(out.rejected.hint("rebalance"), f"{root}/rejected", batch_id)
             write_batch(out.alerts, alerts_path, batch_id)
             if not alerts_so_far:
                 written = session.read.schema(ALERT_SCHEMA).parquet(f"{alerts_path}/batch_id={batch_id}")

@@ -1,6 +1,7 @@
 """Streams give what one batch gives, however the input is cut into files and batches."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,19 @@ def test_ingest_equals_the_batch(spark, sf_dir, tmp_path, pieces):
         batch.rejected, "arrival_seq", "reason")
 
 
+def test_a_batch_of_one_file_is_parsed_in_several_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    fleet, parts = Fleet(spark, sf_dir), []
+    land(fleet.messages, tmp_path, 1)
+    classify = ingest.classify_messages
+    monkeypatch.setattr(ingest, "classify_messages", lambda m, *r: parts.append(
+        m._jdf.queryExecution().logical().toString()) or classify(m, *r))
+    root = str(tmp_path / "out")
+    ingest.start_ingest(stream_messages(spark, flatten(tmp_path, 1)), lambda s: (fleet.sensors, fleet.bins), root,
+                        str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    assert len(parts) == 1 and "RepartitionByExpression" in parts[0]
+    assert len(list(Path(f"{root}/rejected/batch_id=0").glob("part-*.parquet"))) == 1
+
+
 def _payload(seq, fill):
     return {"topic": "waste/bins/b/sensors", "arrival_seq": seq, "arrival_ts": ts("2024-01-01 00:00:00"),
             "payload": json.dumps({"sensor_code": "S", "bin_id": "1", "bin_code": "B", "fill_level": fill})}
