@@ -58,17 +58,19 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
     MAC that exists by then are updates, and the last good one decides bin, name and offset.
     """
     mac = canonical_mac(F.coalesce("mac_address", F.lit("")))
-    asked = items.select("item_seq", mac.alias("mac"),
+    # A batch may come in one file; its items are checked in all tasks.
+    asked = items.repartition(F.col("item_seq")).select(
+                         "item_seq", mac.alias("mac"),
                          name_or_mac(F.coalesce("device_name", F.lit("")), mac).alias("name"),
                          "bin_id", F.coalesce("weight_offset", F.lit(0.0)).alias("weight_offset"))
     open_bins = bins.filter(F.col("status") == "active").select("bin_id", "bin_code")
     known = (sensors.filter(F.col("mac_address").isNotNull())
              .groupBy(F.col("mac_address").alias("mac"))
              .agg(F.min("sensor_id").alias("known_id")))
-    checked = (asked.join(open_bins, "bin_id", "left").join(known, "mac", "left")
-               .withColumn("error", F.when(~is_mac(F.col("mac")), "invalid_mac")
-                           .when(F.col("bin_code").isNull(), "unknown_bin")))
-    good = written(checked.filter(F.col("error").isNull()), "register-items")
+    checked = written(asked.join(open_bins, "bin_id", "left").join(known, "mac", "left")
+                      .withColumn("error", F.when(~is_mac(F.col("mac")), "invalid_mac")
+                                  .when(F.col("bin_code").isNull(), "unknown_bin")), "register-items")
+    good = checked.filter(F.col("error").isNull())
 
     base = device_code(F.col("name"), F.col("mac"))
     attempts = good.filter(F.col("known_id").isNull()).select(
@@ -76,7 +78,8 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
     created = claimed_codes(attempts, sensors.select(F.col("sensor_code").alias("code")))
     codes = created.select("mac", F.col("item_seq").alias("first_seq"), F.col("code").alias("sensor_code"))
 
-    outcome = good.join(codes, "mac", "left")
+    # Results, errors and rows are read from it, instead of joining again for each.
+    outcome = written(good.join(codes, "mac", "left"), "register-outcome")
     is_first = F.coalesce(F.col("item_seq") == F.col("first_seq"), F.lit(False))
     no_code = F.col("known_id").isNull() & (F.col("first_seq").isNull()
                                             | (F.col("item_seq") < F.col("first_seq")))
@@ -89,7 +92,8 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
                   "item_seq", "mac", F.lit("sensor_code_taken").alias("error"))))
 
     per_mac = outcome.filter(~no_code).groupBy("mac").agg(
-        F.max_by(F.struct("bin_id", "name", "weight_offset"), "item_seq").alias("final"))
+        F.max_by(F.struct("bin_id", "name", "weight_offset"), "item_seq").alias("final"),
+        F.max("first_seq").alias("first_seq"), F.max("sensor_code").alias("sensor_code"))
     final = per_mac.select(F.col("mac").alias("mac_address"),
                            F.col("final.bin_id").alias("new_bin_id"),
                            F.col("final.name").alias("new_name"),
@@ -101,7 +105,7 @@ def register_devices(items: DataFrame, sensors: DataFrame, bins: DataFrame, as_o
         "weight_offset": F.col("new_offset"), "updated_at": ntz(as_of)}, stamped.columns)
 
     last_id = sensors.agg(F.coalesce(F.max("sensor_id"), F.lit(0))).scalar()
-    new = (codes.join(per_mac, "mac")
+    new = (per_mac.filter(F.col("first_seq").isNotNull())
            .select((last_id + F.col("first_seq")).cast("int").alias("sensor_id"), "sensor_code",
                    F.col("final.bin_id").alias("bin_id"),
                    F.lit(SENSOR_TYPE).alias("sensor_type"),

@@ -54,13 +54,16 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*[f"{_folder(path, n)}/states" for n in versions(spark, path)])
 
 
-def publish(parts: dict[str, DataFrame], path: str, base: int) -> bool:
+def publish(parts: dict[str, DataFrame | Callable[[DataFrame], DataFrame]], path: str, base: int) -> bool:
     """Write the parts as the version after ``base``; false, and nothing is left, if that
-    version is there already."""
+    version is there already. A part may be a function of the rows, as they were written."""
     spark = parts["rows"].sparkSession
     files, own = Files(spark), f"{path}/unpublished-{uuid.uuid4().hex}"
-    for name, frame in parts.items():
-        frame.write.parquet(f"{own}/{name}")
+    parts["rows"].write.parquet(f"{own}/rows")
+    rows = spark.read.schema(parts["rows"].schema).parquet(f"{own}/rows")
+    for name, part in parts.items():
+        if name != "rows":
+            (part(rows) if callable(part) else part).write.parquet(f"{own}/{name}")
     if files.take_name(own, _folder(path, base + 1)):
         return True
     files.delete(own)
@@ -86,7 +89,7 @@ def change(spark: SparkSession, path: str, key: str, at,
         rows = read(spark, path, base)
         made = make(rows)
         parts = {"results": made.results, "errors": made.errors, "rows": made.snapshot,
-                 "states": registry_states(rows, made.snapshot, key, at)}
+                 "states": lambda after, before=rows: registry_states(before, after, key, at)}
         if publish(parts, path, base):
             return Published(base + 1, read(spark, path, base + 1, "results"),
                              read(spark, path, base + 1, "errors"))

@@ -119,3 +119,11 @@ def test_the_history_resolves_messages_as_they_came(spark, store):
     found = resolve.classify_messages(messages, versions.history(spark, store), bins(spark))
     assert rows(found, "arrival_seq", "sensor_id", "bin_id", "reason") == [
         (0, None, None, "unknown_device"), (1, 2, 1, None), (2, 2, 2, None), (3, None, None, "unknown_device")]
+
+
+def test_states_are_made_of_the_written_rows(spark, tmp_path):
+    path, rows = str(tmp_path / "sensors"), spark.range(3).selectExpr("CAST(id AS int) AS sensor_id")
+    read = []
+    assert versions.publish({"rows": rows, "states": lambda after: read.extend(after.inputFiles()) or after}, path, -1)
+    assert read and all("/rows/" in name for name in read)
+    assert versions.read(spark, path, 0, "states").count() == 3
